@@ -60,6 +60,13 @@ def literal_ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small fixed table as VALUES, whose size the optimizer knows."""
+    show = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    values = ", ".join("(" + ", ".join(show(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -133,14 +140,14 @@ class Fixtures:
 
     @cached_property
     def waste_categories(self) -> DataFrame:
-        return self.spark.createDataFrame(CATEGORY_POINTS, "category_name STRING, points_value INT").withColumn(
+        return literal_table(self.spark, CATEGORY_POINTS, "category_name, points_value").withColumn(
             "is_active", F.lit(True)
         )
 
     @cached_property
     def detection_mapping(self) -> DataFrame:
         return (
-            self.spark.createDataFrame(DETECTION_CLASSES, "coco_class STRING, waste_category STRING")
+            literal_table(self.spark, DETECTION_CLASSES, "coco_class, waste_category")
             .withColumn("confidence_threshold", F.lit("0.35").cast("decimal(3,2)"))
             .withColumn("is_active", F.lit(True))
         )
@@ -248,9 +255,41 @@ class Fixtures:
 
     @cached_property
     def knowledge_base(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            KNOWLEDGE_BASE, "category STRING, keywords STRING, priority INT"
-        ).withColumn("is_active", F.lit(True))
+        return literal_table(self.spark, KNOWLEDGE_BASE, "category, keywords, priority").withColumn("is_active", F.lit(True))
+
+    # ---- feeds --------------------------------------------------------------
+    @cached_property
+    def points_feed(self) -> DataFrame:
+        return points_from(self.raw("orders"))
+
+    @cached_property
+    def user_feedback(self) -> DataFrame:
+        rating = F.col("user_rating")
+        return self.chat_messages.filter(rating.isNotNull()).select(
+            "id",
+            "user_id",
+            F.col("id").alias("message_id"),
+            F.when(rating >= 4, "positive").when(rating <= 2, "negative").otherwise("neutral").alias("feedback_type"),
+            rating.alias("rating"),
+            (F.col("id") % 2 == 0).alias("is_resolved"),
+        )
+
+    @cached_property
+    def preferences(self) -> DataFrame:
+        return (
+            self.raw("customer")
+            .select(
+                F.col("c_custkey").cast("string").alias("user_id"),
+                F.expr(
+                    "stack(2, 'segment', c_mktsegment, 'nation', CAST(c_nationkey AS STRING)) "
+                    "AS (preference_key, preference_value)"
+                ),
+            )
+        )
+
+    @cached_property
+    def knowledge_base(self) -> DataFrame:
+        return literal_table(self.spark, KNOWLEDGE_BASE, "category, keywords, priority").withColumn("is_active", F.lit(True))
 
     # ---- feeds --------------------------------------------------------------
     @cached_property
@@ -420,6 +459,23 @@ def transactions_from(orders: DataFrame) -> DataFrame:
     )
 
 
+def points_from(orders: DataFrame) -> DataFrame:
+    """One delta per order, naming the user only now and then."""
+    key = F.col("o_orderkey").cast("string")
+    return orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_custkey") % 50 == 0, F.col("o_custkey") + 1000000)
+        .otherwise(F.col("o_custkey"))
+        .cast("string")
+        .alias("user_id"),
+        signed_points().alias("points_delta"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("name "), key)).alias("display_name"),
+        F.when(F.col("o_orderstatus") == "P", F.concat(key, F.lit("@feed.example"))).alias("email"),
+        F.when(F.col("o_orderstatus") == "F", "redeem").otherwise("waste_deposit").alias("type"),
+        F.col("o_orderdate").alias("event_time"),
+    )
+
+
 def requests_from(ev: DataFrame) -> DataFrame:
     k, kind = F.col("k"), F.col("event_type")
     text = F.concat(F.lit("did "), kind)

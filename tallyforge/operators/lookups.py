@@ -204,19 +204,21 @@ def intent_keywords(knowledge: DataFrame) -> DataFrame:
     )
 
 
-def match_intents(messages: DataFrame, knowledge: DataFrame, max_words: int = 2) -> DataFrame:
+def match_intents(messages: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Best intent per message: most keywords found, then the higher priority.
 
-    Messages become their distinct phrases of up to ``max_words`` words, which
-    turns keyword search into an equality join on the phrase.
+    Messages become their distinct phrases, as long as the longest keyword phrase,
+    which turns keyword search into an equality join on the phrase.
     """
+    keywords = intent_keywords(knowledge)
+    longest = keywords.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     words = F.col("_words")
-    runs = [_phrases(words, n) for n in range(1, max_words + 1)]
+    runs = [_phrases(words, n) for n in range(1, longest + 1)]
     phrases = messages.select(F.col("id"), _words(F.col("message_content")).alias("_words")).select(
         "id", F.explode(F.array_distinct(F.concat(*runs))).alias("phrase")
     )
     hits = (
-        phrases.join(intent_keywords(knowledge), "phrase")
+        phrases.join(keywords, "phrase")
         .groupBy("id", "category", "priority")
         .agg(F.count(F.lit(1)).alias("hits"))
     )

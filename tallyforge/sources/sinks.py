@@ -19,11 +19,14 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def export_csv(sections: dict[str, DataFrame], folder: str, report: str, preset: str) -> dict[str, str]:
-    """Every section of a report as CSV files with a header; returns the paths."""
+    """Every section of a report as CSV files with a header; returns the paths.
+
+    NULL and empty text are both written as an empty field.
+    """
     paths = {}
     for section, df in sections.items():
         path = f"{folder}/{export_name(report, preset, 'csv')}/{section}"
-        _flat(df).write.mode("overwrite").option("header", True).csv(path)
+        _flat(df).write.mode("overwrite").options(header=True, emptyValue="").csv(path)
         paths[section] = path
     return paths
 

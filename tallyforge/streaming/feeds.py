@@ -86,9 +86,11 @@ def write_updates(counts: DataFrame, root: str, checkpoint: str, trigger: str |
 
     Replaying a batch rewrites the same version, so restarts add nothing twice.
     """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        write_version(batch, root, batch_id)
+
     writer = (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: write_version(batch, root, batch_id) and None)
-        .option("checkpointLocation", checkpoint)
+        counts.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     )
     return run(writer, trigger)
