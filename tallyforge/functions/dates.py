@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Preset name -> days before the end date.
 PRESET_DAYS = {"1d": 1, "7d": 7, "30d": 30, "90d": 90}
@@ -30,6 +30,26 @@ def on_day(ts: Column | str, day: date) -> Column:
     return in_days(ts, day, day)
 
 
+def rows_of_days(df: DataFrame, ts: str, start: date, end: date, partition: str = "date") -> DataFrame:
+    """Rows of an inclusive day range.
+
+    A table laid out in one folder per day carries that day as ``partition``; the
+    filter on it prunes folders, the one on the timestamp prunes row groups.
+    """
+    condition = in_days(ts, start, end)
+    if partition in df.columns and partition != ts:
+        condition = condition & F.col(partition).between(F.lit(start), F.lit(end))
+    return df.filter(condition)
+
+
+def rows_since(df: DataFrame, ts: str, day: date, days: int, partition: str = "date") -> DataFrame:
+    """Rows of a look-back, with the same pruning."""
+    condition = since_days(ts, day, days)
+    if partition in df.columns and partition != ts:
+        condition = condition & (F.col(partition) >= F.lit(day - timedelta(days=days)))
+    return df.filter(condition)
+
+
 def since_days(ts: Column | str, day: date, days: int) -> Column:
     """``ts >= day - days``; open towards the future."""
     return _column(ts) >= F.lit(day - timedelta(days=days))

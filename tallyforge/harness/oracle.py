@@ -809,6 +809,7 @@ _BODIES: dict[str, str] = {
         FROM customer""",
     "table_counts": _table_counts(),
     "rewards_catalog": "SELECT id, title, cost_points, is_active FROM rewards WHERE is_active",
+    "users_sample": "SELECT user_id, display_name, email FROM chat_users ORDER BY user_id LIMIT 5",
     "ua_classify": f"""
         SELECT {_BROWSER} AS browser_name,
                coalesce(nullif(regexp_extract(user_agent, '(Chrome|Firefox|Safari|Edge)/(\\d+)', 2), ''), 'Unknown')
@@ -833,6 +834,10 @@ _BODIES: dict[str, str] = {
         SELECT CASE WHEN activity_type IS NULL OR description IS NULL THEN 'quarantined' ELSE 'accepted' END AS outcome,
                id, activity_type, activity_category, description
         FROM requests""",
+    "ingest_json_requests": """
+        SELECT event_id AS id, CASE WHEN k % 10 = 3 THEN 'malformed' ELSE 'parsed' END AS outcome,
+               CASE WHEN k % 10 <> 3 THEN event_type END AS activity_type, CASE WHEN k % 10 <> 3 THEN k END AS k
+        FROM ev""",
     "ingest_defaults": """
         SELECT 'visit' AS feed, CAST(CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) ELSE 0 END AS VARCHAR) AS value,
                count(*) AS row_count FROM ev GROUP BY 2
@@ -851,6 +856,13 @@ _BODIES: dict[str, str] = {
     "login_events": f"""
         SELECT 'session' AS target, admin_id, id AS session_id, {_TOKEN} AS detail, login_time AS at FROM sessions
         UNION ALL SELECT 'log', admin_id, id, 'Admin logged in successfully', login_time FROM sessions""",
+    "chat_session_start": """
+        SELECT md5(CAST(conv_id % 10 AS VARCHAR) || '|' || CAST(CAST(started AS DATE) AS VARCHAR) || '|' || conv_id)
+                   AS session_id,
+               CAST(conv_id % 10 AS VARCHAR) AS user_id, 'Chat ' || conv_id AS session_name, TRUE AS is_active,
+               started AS started_at, 0 AS message_count, 0 AS total_tokens_used
+        FROM (SELECT conv_id, TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR AS started
+              FROM conversations WHERE turn = 0)""",
     "logout_events": """
         SELECT CASE WHEN s.id IS NOT NULL THEN 'log' ELSE 'rejected' END AS target, o.admin_id, o.session_id,
                CASE WHEN s.id IS NOT NULL THEN 'Admin logged out after ' || date_sub('second', s.login_time, o.ts)

@@ -14,7 +14,7 @@ from tallyforge.harness import fixtures as shapes
 from tallyforge.operators import folds, lookups, merge, quality, sessions as sessioning
 from tallyforge.plans import activity, catalog, chat, dashboard, reports, rewards, rollups
 from tallyforge.session import scratch_path
-from tallyforge.sources import sinks
+from tallyforge.sources import readers, sinks
 from tallyforge.sources.readers import stream_files
 from tallyforge.sources.schemas import DEFAULTS, ENUMS, REQUIRED_FIELDS
 from tallyforge.streaming import feeds, state
@@ -432,6 +432,11 @@ def rewards_catalog(f):
     return catalog.rewards_catalog(f.rewards)
 
 
+@query
+def users_sample(f):
+    return catalog.sample_users(f.chat_users)
+
+
 # ---- client facts ---------------------------------------------------------------
 @query
 def ua_classify(f):
@@ -501,6 +506,24 @@ def ingest_required_fields(f):
     )
 
 
+@query
+def ingest_json_requests(f):
+    """Request bodies as JSON text, some broken; parsed and counted by outcome."""
+    body = F.to_json(F.struct(F.col("event_type").alias("activity_type"), F.col("value").alias("amount"), "k"))
+    broken = F.when(F.col("k") % 10 == 3, F.concat(F.lit("{"), body)).otherwise(body)
+    parsed, malformed = readers.parse_requests(
+        f.ev.select(F.col("event_id").alias("id"), broken.alias("value")), "activity_type STRING, amount DOUBLE, k INT"
+    )
+    return parsed.select("id", F.lit("parsed").alias("outcome"), "activity_type", "k").unionByName(
+        malformed.select(
+            "id",
+            F.lit("malformed").alias("outcome"),
+            F.lit(None).cast("string").alias("activity_type"),
+            F.lit(None).cast("int").alias("k"),
+        )
+    )
+
+
 @query
 def ingest_defaults(f):
     """Absent values replaced by the table's defaults."""
@@ -552,6 +575,19 @@ def login_events(f):
     return opened.unionByName(logged)
 
 
+@query
+def chat_session_start(f):
+    """A session row per opening turn of a conversation."""
+    first = F.col("turn") == 0
+    starts = f.raw("conversations").filter(first).select(
+        F.col("conv_id").alias("id"),
+        (F.col("conv_id") % 10).cast("string").alias("user_id"),
+        F.concat(F.lit("Chat "), F.col("conv_id").cast("string")).alias("session_name"),
+        shapes.plus_seconds(literal_ts("2024-01-01 00:00:00"), (F.col("conv_id") * 3600).cast("int")).alias("started_at"),
+    )
+    return lookups.chat_session_rows(starts).drop("ended_at")
+
+
 @query
 def logout_events(f):
     closed = lookups.logout_log(f.logout_feed, f.sessions).select(

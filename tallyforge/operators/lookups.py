@@ -64,7 +64,6 @@ def log_rows(accepted: DataFrame) -> DataFrame:
 # ---- login and logout -----------------------------------------------------
 def login_sessions(logins: DataFrame) -> DataFrame:
     """The session a login opens, with a token derived from the login itself."""
-    key = [F.col("id"), F.col("admin_id"), F.col("login_time")]
     return logins.select(
         F.col("id").alias("session_id"),
         "admin_id",
@@ -72,7 +71,6 @@ def login_sessions(logins: DataFrame) -> DataFrame:
         "ip_address",
         "login_time",
         F.lit(True).alias("is_active"),
-        stable_id(*key[:2]).alias("event_key"),
     )
 
 
@@ -126,6 +124,20 @@ def rejected_logouts(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
     return logouts.join(known, ["session_id", "admin_id"], "left_anti")
 
 
+def chat_session_rows(starts: DataFrame) -> DataFrame:
+    """The row a chat session opens with; its id is derived from the start event."""
+    return starts.select(
+        stable_id(F.col("user_id"), F.col("started_at").cast("date"), F.col("id")).alias("session_id"),
+        "user_id",
+        "session_name",
+        F.lit(True).alias("is_active"),
+        "started_at",
+        F.lit(None).cast("timestamp_ntz").alias("ended_at"),
+        F.lit(0).alias("message_count"),
+        F.lit(0).alias("total_tokens_used"),
+    )
+
+
 def remaining_retries(failed: DataFrame, succeeded: DataFrame) -> DataFrame:
     """Failed requests that no retry completed."""
     return failed.join(succeeded, ["timestamp", "method", "endpoint"], "left_anti")

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyforge.functions.dates import in_days, on_day, since_days
+from tallyforge.functions.dates import rows_of_days, rows_since
 from tallyforge.functions.labels import count_where, mean_of, percentage
 from tallyforge.operators.aggregates import several_distincts
 
@@ -74,7 +74,7 @@ def admin_day(
         sessions = sessions.filter(F.col("admin_id") == admin_id)
         log = log.filter(F.col("admin_id") == admin_id)
     joined = _with_children(
-        admins, sessions.filter(on_day("login_time", day)), log.filter(on_day("created_at", day))
+        admins, rows_of_days(sessions, "login_time", day, day), rows_of_days(log, "created_at", day, day)
     )
     return joined.select(
         "admin_id",
@@ -135,16 +135,16 @@ def daily_series(log: DataFrame) -> DataFrame:
 
 def daily_analytics(log: DataFrame, day: date, days: int = 7) -> DataFrame:
     """Look-back series; later days than ``day`` are included as well."""
-    return daily_series(log.filter(since_days("created_at", day, days)))
+    return daily_series(rows_since(log, "created_at", day, days))
 
 
 def daily_trends(log: DataFrame, start: date, end: date) -> DataFrame:
-    return daily_series(log.filter(in_days("created_at", start, end)))
+    return daily_series(rows_of_days(log, "created_at", start, end))
 
 
 def activity_breakdown(log: DataFrame, start: date, end: date) -> DataFrame:
     return (
-        log.filter(in_days("created_at", start, end))
+        rows_of_days(log, "created_at", start, end)
         .groupBy("activity_type", "activity_category")
         .agg(
             F.count(F.lit(1)).alias("count"),
@@ -165,14 +165,14 @@ def security_summary(events: DataFrame) -> DataFrame:
 
 
 def security_counts(events: DataFrame, start: date, end: date) -> DataFrame:
-    return security_summary(events.filter(in_days("created_at", start, end))).drop(
+    return security_summary(rows_of_days(events, "created_at", start, end)).drop(
         "first_occurrence", "last_occurrence"
     )
 
 
 def security_trends(events: DataFrame, start: date, end: date) -> DataFrame:
     return (
-        events.filter(in_days("created_at", start, end))
+        rows_of_days(events, "created_at", start, end)
         .groupBy(F.to_date("created_at").alias("date"))
         .agg(
             F.count(F.lit(1)).alias("total_events"),
@@ -207,13 +207,13 @@ def feature_usage(usage: DataFrame) -> DataFrame:
 
 
 def feature_usage_between(usage: DataFrame, start: date, end: date) -> DataFrame:
-    return feature_usage(usage.filter(in_days("last_used_at", start, end)))
+    return feature_usage(rows_of_days(usage, "last_used_at", start, end))
 
 
 def feature_trends(usage: DataFrame, start: date, end: date) -> DataFrame:
     """Lifetime counters bucketed by the day of last use, as reported."""
     return (
-        usage.filter(in_days("last_used_at", start, end))
+        rows_of_days(usage, "last_used_at", start, end)
         .groupBy(F.to_date("last_used_at").alias("date"), "feature_name")
         .agg(F.sum("usage_count").alias("daily_usage"))
     )
@@ -222,7 +222,8 @@ def feature_trends(usage: DataFrame, start: date, end: date) -> DataFrame:
 def feature_trends_corrected(log: DataFrame, start: date, end: date) -> DataFrame:
     """Uses counted on the day they happened."""
     return (
-        log.filter(in_days("created_at", start, end) & F.col("target_resource").isNotNull())
+        rows_of_days(log, "created_at", start, end)
+        .filter(F.col("target_resource").isNotNull())
         .groupBy(F.to_date("created_at").alias("date"), F.col("target_resource").alias("feature_name"))
         .agg(F.count(F.lit(1)).alias("daily_usage"))
     )

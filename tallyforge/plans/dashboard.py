@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyforge.functions.dates import in_days, on_day
+from tallyforge.functions.dates import rows_of_days
 from tallyforge.functions.formats import clock_of, day_and_time, hour_minute, one_decimal
 from tallyforge.functions.labels import all_of, count_where, rate_band, resolved_label, truthy_or
 from tallyforge.operators.aggregates import one_record
@@ -18,15 +18,15 @@ def day_counters(
 ) -> DataFrame:
     """Six counters of one day; one scan per table. Admins are counted in the log."""
     return one_record(
-        sessions.filter(on_day("login_time", day)).agg(
+        rows_of_days(sessions, "login_time", day, day).agg(
             F.count(F.lit(1)).alias("total_sessions"),
             count_where(F.col("is_active")).alias("active_sessions"),
         ),
-        log.filter(on_day("created_at", day)).agg(
+        rows_of_days(log, "created_at", day, day).agg(
             F.count(F.lit(1)).alias("total_activities"), F.count_distinct("admin_id").alias("unique_admins")
         ),
-        visits.filter(on_day("created_at", day)).agg(F.count(F.lit(1)).alias("total_page_views")),
-        events.filter(on_day("created_at", day)).agg(F.count(F.lit(1)).alias("security_events")),
+        rows_of_days(visits, "created_at", day, day).agg(F.count(F.lit(1)).alias("total_page_views")),
+        rows_of_days(events, "created_at", day, day).agg(F.count(F.lit(1)).alias("security_events")),
     )
 
 
@@ -138,7 +138,7 @@ def recent_security(
 ) -> DataFrame:
     """Dashboard form without a range; report form with a range and 50 rows."""
     if start is not None and end is not None:
-        events = events.filter(in_days("created_at", start, end))
+        events = rows_of_days(events, "created_at", start, end)
     return top_rows(events, _newest("created_at"), limit).select(
         "id",
         "event_type",

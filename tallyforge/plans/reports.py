@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.functions.dates import in_days, preset_range
+from tallyforge.functions.dates import preset_range, rows_of_days
 from tallyforge.functions.labels import count_where, http_error, http_success, mean_of, percentage, percentage_or_zero
 from tallyforge.operators.aggregates import one_record
 from tallyforge.plans import activity, dashboard, rollups
@@ -26,30 +26,36 @@ def overview(
     """Eight metrics; admins are counted in the sessions, leaders may be NULL."""
     names = admins.select(F.col("id").alias("admin_id"), "username")
     active = F.when(F.col("session_duration") > 0, F.col("session_duration"))
+    # orphan admins count as activities but cannot lead
+    named = F.col("username").isNotNull()
+    per_admin = rows_of_days(log, "created_at", start, end).groupBy("admin_id").agg(F.count("id").alias("n"))
     busiest = (
-        log.filter(in_days("created_at", start, end))
-        .groupBy("admin_id")
-        .agg(F.count("id").alias("n"))
-        .join(names, "admin_id")
-        .agg(F.min(F.struct((-F.col("n")).alias("w"), F.col("username").alias("name"))).alias("best"))
-        .select(F.col("best.name").alias("most_active_admin"), (-F.col("best.w")).alias("most_active_count"))
+        per_admin.join(names, "admin_id", "left")
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total_activities"),
+            F.min(F.when(named, F.struct((-F.col("n")).alias("w"), F.col("username").alias("name")))).alias("best"),
+        )
+        .select(
+            "total_activities",
+            F.col("best.name").alias("most_active_admin"),
+            (-F.col("best.w")).alias("most_active_count"),
+        )
     )
     feature = (
-        usage.filter(in_days("last_used_at", start, end))
+        rows_of_days(usage, "last_used_at", start, end)
         .groupBy("feature_name")
         .agg(F.sum("usage_count").alias("n"))
         .agg(F.min(F.struct((-F.col("n")).alias("w"), F.col("feature_name").alias("name"))).alias("best"))
         .select(F.col("best.name").alias("most_used_feature"), (-F.col("best.w")).alias("most_used_count"))
     )
     return one_record(
-        sessions.filter(in_days("login_time", start, end)).agg(
+        rows_of_days(sessions, "login_time", start, end).agg(
             F.count(F.lit(1)).alias("total_sessions"),
             F.count_distinct("admin_id").alias("unique_admins"),
             mean_of(F.sum(active), F.count(active)).alias("avg_session_duration"),
         ),
-        log.filter(in_days("created_at", start, end)).agg(F.count(F.lit(1)).alias("total_activities")),
-        visits.filter(in_days("created_at", start, end)).agg(F.count(F.lit(1)).alias("total_page_views")),
-        events.filter(in_days("created_at", start, end)).agg(F.count(F.lit(1)).alias("security_events")),
+        rows_of_days(visits, "created_at", start, end).agg(F.count(F.lit(1)).alias("total_page_views")),
+        rows_of_days(events, "created_at", start, end).agg(F.count(F.lit(1)).alias("security_events")),
         busiest,
         feature,
     )
@@ -81,7 +87,7 @@ def admin_summary(log: DataFrame, admins: DataFrame, start: date, end: date) ->
     """Success rate over all activities, 0 when there are none."""
     status = F.col("response_status")
     per_admin = (
-        log.filter(in_days("created_at", start, end))
+        rows_of_days(log, "created_at", start, end)
         .groupBy("admin_id")
         .agg(
             F.count("id").alias("total_activities"),
@@ -107,7 +113,7 @@ def admin_summary(log: DataFrame, admins: DataFrame, start: date, end: date) ->
 
 def admin_performance(metrics: DataFrame, admins: DataFrame, start: date, end: date) -> DataFrame:
     per_admin = (
-        metrics.filter(in_days("date", start, end))
+        rows_of_days(metrics, "date", start, end)
         .groupBy("admin_id")
         .agg(
             F.round(F.avg("total_activities"), 4).alias("avg_activities"),
@@ -123,7 +129,7 @@ def admin_performance(metrics: DataFrame, admins: DataFrame, start: date, end: d
 
 
 def system_trends(system: DataFrame, start: date, end: date) -> DataFrame:
-    return system.filter(in_days("date", start, end)).select(
+    return rows_of_days(system, "date", start, end).select(
         "date",
         "total_admin_logins",
         "total_activities",
@@ -136,12 +142,12 @@ def system_trends(system: DataFrame, start: date, end: date) -> DataFrame:
 def system_health(sessions: DataFrame, log: DataFrame, start: date, end: date) -> DataFrame:
     """"Peak concurrent users" is the reported figure: most logins on one day."""
     daily = (
-        sessions.filter(in_days("login_time", start, end))
+        rows_of_days(sessions, "login_time", start, end)
         .groupBy(F.to_date("login_time").alias("date"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return one_record(
-        log.filter(in_days("created_at", start, end)).agg(
+        rows_of_days(log, "created_at", start, end).agg(
             F.round(F.avg("execution_time_ms"), 4).alias("avg_response_time"),
             percentage(count_where(http_error(F.col("response_status"))), F.count(F.lit(1))).alias("error_rate"),
             F.count_distinct(F.to_date("created_at")).alias("uptime_days"),

@@ -6,44 +6,67 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyforge.functions.dates import in_days
+from tallyforge.functions.dates import in_days, rows_of_days
 from tallyforge.functions.labels import count_where, http_error, http_success, mean_of, percentage, percentage_or_zero
 from tallyforge.operators.aggregates import one_record, one_record_per, top_name, top_of
 from tallyforge.operators.sessions import peak_concurrency
 from tallyforge.plans.chat import daily_chat
 
 
-def daily_rollup(sessions: DataFrame, log: DataFrame, visits: DataFrame, usage: DataFrame) -> DataFrame:
-    """Logins, activities, page views and leaders of every day, in one job.
-
-    The busiest admin is taken from the raw log, the leading feature from the
-    lifetime usage counter of the features last used that day. Ties go to the
-    smallest id or name.
-    """
-    day = F.to_date("created_at").alias("date")
-    logins = sessions.groupBy(F.to_date("login_time").alias("date")).agg(F.count(F.lit(1)).alias("total_admin_logins"))
-    activity = (
-        log.groupBy(day, "admin_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+def _log_days(log: DataFrame) -> DataFrame:
+    """All log figures of a day in one pass; unused ones are pruned by the optimizer."""
+    return (
+        log.groupBy(F.to_date("created_at").alias("date"), "admin_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("execution_time_ms").alias("spent"),
+            F.count("execution_time_ms").alias("timed"),
+            count_where(http_error(F.col("response_status"))).alias("bad"),
+        )
         .groupBy("date")
         .agg(
             F.sum("n").alias("total_activities"),
             top_of(F.col("admin_id"), F.col("n"), F.col("admin_id")).alias("most_active_admin"),
+            F.round(F.try_divide(F.sum("spent"), F.sum("timed"))).cast("long").alias("avg_response_time_ms"),
+            percentage(F.sum("bad"), F.sum("n"), 2).alias("error_rate"),
         )
     )
-    views = visits.groupBy(day).agg(F.count(F.lit(1)).alias("total_page_views"))
+
+
+def _session_days(sessions: DataFrame) -> DataFrame:
+    return sessions.groupBy(F.to_date("login_time").alias("date")).agg(
+        F.count(F.lit(1)).alias("total_admin_logins"),
+        count_where(F.col("is_active")).alias("total_active_sessions"),
+    )
+
+
+def _all_days(
+    sessions: DataFrame, log: DataFrame, visits: DataFrame, usage: DataFrame, *more: DataFrame
+) -> DataFrame:
+    views = visits.groupBy(F.to_date("created_at").alias("date")).agg(F.count(F.lit(1)).alias("total_page_views"))
     features = (
         usage.groupBy(F.to_date("last_used_at").alias("date"), "feature_name")
         .agg(F.sum("usage_count").alias("n"))
         .groupBy("date")
         .agg(top_name(F.col("feature_name"), F.col("n")).alias("most_used_feature"))
     )
-    merged = one_record_per(["date"], logins, activity, views, features)
-    return merged.select(
+    return one_record_per(["date"], _session_days(sessions), _log_days(log), views, features, *more)
+
+
+def _zero(*columns: str) -> list[Column]:
+    return [F.coalesce(c, F.lit(0)).alias(c) for c in columns]
+
+
+def daily_rollup(sessions: DataFrame, log: DataFrame, visits: DataFrame, usage: DataFrame) -> DataFrame:
+    """Logins, activities, page views and leaders of every day, in one job.
+
+    The busiest admin is taken from the raw log, the leading feature from the
+    lifetime usage counter of the features last used that day. Ties go to the
+    smallest id or name.
+    """
+    return _all_days(sessions, log, visits, usage).select(
         "date",
-        F.coalesce("total_admin_logins", F.lit(0)).alias("total_admin_logins"),
-        F.coalesce("total_activities", F.lit(0)).alias("total_activities"),
-        F.coalesce("total_page_views", F.lit(0)).alias("total_page_views"),
+        *_zero("total_admin_logins", "total_activities", "total_page_views"),
         "most_active_admin",
         "most_used_feature",
     )
@@ -77,42 +100,26 @@ def performance_rollup(sessions: DataFrame, log: DataFrame, visits: DataFrame) -
     views = visits.groupBy("admin_id", F.to_date("created_at").alias("date")).agg(
         F.count(F.lit(1)).alias("total_page_views")
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return one_record_per(keys, logins, activity, views).select(
         *keys,
-        zero("total_login_time"),
-        zero("total_activities"),
-        zero("total_page_views"),
-        zero("avg_session_duration"),
+        *_zero("total_login_time", "total_activities", "total_page_views", "avg_session_duration", "error_count"),
         "most_used_feature",
-        zero("error_count"),
         percentage_or_zero(F.coalesce("n_ok", F.lit(0)), F.coalesce("total_activities", F.lit(0))).alias("success_rate"),
     )
 
 
 def system_rollup(sessions: DataFrame, log: DataFrame, visits: DataFrame, usage: DataFrame) -> DataFrame:
     """The reported daily rollup plus its declared but never filled columns."""
-    extra_log = log.groupBy(F.to_date("created_at").alias("date")).agg(
-        F.round(F.avg("execution_time_ms")).cast("long").alias("avg_response_time_ms"),
-        percentage(count_where(http_error(F.col("response_status"))), F.count(F.lit(1)), 2).alias("error_rate"),
-    )
-    active = sessions.groupBy(F.to_date("login_time").alias("date")).agg(
-        count_where(F.col("is_active")).alias("total_active_sessions")
-    )
-    merged = one_record_per(
-        ["date"], daily_rollup(sessions, log, visits, usage), extra_log, active, peak_concurrency(sessions)
-    )
-    counters = [
-        "total_admin_logins",
-        "total_active_sessions",
-        "total_activities",
-        "total_page_views",
-        "peak_concurrent_users",
-        "avg_response_time_ms",
-    ]
-    return merged.select(
+    return _all_days(sessions, log, visits, usage, peak_concurrency(sessions)).select(
         "date",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counters],
+        *_zero(
+            "total_admin_logins",
+            "total_active_sessions",
+            "total_activities",
+            "total_page_views",
+            "peak_concurrent_users",
+            "avg_response_time_ms",
+        ),
         F.coalesce("error_rate", F.lit(0.0)).alias("error_rate"),
         "most_active_admin",
         "most_used_feature",
@@ -166,7 +173,7 @@ def period_change(sessions: DataFrame, log: DataFrame, start: date, end: date) -
     before = (start - length, end - length)
 
     def pair(frame: DataFrame, ts: str, name: str) -> DataFrame:
-        return frame.filter(in_days(ts, before[0], end)).agg(
+        return rows_of_days(frame, ts, before[0], end).agg(
             count_where(in_days(ts, start, end)).alias(f"{name}_now"),
             count_where(in_days(ts, *before)).alias(f"{name}_before"),
         )
