@@ -867,7 +867,7 @@ _BODIES: dict[str, str] = {
         SELECT CASE WHEN s.id IS NOT NULL THEN 'log' ELSE 'rejected' END AS target, o.admin_id, o.session_id,
                CASE WHEN s.id IS NOT NULL THEN 'Admin logged out after ' || date_sub('second', s.login_time, o.ts)
                     || ' seconds' END AS detail,
-               o.ts AS at
+               date_sub('second', s.login_time, o.ts) AS session_duration, o.ts AS at
         FROM logouts o LEFT JOIN sessions s ON s.id = o.session_id AND s.admin_id = o.admin_id""",
     "detection_points": """
         SELECT d.coco_class, m.waste_category, count(*) AS detections, CAST(sum(c.points_value) AS BIGINT) AS total_points

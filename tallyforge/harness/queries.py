@@ -497,31 +497,26 @@ def valid_sessions(f):
 # ---- ingest ---------------------------------------------------------------------
 @query
 def ingest_required_fields(f):
-    complete, partial = lookups.split_required(
-        lookups.normalise_requests(f.request_feed), REQUIRED_FIELDS["activity"]
-    )
-    columns = ["id", "activity_type", "activity_category", "description"]
-    return complete.select(F.lit("accepted").alias("outcome"), *columns).unionByName(
-        partial.select(F.lit("quarantined").alias("outcome"), *columns)
+    complete = lookups.is_complete(REQUIRED_FIELDS["activity"])
+    return lookups.normalise_requests(f.request_feed).select(
+        F.when(complete, "accepted").otherwise("quarantined").alias("outcome"),
+        "id",
+        "activity_type",
+        "activity_category",
+        "description",
     )
 
 
 @query
 def ingest_json_requests(f):
-    """Request bodies as JSON text, some broken; parsed and counted by outcome."""
+    """Request bodies as JSON text, some of them broken."""
     body = F.to_json(F.struct(F.col("event_type").alias("activity_type"), F.col("value").alias("amount"), "k"))
     broken = F.when(F.col("k") % 10 == 3, F.concat(F.lit("{"), body)).otherwise(body)
-    parsed, malformed = readers.parse_requests(
+    parsed = readers.parse_requests(
         f.ev.select(F.col("event_id").alias("id"), broken.alias("value")), "activity_type STRING, amount DOUBLE, k INT"
     )
-    return parsed.select("id", F.lit("parsed").alias("outcome"), "activity_type", "k").unionByName(
-        malformed.select(
-            "id",
-            F.lit("malformed").alias("outcome"),
-            F.lit(None).cast("string").alias("activity_type"),
-            F.lit(None).cast("int").alias("k"),
-        )
-    )
+    outcome = F.when(F.col("malformed").isNull(), "parsed").otherwise("malformed")
+    return parsed.select("id", outcome.alias("outcome"), "activity_type", "k")
 
 
 @query
@@ -590,15 +585,16 @@ def chat_session_start(f):
 
 @query
 def logout_events(f):
-    closed = lookups.logout_log(f.logout_feed, f.sessions).select(
-        F.lit("log").alias("target"), "admin_id", "session_id", F.col("activity_description").alias("detail"),
-        F.col("created_at").alias("at"),
-    )
-    rejected = lookups.rejected_logouts(f.logout_feed, f.sessions).select(
-        F.lit("rejected").alias("target"), "admin_id", "session_id", F.lit(None).cast("string").alias("detail"),
+    """Closed sessions and rejected logouts from one join."""
+    matched = lookups.match_logouts(f.logout_feed, f.sessions, how="left")
+    return matched.select(
+        F.when(F.col("login_time").isNotNull(), "log").otherwise("rejected").alias("target"),
+        "admin_id",
+        "session_id",
+        F.col("description").alias("detail"),
+        F.col("session_duration"),
         F.col("event_time").alias("at"),
     )
-    return closed.unionByName(rejected)
 
 
 # ---- lookups ----------------------------------------------------------------------

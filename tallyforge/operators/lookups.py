@@ -18,10 +18,13 @@ def normalise_requests(feed: DataFrame) -> DataFrame:
     )
 
 
+def is_complete(required: list[str]) -> Column:
+    return all_of([F.col(c).isNotNull() for c in required])
+
+
 def split_required(feed: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined) by presence of every required field."""
-    complete = all_of([F.col(c).isNotNull() for c in required])
-    return feed.filter(complete), feed.filter(~complete)
+    return feed.filter(is_complete(required)), feed.filter(~is_complete(required))
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -86,16 +89,27 @@ def login_log(logins: DataFrame) -> DataFrame:
     )
 
 
-def _closed(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
+def match_logouts(logouts: DataFrame, sessions: DataFrame, how: str = "inner") -> DataFrame:
+    """Logouts with their session; both the session and the admin must match.
+
+    With ``how="left"`` a logout that matches nothing keeps a NULL login time.
+    """
     known = sessions.select(F.col("id").alias("session_id"), "admin_id", "login_time", "ip_address")
-    return logouts.join(known, ["session_id", "admin_id"]).withColumn(
-        "session_duration", seconds_between("login_time", "event_time")
+    duration = seconds_between("login_time", "event_time")
+    return logouts.join(known, ["session_id", "admin_id"], how).select(
+        "session_id",
+        "admin_id",
+        "login_time",
+        "event_time",
+        "ip_address",
+        duration.alias("session_duration"),
+        F.concat(F.lit("Admin logged out after "), duration.cast("string"), F.lit(" seconds")).alias("description"),
     )
 
 
 def close_sessions(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sessions closed by a matching logout (session and admin must both match)."""
-    return _closed(logouts, sessions).select(
+    """Sessions closed by a matching logout."""
+    return match_logouts(logouts, sessions).select(
         "session_id",
         "admin_id",
         "login_time",
@@ -106,14 +120,12 @@ def close_sessions(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def logout_log(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
-    return _closed(logouts, sessions).select(
+    return match_logouts(logouts, sessions).select(
         "admin_id",
         "session_id",
         F.lit("LOGOUT").alias("activity_type"),
         F.lit("AUTHENTICATION").alias("activity_category"),
-        F.concat(
-            F.lit("Admin logged out after "), F.col("session_duration").cast("string"), F.lit(" seconds")
-        ).alias("activity_description"),
+        F.col("description").alias("activity_description"),
         "ip_address",
         F.col("event_time").alias("created_at"),
     )

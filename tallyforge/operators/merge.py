@@ -94,7 +94,7 @@ def change_log(old: DataFrame, new: DataFrame, key: str, fields: list[str], tabl
 
 def delete_cascade(child: DataFrame, column: str, deleted: DataFrame, deleted_key: str) -> DataFrame:
     """Child rows that survive the deletion of their parents."""
-    gone = deleted.select(F.col(deleted_key).alias(column)).distinct()
+    gone = deleted.select(F.col(deleted_key).alias(column))
     return child.join(gone, column, "left_anti").select(*child.columns)
 
 

@@ -67,7 +67,7 @@ def steps_up_to(values: DataFrame, steps: DataFrame, span: int = 4096) -> DataFr
     spans = merged.groupBy("_span").agg(
         F.sum("n").alias("_n"), F.max_by("best", F.when(F.col("best").isNotNull(), F.col("v"))).alias("_best")
     ).select(
-        "_span",
+        F.col("_span").alias("_from"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"),
         F.last("_best", ignorenulls=True).over(earlier).alias("_best"),
     )
@@ -75,6 +75,6 @@ def steps_up_to(values: DataFrame, steps: DataFrame, span: int = 4096) -> DataFr
         merged.withColumn("n", F.sum("n").over(inside))
         .withColumn("best", F.last("best", ignorenulls=True).over(inside))
         .filter(F.col("asked") == 1)
-        .join(spans, "_span")
+        .join(spans, F.col("_span").eqNullSafe(F.col("_from")))
         .select("v", (F.col("n") + F.col("_n")).alias("n"), F.coalesce("best", "_best").alias("best"))
     )

@@ -57,7 +57,7 @@ def sessionize(
     """
     gap, longest = gap_seconds * MICROS, max_seconds * MICROS
     timed = events.select(F.col(key), _epoch_micros(F.col(ts)).alias("_t"))
-    slotted = timed.withColumn("_slot", F.floor(F.col("_t") / gap))
+    slotted = timed.withColumn("_slot", F.col("_t") - F.pmod("_t", F.lit(gap)))
     slots = slotted.groupBy(key, "_slot").agg(
         F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count(F.lit(1)).alias("_n")
     )
@@ -67,19 +67,24 @@ def sessionize(
     started = slots.withColumn("_opens", opens).withColumn(
         "_start", F.last("_opens", ignorenulls=True).over(in_order)
     )
-    piece = lambda t: F.floor((t - F.col("_start")) / longest)
-    cut = piece(F.col("_lo")) != piece(F.col("_hi"))
+
+    def piece(t: Column) -> Column:
+        since = t - F.col("_start")
+        return since - F.pmod(since, F.lit(longest))
+
+    cut = (F.col("_n") > 1) & (piece(F.col("_lo")) != piece(F.col("_hi")))
     whole = started.filter(~cut).select(key, "_start", piece(F.col("_lo")).alias("_piece"), "_lo", "_hi", "_n")
-    apart = (
-        slotted.join(started.filter(cut).select(key, "_slot", "_start"), [key, "_slot"])
-        .select(
-            key,
-            "_start",
-            piece(F.col("_t")).alias("_piece"),
-            F.col("_t").alias("_lo"),
-            F.col("_t").alias("_hi"),
-            F.lit(1).cast("long").alias("_n"),
-        )
+    # null-safe equality adds no filters, so both uses of the slots share one shuffle
+    at_cut = started.filter(cut).select(F.col(key).alias("_key"), F.col("_slot").alias("_cut"), "_start")
+    apart = slotted.join(
+        at_cut, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_cut"))
+    ).select(
+        key,
+        "_start",
+        piece(F.col("_t")).alias("_piece"),
+        F.col("_t").alias("_lo"),
+        F.col("_t").alias("_hi"),
+        F.lit(1).cast("long").alias("_n"),
     )
     return (
         whole.unionByName(apart)

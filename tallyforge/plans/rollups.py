@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge.functions.dates import in_days, rows_of_days
 from tallyforge.functions.labels import count_where, http_error, http_success, mean_of, percentage, percentage_or_zero
@@ -219,10 +219,8 @@ def security_share(events: DataFrame) -> DataFrame:
         "n", F.expr("stack(2, 'status', status, 'severity', severity) AS (dimension, label)")
     )
     grouped = long.groupBy("dimension", "label").agg(F.sum("n").alias("events"))
-    totals = grouped.groupBy("dimension").agg(F.sum("events").alias("total"))
-    return grouped.join(totals, "dimension").select(
-        "dimension", "label", "events", percentage(F.col("events"), F.col("total"), 2).alias("share_pct")
-    )
+    total = F.sum("events").over(Window.partitionBy("dimension"))
+    return grouped.select("dimension", "label", "events", percentage(F.col("events"), total, 2).alias("share_pct"))
 
 
 def feedback_summary(feedback: DataFrame) -> DataFrame:

@@ -14,23 +14,20 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(schema_of(table)).parquet(path)
 
 
-def parse_requests(raw: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """JSON request bodies to (parsed, malformed) rows.
+def parse_requests(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """JSON request bodies as columns, in one pass.
 
-    ``schema`` is the expected body as DDL; a body that is not valid JSON keeps
-    its text in the malformed frame.
+    ``schema`` is the expected body as DDL. A body that is not valid JSON keeps its
+    text in ``malformed`` and NULL in every field; ``malformed`` is NULL otherwise.
     """
     fields = T.StructType.fromDDL(f"{schema}, {CORRUPT} STRING")
-    parsed = raw.withColumn(
-        "_body",
-        F.from_json(F.col(column), fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}),
-    )
+    body = F.from_json(F.col(column), fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     bad = F.col(f"_body.{CORRUPT}").isNotNull() | F.col("_body").isNull()
-    keep = [f.name for f in fields if f.name != CORRUPT]
     others = [c for c in raw.columns if c != column]
-    return (
-        parsed.filter(~bad).select(*others, *[F.col(f"_body.{n}").alias(n) for n in keep]),
-        parsed.filter(bad).select(*others, F.col(column).alias("body")),
+    return raw.withColumn("_body", body).select(
+        *others,
+        *[F.when(~bad, F.col(f"_body.{f.name}")).alias(f.name) for f in fields if f.name != CORRUPT],
+        F.when(bad, F.col(column)).alias("malformed"),
     )
 
 
