@@ -204,17 +204,17 @@ def affordable_rewards(profiles: DataFrame, rewards: DataFrame) -> DataFrame:
 # ---- intents --------------------------------------------------------------
 def _words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    cleaned = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.filter(F.split(cleaned, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _phrases(words: Column, length: int) -> Column:
-    """All runs of ``length`` consecutive words."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1)))
-    return F.coalesce(
-        F.transform(starts, lambda i: F.array_join(F.slice(words, i, length), " ")),
-        F.array().cast("array<string>"),
-    )
+def _phrases(words: Column, longest: int) -> Column:
+    """All distinct runs of one to ``longest`` consecutive words."""
+    runs = [words]
+    for n in range(2, longest + 1):
+        later = F.slice(words, F.lit(n), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        # the shorter array is padded with NULL, and so is the phrase it would end
+        runs.append(F.zip_with(runs[-1], later, lambda head, word: F.concat(head, F.lit(" "), word)))
+    return F.array_compact(F.array_distinct(F.concat(*runs)))
 
 
 def intent_keywords(knowledge: DataFrame) -> DataFrame:
@@ -236,10 +236,8 @@ def match_intents(messages: DataFrame, knowledge: DataFrame) -> DataFrame:
     """
     keywords = intent_keywords(knowledge)
     longest = keywords.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    words = F.col("_words")
-    runs = [_phrases(words, n) for n in range(1, longest + 1)]
     phrases = messages.select(F.col("id"), _words(F.col("message_content")).alias("_words")).select(
-        "id", F.explode(F.array_distinct(F.concat(*runs))).alias("phrase")
+        "id", F.explode(_phrases(F.col("_words"), longest)).alias("phrase")
     )
     hits = (
         phrases.join(keywords, "phrase")
