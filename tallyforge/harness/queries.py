@@ -822,8 +822,13 @@ def dedup_double_fire(f):
 DELAY = "40 days"
 
 
+def raw_stream(f: Fixtures, table: str) -> DataFrame:
+    """A test table as a file stream; the braces accept one file as well as a folder."""
+    return stream_files(f.spark, f"{f.sf_dir}/{{{table}.parquet}}", RAW_SCHEMAS[table])
+
+
 def _event_stream(f: Fixtures) -> DataFrame:
-    raw = stream_files(f.spark, f.sf_dir, RAW_SCHEMAS["events"], name_filter="events.parquet")
+    raw = raw_stream(f, "events")
     return shapes.with_k(raw)
 
 
@@ -844,11 +849,10 @@ def stream_ingest_append(f):
 def stream_upsert_points(f):
     """The order feed folded onto the profiles, one version per micro-batch."""
     root = scratch_path(f.spark, "profiles")
-    raw = stream_files(f.spark, f.sf_dir, RAW_SCHEMAS["orders"], name_filter="orders.parquet")
+    raw = raw_stream(f, "orders")
     feed = shapes.points_from(raw)
     state.keep_table(feed, state.points_fold, f.profiles, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    version = sinks.latest_version(f.spark, f"{root}/table")
-    return sinks.read_version(f.spark, f"{root}/table", version)
+    return state.current_table(f.spark, f"{root}/table", f.profiles)
 
 
 @query

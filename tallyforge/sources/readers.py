@@ -36,13 +36,10 @@ def stream_files(
     path: str,
     schema: str,
     file_format: str = "parquet",
-    name_filter: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
     """A file-based event feed; a message-queue source takes the same place in production."""
     reader = spark.readStream.schema(schema).format(file_format)
-    if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     return reader.load(path)

@@ -42,8 +42,12 @@ def export_json(sections: dict[str, DataFrame], folder: str, report: str, preset
 
 
 def append_by_day(df: DataFrame, path: str, ts: str) -> None:
-    """Append log rows below one folder per day."""
-    df.withColumn("date", F.to_date(ts)).write.mode("append").partitionBy("date").parquet(path)
+    """Append log rows below one folder per day.
+
+    The rebalance keeps a day's rows together in few files and splits a busy day.
+    """
+    dated = df.withColumn("date", F.to_date(ts))
+    dated.hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").parquet(path)
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:

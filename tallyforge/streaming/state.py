@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators import folds
-from tallyforge.sources.sinks import read_version, write_version
+from tallyforge.sources.sinks import latest_version, read_version, write_version
 from tallyforge.streaming.feeds import run
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
@@ -47,3 +47,9 @@ def keep_table(
 
     writer = feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return run(writer, trigger)
+
+
+def current_table(spark: SparkSession, root: str, initial: DataFrame) -> DataFrame:
+    """The latest committed version, or ``initial`` before the first batch."""
+    version = latest_version(spark, root)
+    return initial if version is None else read_version(spark, root, version)
