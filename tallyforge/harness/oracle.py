@@ -884,6 +884,7 @@ _BODIES: dict[str, str] = {
     "intent_match": _INTENT_MATCH,
     "points_upsert": _POINTS_COLUMNS,
     "stream_upsert_points": _POINTS_COLUMNS,
+    "stream_points_deltas": _POINTS_COLUMNS,
     "points_ledger": """
         SELECT user_id, type, count(*) AS ledger_rows, CAST(sum(points) AS BIGINT) AS points FROM tx GROUP BY 1, 2""",
     "daily_upsert": _DAILY_STATS,

@@ -855,6 +855,16 @@ def stream_upsert_points(f):
     return state.current_table(f.spark, f"{root}/table", f.profiles)
 
 
+@query
+def stream_points_deltas(f):
+    """The same feed kept as deltas, then compacted into a base."""
+    root = scratch_path(f.spark, "deltas")
+    state.keep_deltas(shapes.points_from(raw_stream(f, "orders")), state.POINTS, root, f"{root}/cp").awaitTermination()
+    initial = f.profiles.withColumn("eco_points", F.col("eco_points").cast("long"))
+    state.compact(f.spark, root, state.POINTS, initial)
+    return state.folded_table(f.spark, root, state.POINTS, initial)
+
+
 @query
 def stream_daily_counts(f):
     """The per-admin day counter kept in update mode."""

@@ -59,6 +59,17 @@ def merge_points(profiles: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def combine_points(deltas: DataFrame) -> DataFrame:
+    """Several batch halves, numbered by ``batch_id``, as one."""
+    order = F.col("batch_id")
+    return deltas.groupBy("user_id").agg(
+        F.sum("eco_points").alias("eco_points"),
+        last_known("display_name", order).alias("display_name"),
+        last_known("email", order).alias("email"),
+        F.min_by("joined_at", order).alias("joined_at"),
+    )
+
+
 def ledger_rows(feed: DataFrame) -> DataFrame:
     """The ledger entry appended with each points change."""
     return feed.select(
@@ -113,6 +124,19 @@ def feature_batch(log: DataFrame) -> DataFrame:
     )
 
 
+def combine_features(deltas: DataFrame) -> DataFrame:
+    order = F.col("batch_id")
+    return deltas.groupBy("admin_id", "feature_name").agg(
+        F.min_by("feature_category", order).alias("feature_category"),
+        F.sum("usage_count").alias("usage_count"),
+        F.max_by("last_used_at", order).alias("last_used_at"),
+        F.sum("spent").alias("spent"),
+        F.min_by("first_spent", order).alias("first_spent"),
+        F.sum("success_count").alias("success_count"),
+        F.sum("error_count").alias("error_count"),
+    )
+
+
 def start_features(batch: DataFrame) -> DataFrame:
     """The insert leaves the time counter at zero, so the first event is not timed."""
     return batch.select(
@@ -162,6 +186,10 @@ def merge_performance(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def combine_performance(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("admin_id", "date").agg(F.sum("total_activities").alias("total_activities"))
+
+
 def intent_batch(messages: DataFrame) -> DataFrame:
     return (
         messages.filter(F.col("intent_category").isNotNull())
@@ -171,6 +199,14 @@ def intent_batch(messages: DataFrame) -> DataFrame:
     )
 
 
+def combine_intents(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("intent_name").agg(
+        F.sum("trigger_count").alias("trigger_count"),
+        F.max_by("last_triggered_at", "batch_id").alias("last_triggered_at"),
+        F.first("intent_category").alias("intent_category"),
+    )
+
+
 def merge_intents(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     return merge(
         snapshot,

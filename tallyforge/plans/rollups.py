@@ -72,6 +72,18 @@ def daily_rollup(sessions: DataFrame, log: DataFrame, visits: DataFrame, usage:
     )
 
 
+def daily_rollup_of(
+    sessions: DataFrame, log: DataFrame, visits: DataFrame, usage: DataFrame, start: date, end: date
+) -> DataFrame:
+    """The rollup of some days only, reading only those days."""
+    return daily_rollup(
+        rows_of_days(sessions, "login_time", start, end),
+        rows_of_days(log, "created_at", start, end),
+        rows_of_days(visits, "created_at", start, end),
+        rows_of_days(usage, "last_used_at", start, end),
+    )
+
+
 def performance_rollup(sessions: DataFrame, log: DataFrame, visits: DataFrame) -> DataFrame:
     """Declared per-admin-and-day metrics; the activity counter is the reported one."""
     keys = ["admin_id", "date"]

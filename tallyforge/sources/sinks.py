@@ -50,6 +50,13 @@ def append_by_day(df: DataFrame, path: str, ts: str) -> None:
     dated.hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").parquet(path)
 
 
+def replace_days(df: DataFrame, path: str) -> None:
+    """Replace the day folders that occur in ``df`` and leave the others alone."""
+    df.hint("rebalance", F.col("date")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("date").parquet(path)
+
+
 def write_version(df: DataFrame, root: str, version: int) -> str:
     """Write a whole table under its version; writing the same version again replaces it."""
     path = f"{root}/v={version}"
@@ -57,13 +64,16 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     return path
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest version whose write was committed."""
+def committed_versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions whose write was committed, oldest first."""
     jvm = spark.sparkContext._jvm
     pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS")
     files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-    versions = [int(f.getPath().getParent().getName().split("=")[1]) for f in files or []]
-    return max(versions, default=None)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in files or [])
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    return max(committed_versions(spark, root), default=None)
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:

@@ -1,14 +1,22 @@
-"""Running tables: one fold per micro-batch onto the previous version."""
+"""Running tables kept by a stream.
+
+Two ways, with the same answer. :func:`keep_table` writes the whole table per
+micro-batch: simple, and right for tables that are small beside a batch.
+:func:`keep_deltas` writes only what a batch adds, one row per touched key, so a
+batch costs what the batch holds however large the table is; readers fold the
+deltas onto the last compacted base, and :func:`compact` bounds how many there are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators import folds
-from tallyforge.sources.sinks import latest_version, read_version, write_version
+from tallyforge.sources.sinks import committed_versions, latest_version, read_version, write_version
 from tallyforge.streaming.feeds import run
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
@@ -53,3 +61,47 @@ def current_table(spark: SparkSession, root: str, initial: DataFrame) -> DataFra
     """The latest committed version, or ``initial`` before the first batch."""
     version = latest_version(spark, root)
     return initial if version is None else read_version(spark, root, version)
+
+
+class Rule(NamedTuple):
+    """An update rule: its batch half, how halves add up, and how they meet the table."""
+
+    batch: Callable[[DataFrame], DataFrame]
+    combine: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame, DataFrame], DataFrame]
+
+
+POINTS = Rule(folds.points_batch, folds.combine_points, folds.merge_points)
+FEATURES = Rule(folds.feature_batch, folds.combine_features, folds.merge_features)
+PERFORMANCE = Rule(folds.performance_counter, folds.combine_performance, folds.merge_performance)
+INTENTS = Rule(folds.intent_batch, folds.combine_intents, folds.merge_intents)
+
+
+def keep_deltas(
+    feed: DataFrame, rule: Rule, root: str, checkpoint: str, trigger: str | None = None
+) -> StreamingQuery:
+    """Write each micro-batch's half; a replayed batch rewrites its own."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        write_version(rule.batch(batch).withColumn("batch_id", F.lit(batch_id)), f"{root}/delta", batch_id)
+
+    return run(feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), trigger)
+
+
+def folded_table(spark: SparkSession, root: str, rule: Rule, initial: DataFrame) -> DataFrame:
+    """The compacted base with all later deltas on top."""
+    base = latest_version(spark, f"{root}/base")
+    table = initial if base is None else read_version(spark, f"{root}/base", base)
+    later = [v for v in committed_versions(spark, f"{root}/delta") if base is None or v > base]
+    if not later:
+        return table
+    deltas = spark.read.parquet(*[f"{root}/delta/v={v}" for v in later])
+    return rule.merge(table, rule.combine(deltas)).select(*initial.columns)
+
+
+def compact(spark: SparkSession, root: str, rule: Rule, initial: DataFrame) -> int | None:
+    """Write a base that holds every delta so far; returns its version."""
+    newest = latest_version(spark, f"{root}/delta")
+    if newest is not None and newest != latest_version(spark, f"{root}/base"):
+        write_version(folded_table(spark, root, rule, initial), f"{root}/base", newest)
+    return newest

@@ -10,6 +10,7 @@ from pyspark.sql import Window, functions as F
 from tallyforge.operators import lookups, merge, quality, sessions
 from tallyforge.operators.aggregates import several_distincts
 from tallyforge.operators.ranking import global_row_number, steps_up_to
+from tallyforge.plans.rewards import transaction_summary
 from tallyforge.sources.readers import parse_requests
 
 T0 = datetime(2024, 1, 1)
@@ -210,3 +211,39 @@ def test_login_logout(spark):
     assert len(closed) == 1 and closed[0].session_duration == 90 and not closed[0].is_active
     assert lookups.logout_log(outs, logins).first().activity_description == "Admin logged out after 90 seconds"
     assert lookups.rejected_logouts(outs, logins).count() == 2
+
+
+def test_hot_user_is_split_in_the_ledger_join(spark):
+    """A third of the ledger on one user: the join splits that user's partition."""
+    ledger = spark.range(0, 300_000, 1, 4).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("user_id"),
+        F.lit(1).alias("points"),
+        F.lit("waste_deposit").alias("type"),
+        F.lit("plastic").alias("waste_category"),
+        F.lit(T0.isoformat(sep=" ")).cast("timestamp_ntz").alias("timestamp"),
+    )
+    profiles = spark.range(0, 100_000, 1, 4).select(
+        F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("user_id"),
+        F.lit("n").alias("display_name"),
+        F.lit("e").alias("email"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = transaction_summary(ledger, profiles)
+        joined.write.format("noop").mode("overwrite").save()
+        assert joined.count() == 300_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -2,9 +2,10 @@ from datetime import date
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tallyforge.harness.queries import tables_of
-from tallyforge.plans import reports
+from tallyforge.plans import reports, rollups
 from tallyforge.plans.activity import daily_trends
 from tallyforge.sources import sinks
 from tallyforge.sources.schemas import DDL, DEFAULTS, ENUMS, FOREIGN_KEYS, UNIQUE_KEYS, schema_of
@@ -99,3 +100,17 @@ def test_day_folders_are_pruned(spark, data, tmp_path):
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual" in plan
     assert rows(pruned) == rows(daily_trends(data.activity_log, date(2024, 1, 13), date(2024, 1, 20)))
+
+
+def test_replace_days_rewrites_only_those(spark, data, tmp_path):
+    t = tables_of(data)
+    path = f"{tmp_path}/rollup"
+    whole = rollups.daily_rollup(t.sessions, t.log, t.visits, t.usage)
+    sinks.replace_days(whole.withColumn("total_activities", F.lit(-1).cast("long")), path)
+    start, end = date(2024, 1, 10), date(2024, 1, 12)
+    sinks.replace_days(rollups.daily_rollup_of(t.sessions, t.log, t.visits, t.usage, start, end), path)
+    stored = spark.read.parquet(path)
+    fresh = stored.filter("total_activities >= 0")
+    assert stored.count() == whole.count() and fresh.count() == 3
+    columns = ["date", "total_admin_logins", "total_activities", "total_page_views", "most_active_admin", "most_used_feature"]
+    assert rows(fresh, *columns) == rows(whole.filter(F.col("date").between(start, end)), *columns)

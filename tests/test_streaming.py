@@ -89,6 +89,9 @@ FEED = "id BIGINT, user_id STRING, points_delta INT, display_name STRING, email
 PROFILE = "user_id STRING, email STRING, display_name STRING, eco_points BIGINT, joined_at TIMESTAMP_NTZ"
 
 
+PROFILE_COLUMNS = ["user_id", "email", "display_name", "eco_points", "joined_at"]
+
+
 def deltas(n, first=0):
     return [
         (i, f"u{i % 4}", i % 9 - 3, f"n{i}" if i % 5 == 0 else None, f"e{i}" if i % 3 == 0 else None, T0 + timedelta(seconds=i))
@@ -115,6 +118,41 @@ def test_running_table_is_exact_over_restarts(spark, tmp_path):
     assert rows(got, *whole.columns) == rows(whole)
 
 
+def test_deltas_with_compaction_equal_one_fold(spark, tmp_path):
+    source, root, checkpoint = tmp_path / "in", f"{tmp_path}/table", f"{tmp_path}/cp"
+    initial = spark.createDataFrame([("u0", None, "first", 100, T0)], PROFILE)
+
+    def run():
+        feed = stream_files(spark, str(source), FEED, files_per_batch=1)
+        state.keep_deltas(feed, state.POINTS, root, checkpoint).awaitTermination()
+
+    assert rows(state.folded_table(spark, root, state.POINTS, initial)) == rows(initial)
+    for first in (0, 20, 40):
+        write_files(spark, source, [deltas(10, first), deltas(10, first + 10)], FEED)
+        run()
+        whole = state.points_fold(initial, spark.createDataFrame(deltas(first + 20), FEED))
+        assert rows(state.folded_table(spark, root, state.POINTS, initial), *PROFILE_COLUMNS) == rows(whole, *PROFILE_COLUMNS)
+        if first == 20:
+            assert state.compact(spark, root, state.POINTS, initial) == 3
+    assert sinks.committed_versions(spark, f"{root}/delta") == list(range(6))
+    assert sinks.committed_versions(spark, f"{root}/base") == [3]
+
+
+def test_combined_deltas_equal_one_batch(spark, data):
+    log = data.activity_log
+    messages = data.chat_messages
+    for rule, frame, columns in (
+        (state.FEATURES, log, ["admin_id", "feature_name", "feature_category", "usage_count", "last_used_at", "spent",
+                               "first_spent", "success_count", "error_count"]),
+        (state.PERFORMANCE, log, ["admin_id", "date", "total_activities"]),
+        (state.INTENTS, messages, ["intent_name", "intent_category", "trigger_count", "last_triggered_at"]),
+    ):
+        middle = frame.agg(F.expr("percentile(id, 0.5)")).first()[0]
+        halves = [frame.filter(F.col("id") <= middle), frame.filter(F.col("id") > middle)]
+        parts = [rule.batch(h).withColumn("batch_id", F.lit(i)) for i, h in enumerate(halves)]
+        assert rows(rule.combine(parts[0].unionByName(parts[1])), *columns) == rows(rule.batch(frame), *columns)
+
+
 def test_replayed_batch_replaces_its_version(spark, tmp_path):
     root = f"{tmp_path}/table"
     initial = spark.createDataFrame([], PROFILE)
