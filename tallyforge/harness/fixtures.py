@@ -52,10 +52,6 @@ KNOWLEDGE_BASE = [
 ]
 
 
-def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, ts)
-
-
 def literal_ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -83,7 +79,17 @@ class Fixtures:
     @cached_property
     def admins(self) -> DataFrame:
         """Customers in credit; events of the others are orphans."""
-        return admins_from(self.raw("customer"))
+        return (
+            self.raw("customer")
+            .filter("c_acctbal >= 0")
+            .selectExpr(
+                "c_custkey AS id",
+                "c_name AS username",
+                "CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'FURNITURE' THEN '' "
+                "ELSE concat('Admin ', c_custkey) END AS display_name",
+                "c_mktsegment <> 'MACHINERY' AS is_active",
+            )
+        )
 
     @cached_property
     def activity_log(self) -> DataFrame:
@@ -91,124 +97,136 @@ class Fixtures:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return sessions_from(self.ev)
+        seconds = "CAST(floor(value * 10) AS INT)"
+        return self.ev.filter("event_type = 'signup'").selectExpr(
+            "event_id AS id",
+            "user_id AS admin_id",
+            "concat('sess_', event_id) AS session_token",
+            "concat('10.0.0.', k) AS ip_address",
+            "ts AS login_time",
+            f"CASE WHEN k % 3 <> 0 THEN timestampadd(SECOND, {seconds}, ts) END AS logout_time",
+            "k % 3 = 0 AS is_active",
+            f"CASE WHEN k % 3 = 0 THEN 0 ELSE {seconds} END AS session_duration",
+        )
 
     @cached_property
     def page_visits(self) -> DataFrame:
-        k = F.col("k")
-        agent = F.element_at(F.array(*[F.lit(u) for u in USER_AGENTS]), (k % 6 + 1).cast("int"))
-        page = F.concat(F.lit("page_"), (k % 5).cast("string"))
-        return self.ev.filter(F.col("event_type") == "view").select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("admin_id"),
-            page.alias("page_name"),
-            F.concat(F.lit("/app/"), page).alias("page_url"),
-            F.floor("value").cast("int").alias("visit_duration"),
-            agent.alias("user_agent"),
-            F.when(k % 3 == 0, "375x812").when(k % 3 == 1, "800x600").otherwise("1920x1080").alias("screen_resolution"),
-            F.col("ts").alias("created_at"),
+        agents = " ".join(f"WHEN {i} THEN '{agent}'" for i, agent in enumerate(USER_AGENTS))
+        return self.ev.filter("event_type = 'view'").selectExpr(
+            "event_id AS id",
+            "user_id AS admin_id",
+            "concat('page_', k % 5) AS page_name",
+            "concat('/app/page_', k % 5) AS page_url",
+            "CAST(floor(value) AS INT) AS visit_duration",
+            f"CASE k % 6 {agents} END AS user_agent",
+            "CASE k % 3 WHEN 0 THEN '375x812' WHEN 1 THEN '800x600' ELSE '1920x1080' END AS screen_resolution",
+            "ts AS created_at",
         )
 
     @cached_property
     def security_events(self) -> DataFrame:
-        k = F.col("k")
-        resolved = F.when(k % 5 == 0, F.lit(None).cast("boolean")).when(k % 5 <= 2, True).otherwise(False)
-        return self.ev.filter(F.col("event_type") == "error").select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("admin_id"),
-            F.concat(F.lit("TYPE_"), (k % 3).cast("string")).alias("event_type"),
-            F.when(k % 4 == 0, "LOW")
-            .when(k % 4 == 1, "MEDIUM")
-            .when(k % 4 == 2, "HIGH")
-            .otherwise("CRITICAL")
-            .alias("event_severity"),
-            F.concat(F.lit("event "), k.cast("string")).alias("event_description"),
-            F.concat(F.lit("10.0.0."), k.cast("string")).alias("ip_address"),
-            resolved.alias("is_resolved"),
-            F.when(resolved, plus_seconds(F.col("ts"), F.lit(3600))).alias("resolved_at"),
-            F.col("ts").alias("created_at"),
+        return self.ev.filter("event_type = 'error'").selectExpr(
+            "event_id AS id",
+            "user_id AS admin_id",
+            "concat('TYPE_', k % 3) AS event_type",
+            "CASE k % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS event_severity",
+            "concat('event ', k) AS event_description",
+            "concat('10.0.0.', k) AS ip_address",
+            "CASE WHEN k % 5 <> 0 THEN k % 5 <= 2 END AS is_resolved",
+            "CASE WHEN k % 5 IN (1, 2) THEN timestampadd(HOUR, 1, ts) END AS resolved_at",
+            "ts AS created_at",
         )
 
     # ---- points and rewards -----------------------------------------------
     @cached_property
     def profiles(self) -> DataFrame:
-        return profiles_from(self.raw("customer"))
+        return self.raw("customer").selectExpr(
+            "CAST(c_custkey AS STRING) AS user_id",
+            "CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN concat(c_name, '@example.com') END AS email",
+            "CASE WHEN c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') THEN c_name END AS display_name",
+            "CAST(floor(c_acctbal) AS INT) AS eco_points",
+            "timestampadd(DAY, CAST(c_custkey % 365 AS INT), TIMESTAMP_NTZ '2023-01-01 00:00:00') AS joined_at",
+        )
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return transactions_from(self.raw("orders"))
+        return self.raw("orders").selectExpr(
+            "CAST(o_orderkey AS STRING) AS id",
+            f"{LEDGER_USER} AS user_id",
+            f"{SIGNED_POINTS} AS points",
+            f"{LEDGER_TYPE} AS type",
+            "CASE WHEN o_orderstatus = 'F' THEN 'Redeem: Free Coffee' WHEN o_orderpriority = '1-URGENT' THEN 'plastic' "
+            "WHEN o_orderpriority = '2-HIGH' THEN 'paper' WHEN o_orderpriority = '3-MEDIUM' THEN 'steel' "
+            "WHEN o_orderpriority = '5-LOW' THEN 'organic' END AS waste_category",
+            "o_orderdate AS timestamp",
+        )
 
     @cached_property
     def waste_categories(self) -> DataFrame:
-        return literal_table(self.spark, CATEGORY_POINTS, "category_name, points_value").withColumn(
-            "is_active", F.lit(True)
-        )
+        return literal_table(self.spark, CATEGORY_POINTS, "category_name, points_value").selectExpr("*", "true AS is_active")
 
     @cached_property
     def detection_mapping(self) -> DataFrame:
-        return (
-            literal_table(self.spark, DETECTION_CLASSES, "coco_class, waste_category")
-            .withColumn("confidence_threshold", F.lit("0.35").cast("decimal(3,2)"))
-            .withColumn("is_active", F.lit(True))
+        return literal_table(self.spark, DETECTION_CLASSES, "coco_class, waste_category").selectExpr(
+            "*", "CAST(0.35 AS DECIMAL(3,2)) AS confidence_threshold", "true AS is_active"
         )
 
     @cached_property
     def detections(self) -> DataFrame:
-        part = self.raw("part").select("p_partkey", "p_type")
+        part = self.raw("part").selectExpr("p_partkey AS l_partkey", "p_type")
         return (
             self.raw("lineitem")
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .select(
-                F.col("l_orderkey").alias("order_id"),
-                F.col("l_linenumber").alias("line"),
-                F.col("p_type").alias("coco_class"),
-                (F.col("l_discount") * 10).cast("decimal(3,2)").alias("confidence"),
+            .join(part, "l_partkey")
+            .selectExpr(
+                "l_orderkey AS order_id",
+                "l_linenumber AS line",
+                "p_type AS coco_class",
+                "CAST(l_discount * 10 AS DECIMAL(3,2)) AS confidence",
             )
         )
 
     @cached_property
     def rewards(self) -> DataFrame:
-        return self.raw("part").select(
-            F.concat(F.lit("r-"), F.col("p_partkey").cast("string")).alias("id"),
-            F.col("p_name").alias("title"),
-            F.floor("p_retailprice").cast("int").alias("cost_points"),
-            (F.col("p_size") > 10).alias("is_active"),
+        return self.raw("part").selectExpr(
+            "concat('r-', p_partkey) AS id",
+            "p_name AS title",
+            "CAST(floor(p_retailprice) AS INT) AS cost_points",
+            "p_size > 10 AS is_active",
         )
 
     # ---- chat ---------------------------------------------------------------
     @cached_property
     def chat_sessions(self) -> DataFrame:
-        conv = F.col("conv_id")
-        started = plus_seconds(literal_ts("2024-01-01 00:00:00"), (conv * 3600).cast("int"))
-        turns = self.raw("conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-        return turns.select(
-            conv.alias("id"),
-            F.concat(F.lit("c"), conv.cast("string")).alias("session_id"),
-            (conv % 10).cast("string").alias("user_id"),
-            started.alias("started_at"),
-            F.when(conv % 5 != 0, plus_seconds(started, (F.col("last_turn") * 90).cast("int"))).alias("ended_at"),
+        return (
+            self.raw("conversations")
+            .groupBy("conv_id")
+            .agg(F.max("turn").alias("last_turn"))
+            .selectExpr(
+                "conv_id AS id",
+                "concat('c', conv_id) AS session_id",
+                "CAST(conv_id % 10 AS STRING) AS user_id",
+                f"{CHAT_START} AS started_at",
+                f"CASE WHEN conv_id % 5 <> 0 THEN timestampadd(SECOND, CAST(last_turn * 90 AS INT), {CHAT_START}) END "
+                "AS ended_at",
+            )
         )
 
     @cached_property
     def chat_messages(self) -> DataFrame:
-        conv, turn, size = F.col("conv_id"), F.col("turn"), F.length("text")
-        mix = (conv + turn) % 3
-        bot = F.col("role") == "assistant"
-        return self.raw("conversations").select(
-            (conv * 1000 + turn).alias("id"),
-            F.concat(F.lit("c"), conv.cast("string")).alias("session_id"),
-            (conv % 10).cast("string").alias("user_id"),
-            F.when(bot, "bot").otherwise(F.col("role")).alias("message_type"),
-            F.col("text").alias("message_content"),
-            F.when(bot, size % 500).otherwise(0).cast("int").alias("response_time_ms"),
-            F.when(bot & (mix != 0), (conv + turn) % 5 + 1).cast("int").alias("user_rating"),
-            F.when(bot & (mix == 1), True).when(bot & (mix == 2), False).alias("is_helpful"),
-            F.when(
-                F.col("role") != "user",
-                F.when(size % 4 == 0, "earn_points").when(size % 4 == 1, "recycling").when(size % 4 == 2, "rewards"),
-            ).alias("intent_category"),
-            ((size % 100) / 100).cast("decimal(3,2)").alias("confidence_score"),
-            plus_seconds(literal_ts("2024-01-01 00:00:00"), (conv * 3600 + turn * 90).cast("int")).alias("created_at"),
+        return self.raw("conversations").selectExpr(
+            "conv_id * 1000 + turn AS id",
+            "concat('c', conv_id) AS session_id",
+            "CAST(conv_id % 10 AS STRING) AS user_id",
+            "CASE role WHEN 'assistant' THEN 'bot' ELSE role END AS message_type",
+            "text AS message_content",
+            "CASE WHEN role = 'assistant' THEN length(text) % 500 ELSE 0 END AS response_time_ms",
+            "CASE WHEN role = 'assistant' AND (conv_id + turn) % 3 <> 0 "
+            "THEN CAST((conv_id + turn) % 5 + 1 AS INT) END AS user_rating",
+            "CASE WHEN role = 'assistant' AND (conv_id + turn) % 3 <> 0 THEN (conv_id + turn) % 3 = 1 END AS is_helpful",
+            "CASE WHEN role <> 'user' THEN CASE length(text) % 4 WHEN 0 THEN 'earn_points' WHEN 1 THEN 'recycling' "
+            "WHEN 2 THEN 'rewards' END END AS intent_category",
+            "CAST((length(text) % 100) / 100 AS DECIMAL(3,2)) AS confidence_score",
+            f"timestampadd(SECOND, CAST(turn * 90 AS INT), {CHAT_START}) AS created_at",
         )
 
     @cached_property
@@ -216,287 +234,157 @@ class Fixtures:
         """Customers in credit; feeds that mention the others create new users."""
         return (
             self.raw("customer")
-            .filter(F.col("c_acctbal") >= 0)
-            .select(
-                F.col("c_custkey").cast("string").alias("user_id"),
-                F.concat(F.col("c_name"), F.lit("@example.com")).alias("email"),
-                F.col("c_name").alias("display_name"),
-                F.lit(None).cast("string").alias("first_name"),
-                F.lit(None).cast("string").alias("last_name"),
-                F.lit(None).cast("string").alias("phone"),
-                F.lit(None).cast("timestamp_ntz").alias("last_active_at"),
+            .filter("c_acctbal >= 0")
+            .selectExpr(
+                "CAST(c_custkey AS STRING) AS user_id",
+                "concat(c_name, '@example.com') AS email",
+                "c_name AS display_name",
+                "CAST(NULL AS STRING) AS first_name",
+                "CAST(NULL AS STRING) AS last_name",
+                "CAST(NULL AS STRING) AS phone",
+                "CAST(NULL AS TIMESTAMP_NTZ) AS last_active_at",
             )
         )
 
     @cached_property
     def user_feedback(self) -> DataFrame:
-        rating = F.col("user_rating")
-        return self.chat_messages.filter(rating.isNotNull()).select(
+        return self.chat_messages.filter("user_rating IS NOT NULL").selectExpr(
             "id",
             "user_id",
-            F.col("id").alias("message_id"),
-            F.when(rating >= 4, "positive").when(rating <= 2, "negative").otherwise("neutral").alias("feedback_type"),
-            rating.alias("rating"),
-            (F.col("id") % 2 == 0).alias("is_resolved"),
+            "id AS message_id",
+            "CASE WHEN user_rating >= 4 THEN 'positive' WHEN user_rating <= 2 THEN 'negative' ELSE 'neutral' END "
+            "AS feedback_type",
+            "user_rating AS rating",
+            "id % 2 = 0 AS is_resolved",
         )
 
     @cached_property
     def preferences(self) -> DataFrame:
-        return (
-            self.raw("customer")
-            .select(
-                F.col("c_custkey").cast("string").alias("user_id"),
-                F.expr(
-                    "stack(2, 'segment', c_mktsegment, 'nation', CAST(c_nationkey AS STRING)) "
-                    "AS (preference_key, preference_value)"
-                ),
-            )
+        return self.raw("customer").selectExpr(
+            "CAST(c_custkey AS STRING) AS user_id",
+            "stack(2, 'segment', c_mktsegment, 'nation', CAST(c_nationkey AS STRING)) AS (preference_key, preference_value)",
         )
 
     @cached_property
     def knowledge_base(self) -> DataFrame:
-        return literal_table(self.spark, KNOWLEDGE_BASE, "category, keywords, priority").withColumn("is_active", F.lit(True))
+        return literal_table(self.spark, KNOWLEDGE_BASE, "category, keywords, priority").selectExpr("*", "true AS is_active")
 
     # ---- feeds --------------------------------------------------------------
     @cached_property
     def points_feed(self) -> DataFrame:
         return points_from(self.raw("orders"))
 
-    @cached_property
-    def user_feedback(self) -> DataFrame:
-        rating = F.col("user_rating")
-        return self.chat_messages.filter(rating.isNotNull()).select(
-            "id",
-            "user_id",
-            F.col("id").alias("message_id"),
-            F.when(rating >= 4, "positive").when(rating <= 2, "negative").otherwise("neutral").alias("feedback_type"),
-            rating.alias("rating"),
-            (F.col("id") % 2 == 0).alias("is_resolved"),
-        )
-
-    @cached_property
-    def preferences(self) -> DataFrame:
-        return (
-            self.raw("customer")
-            .select(
-                F.col("c_custkey").cast("string").alias("user_id"),
-                F.expr(
-                    "stack(2, 'segment', c_mktsegment, 'nation', CAST(c_nationkey AS STRING)) "
-                    "AS (preference_key, preference_value)"
-                ),
-            )
-        )
-
-    @cached_property
-    def knowledge_base(self) -> DataFrame:
-        return literal_table(self.spark, KNOWLEDGE_BASE, "category, keywords, priority").withColumn("is_active", F.lit(True))
-
-    # ---- feeds --------------------------------------------------------------
-    @cached_property
-    def points_feed(self) -> DataFrame:
-        """One delta per order, naming the user only now and then."""
-        key = F.col("o_orderkey").cast("string")
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("id"),
-            F.when(F.col("o_custkey") % 50 == 0, F.col("o_custkey") + 1000000)
-            .otherwise(F.col("o_custkey"))
-            .cast("string")
-            .alias("user_id"),
-            signed_points().alias("points_delta"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("name "), key)).alias("display_name"),
-            F.when(F.col("o_orderstatus") == "P", F.concat(key, F.lit("@feed.example"))).alias("email"),
-            F.when(F.col("o_orderstatus") == "F", "redeem").otherwise("waste_deposit").alias("type"),
-            F.col("o_orderdate").alias("event_time"),
-        )
-
     @cached_property
     def user_feed(self) -> DataFrame:
-        key = F.col("o_orderkey").cast("string")
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("id"),
-            F.col("o_custkey").cast("string").alias("user_id"),
-            F.when(F.col("o_orderstatus") == "P", F.concat(key, F.lit("@feed.example"))).alias("email"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("name "), key)).alias("display_name"),
-            F.when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("first "), key)).alias("first_name"),
-            F.when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("last "), key)).alias("last_name"),
-            F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("+"), key)).alias("phone"),
-            F.col("o_orderdate").alias("event_time"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS id",
+            "CAST(o_custkey AS STRING) AS user_id",
+            "CASE WHEN o_orderstatus = 'P' THEN concat(o_orderkey, '@feed.example') END AS email",
+            "CASE WHEN o_orderpriority = '1-URGENT' THEN concat('name ', o_orderkey) END AS display_name",
+            "CASE WHEN o_orderpriority = '2-HIGH' THEN concat('first ', o_orderkey) END AS first_name",
+            "CASE WHEN o_orderpriority = '3-MEDIUM' THEN concat('last ', o_orderkey) END AS last_name",
+            "CASE WHEN o_orderpriority = '5-LOW' THEN concat('+', o_orderkey) END AS phone",
+            "o_orderdate AS event_time",
         )
 
     @cached_property
     def request_feed(self) -> DataFrame:
-        """Activity requests as they arrive: some lack a field, many an active session."""
         return requests_from(self.ev)
 
     @cached_property
     def logout_feed(self) -> DataFrame:
-        """A logout per session; every fourth names the wrong admin."""
-        k = F.col("k")
-        return self.ev.filter(F.col("event_type") == "signup").select(
-            F.col("event_id").alias("session_id"),
-            (F.col("user_id") + F.when(k % 4 == 0, 1).otherwise(0)).alias("admin_id"),
-            plus_seconds(F.col("ts"), F.floor(F.col("value") * 10).cast("int")).alias("event_time"),
+        """A logout per session; some name the wrong admin."""
+        return self.ev.filter("event_type = 'signup'").selectExpr(
+            "event_id AS session_id",
+            "user_id + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS admin_id",
+            "timestampadd(SECOND, CAST(floor(value * 10) AS INT), ts) AS event_time",
         )
 
     @cached_property
     def failed_requests(self) -> DataFrame:
-        return retry_queue(self.ev.filter(F.col("event_type") == "error"))
+        return retry_queue(self.ev.filter("event_type = 'error'"))
 
     @cached_property
     def retried_requests(self) -> DataFrame:
-        return retry_queue(self.ev.filter((F.col("event_type") == "error") & (F.col("value") < 50)))
+        return retry_queue(self.ev.filter("event_type = 'error' AND value < 50"))
 
     @cached_property
     def registrations(self) -> DataFrame:
-        bad = F.col("c_custkey") % 7
-        return self.raw("customer").select(
-            F.col("c_custkey").alias("id"),
-            F.when(bad == 1, "ab").when(bad == 2, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", "_")).alias(
-                "username"
-            ),
-            F.when(bad == 3, F.lit("no-at.example"))
-            .when(bad == 4, F.lit("a b@example.com"))
-            .otherwise(F.concat(F.regexp_replace("c_name", "#", "."), F.lit("@example.com")))
-            .alias("email"),
-            F.when(bad == 5, " A ").otherwise("Customer").alias("first_name"),
-            F.when(bad == 6, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("last_name"),
+        """Sign-ups of all customers, with a defect that depends on the key."""
+        return self.raw("customer").selectExpr(
+            "c_custkey AS id",
+            "CASE c_custkey % 7 WHEN 1 THEN 'ab' WHEN 2 THEN c_name ELSE replace(c_name, '#', '_') END AS username",
+            "CASE c_custkey % 7 WHEN 3 THEN 'no-at.example' WHEN 4 THEN 'a b@example.com' "
+            "ELSE concat(replace(c_name, '#', '.'), '@example.com') END AS email",
+            "CASE c_custkey % 7 WHEN 5 THEN ' A ' ELSE 'Customer' END AS first_name",
+            "CASE WHEN c_custkey % 7 <> 6 THEN c_mktsegment END AS last_name",
         )
 
 
-def with_k(events: DataFrame) -> DataFrame:
-    return events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
-
-
-def admins_from(customer: DataFrame) -> DataFrame:
-    return customer.filter(F.col("c_acctbal") >= 0).select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("username"),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.lit(None).cast("string"))
-        .when(F.col("c_mktsegment") == "FURNITURE", F.lit(""))
-        .otherwise(F.concat(F.lit("Admin "), F.col("c_custkey").cast("string")))
-        .alias("display_name"),
-        (F.col("c_mktsegment") != "MACHINERY").alias("is_active"),
-    )
-
-
-def activity_from(ev: DataFrame) -> DataFrame:
-    k, kind = F.col("k"), F.col("event_type")
-    return ev.select(
-        F.col("event_id").alias("id"),
-        F.col("user_id").alias("admin_id"),
-        kind.alias("activity_type"),
-        F.when(kind.isin("click", "view"), "NAVIGATION")
-        .when(kind == "purchase", "DATA")
-        .when(kind == "signup", "USER")
-        .otherwise("SYSTEM")
-        .alias("activity_category"),
-        F.concat(kind, F.lit(" #"), k.cast("string")).alias("activity_description"),
-        F.when(k % 7 != 0, F.concat(F.lit("feature_"), (k % 10).cast("string"))).alias("target_resource"),
-        k.cast("string").alias("target_id"),
-        F.concat(F.lit("10.0.0."), k.cast("string")).alias("ip_address"),
-        F.when((kind == "error") & (k % 2 == 0), 500)
-        .when(kind == "error", 404)
-        .when(k % 11 == 0, F.lit(None).cast("int"))
-        .when(k % 13 == 0, 302)
-        .otherwise(200)
-        .alias("response_status"),
-        F.floor("value").cast("int").alias("execution_time_ms"),
-        F.col("props").alias("additional_data"),
-        F.col("ts").alias("created_at"),
-    )
-
-
-def sessions_from(ev: DataFrame) -> DataFrame:
-    active = F.col("k") % 3 == 0
-    seconds = F.floor(F.col("value") * 10).cast("int")
-    return ev.filter(F.col("event_type") == "signup").select(
-        F.col("event_id").alias("id"),
-        F.col("user_id").alias("admin_id"),
-        F.concat(F.lit("sess_"), F.col("event_id").cast("string")).alias("session_token"),
-        F.concat(F.lit("10.0.0."), F.col("k").cast("string")).alias("ip_address"),
-        F.col("ts").alias("login_time"),
-        F.when(~active, plus_seconds(F.col("ts"), seconds)).alias("logout_time"),
-        active.alias("is_active"),
-        F.when(active, 0).otherwise(seconds).alias("session_duration"),
-    )
+CHAT_START = "timestampadd(SECOND, CAST(conv_id * 3600 AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')"
+LEDGER_USER = "CAST(CASE WHEN o_custkey % 50 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS STRING)"
+LEDGER_TYPE = "CASE WHEN o_orderstatus = 'F' THEN 'redeem' ELSE 'waste_deposit' END"
+SIGNED_POINTS = (
+    "CAST(CASE WHEN o_orderkey % 97 = 0 THEN 0 WHEN o_orderstatus = 'F' THEN -floor(o_totalprice / 1000) "
+    "ELSE floor(o_totalprice / 1000) END AS INT)"
+)
 
 
-def profiles_from(customer: DataFrame) -> DataFrame:
-    segment = F.col("c_mktsegment")
-    return customer.select(
-        F.col("c_custkey").cast("string").alias("user_id"),
-        F.when(segment != "HOUSEHOLD", F.concat(F.col("c_name"), F.lit("@example.com"))).alias("email"),
-        F.when(~segment.isin("BUILDING", "HOUSEHOLD"), F.col("c_name")).alias("display_name"),
-        F.floor("c_acctbal").cast("int").alias("eco_points"),
-        plus_seconds(literal_ts("2023-01-01 00:00:00"), (F.col("c_custkey") % 365 * 86400).cast("int")).alias("joined_at"),
-    )
-
-
-def signed_points() -> Column:
-    size = F.floor(F.col("o_totalprice") / 1000).cast("int")
-    return (
-        F.when(F.col("o_orderkey") % 97 == 0, 0).when(F.col("o_orderstatus") == "F", -size).otherwise(size).cast("int")
-    )
+def with_k(events: DataFrame) -> DataFrame:
+    return events.selectExpr("*", "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k")
 
 
-def transactions_from(orders: DataFrame) -> DataFrame:
-    priority = F.col("o_orderpriority")
-    return orders.select(
-        F.col("o_orderkey").cast("string").alias("id"),
-        F.when(F.col("o_custkey") % 50 == 0, F.col("o_custkey") + 1000000)
-        .otherwise(F.col("o_custkey"))
-        .cast("string")
-        .alias("user_id"),
-        signed_points().alias("points"),
-        F.when(F.col("o_orderstatus") == "F", "redeem").otherwise("waste_deposit").alias("type"),
-        F.when(F.col("o_orderstatus") == "F", "Redeem: Free Coffee")
-        .when(priority == "1-URGENT", "plastic")
-        .when(priority == "2-HIGH", "paper")
-        .when(priority == "3-MEDIUM", "steel")
-        .when(priority == "5-LOW", "organic")
-        .alias("waste_category"),
-        F.col("o_orderdate").alias("timestamp"),
+def activity_from(ev: DataFrame) -> DataFrame:
+    return ev.selectExpr(
+        "event_id AS id",
+        "user_id AS admin_id",
+        "event_type AS activity_type",
+        "CASE WHEN event_type IN ('click', 'view') THEN 'NAVIGATION' WHEN event_type = 'purchase' THEN 'DATA' "
+        "WHEN event_type = 'signup' THEN 'USER' ELSE 'SYSTEM' END AS activity_category",
+        "concat(event_type, ' #', k) AS activity_description",
+        "CASE WHEN k % 7 <> 0 THEN concat('feature_', k % 10) END AS target_resource",
+        "CAST(k AS STRING) AS target_id",
+        "concat('10.0.0.', k) AS ip_address",
+        "CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 500 WHEN event_type = 'error' THEN 404 "
+        "WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN 302 ELSE 200 END AS response_status",
+        "CAST(floor(value) AS INT) AS execution_time_ms",
+        "props AS additional_data",
+        "ts AS created_at",
     )
 
 
 def points_from(orders: DataFrame) -> DataFrame:
     """One delta per order, naming the user only now and then."""
-    key = F.col("o_orderkey").cast("string")
-    return orders.select(
-        F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_custkey") % 50 == 0, F.col("o_custkey") + 1000000)
-        .otherwise(F.col("o_custkey"))
-        .cast("string")
-        .alias("user_id"),
-        signed_points().alias("points_delta"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("name "), key)).alias("display_name"),
-        F.when(F.col("o_orderstatus") == "P", F.concat(key, F.lit("@feed.example"))).alias("email"),
-        F.when(F.col("o_orderstatus") == "F", "redeem").otherwise("waste_deposit").alias("type"),
-        F.col("o_orderdate").alias("event_time"),
+    return orders.selectExpr(
+        "o_orderkey AS id",
+        f"{LEDGER_USER} AS user_id",
+        f"{SIGNED_POINTS} AS points_delta",
+        "CASE WHEN o_orderpriority = '1-URGENT' THEN concat('name ', o_orderkey) END AS display_name",
+        "CASE WHEN o_orderstatus = 'P' THEN concat(o_orderkey, '@feed.example') END AS email",
+        f"{LEDGER_TYPE} AS type",
+        "o_orderdate AS event_time",
     )
 
 
 def requests_from(ev: DataFrame) -> DataFrame:
-    k, kind = F.col("k"), F.col("event_type")
-    text = F.concat(F.lit("did "), kind)
-    return ev.select(
-        F.col("event_id").alias("id"),
-        F.concat(F.lit("sess_"), (F.col("event_id") - k % 4).cast("string")).alias("session_token"),
-        F.when(k % 17 != 0, kind).alias("activity_type"),
-        F.when(kind.isin("click", "view"), "NAVIGATION").otherwise("DATA").alias("activity_category"),
-        F.when(k % 2 == 0, text).alias("description"),
-        F.when((k % 2 == 1) & (k % 19 != 0), text).alias("activity_description"),
-        F.when(k % 7 != 0, F.concat(F.lit("feature_"), (k % 10).cast("string"))).alias("target_resource"),
-        F.when(k % 5 != 0, F.floor("value").cast("int")).alias("execution_time_ms"),
-        F.col("ts").alias("event_time"),
+    """Activity requests as they arrive: some lack a field, many an active session."""
+    return ev.selectExpr(
+        "event_id AS id",
+        "concat('sess_', event_id - k % 4) AS session_token",
+        "CASE WHEN k % 17 <> 0 THEN event_type END AS activity_type",
+        "CASE WHEN event_type IN ('click', 'view') THEN 'NAVIGATION' ELSE 'DATA' END AS activity_category",
+        "CASE WHEN k % 2 = 0 THEN concat('did ', event_type) END AS description",
+        "CASE WHEN k % 2 = 1 AND k % 19 <> 0 THEN concat('did ', event_type) END AS activity_description",
+        "CASE WHEN k % 7 <> 0 THEN concat('feature_', k % 10) END AS target_resource",
+        "CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) END AS execution_time_ms",
+        "ts AS event_time",
     )
 
 
 def retry_queue(ev: DataFrame) -> DataFrame:
-    k = F.col("k")
-    return ev.select(
-        F.col("ts").alias("timestamp"),
-        F.when(k % 2 == 0, "POST").otherwise("GET").alias("method"),
-        F.concat(F.lit("/api/"), (k % 5).cast("string")).alias("endpoint"),
-        F.col("props").alias("data"),
+    return ev.selectExpr(
+        "ts AS timestamp",
+        "CASE WHEN k % 2 = 0 THEN 'POST' ELSE 'GET' END AS method",
+        "concat('/api/', k % 5) AS endpoint",
+        "props AS data",
     )

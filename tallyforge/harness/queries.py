@@ -573,12 +573,11 @@ def login_events(f):
 @query
 def chat_session_start(f):
     """A session row per opening turn of a conversation."""
-    first = F.col("turn") == 0
-    starts = f.raw("conversations").filter(first).select(
-        F.col("conv_id").alias("id"),
-        (F.col("conv_id") % 10).cast("string").alias("user_id"),
-        F.concat(F.lit("Chat "), F.col("conv_id").cast("string")).alias("session_name"),
-        shapes.plus_seconds(literal_ts("2024-01-01 00:00:00"), (F.col("conv_id") * 3600).cast("int")).alias("started_at"),
+    starts = f.raw("conversations").filter("turn = 0").selectExpr(
+        "conv_id AS id",
+        "CAST(conv_id % 10 AS STRING) AS user_id",
+        "concat('Chat ', conv_id) AS session_name",
+        f"{shapes.CHAT_START} AS started_at",
     )
     return lookups.chat_session_rows(starts).drop("ended_at")
 
