@@ -869,6 +869,12 @@ _BODIES: dict[str, str] = {
                     || ' seconds' END AS detail,
                date_sub('second', s.login_time, o.ts) AS session_duration, o.ts AS at
         FROM logouts o LEFT JOIN sessions s ON s.id = o.session_id AND s.admin_id = o.admin_id""",
+    "logout_sessions": """
+        SELECT s.id, s.admin_id, s.session_token, s.ip_address, s.login_time,
+               coalesce(o.ts, s.logout_time) AS logout_time, s.is_active AND o.ts IS NULL AS is_active,
+               CASE WHEN o.ts IS NULL THEN s.session_duration ELSE date_sub('second', s.login_time, o.ts) END
+                   AS session_duration
+        FROM sessions s LEFT JOIN logouts o ON o.session_id = s.id AND o.admin_id = s.admin_id""",
     "detection_points": """
         SELECT d.coco_class, m.waste_category, count(*) AS detections, CAST(sum(c.points_value) AS BIGINT) AS total_points
         FROM detections d

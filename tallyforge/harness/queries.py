@@ -596,6 +596,12 @@ def logout_events(f):
     )
 
 
+@query
+def logout_sessions(f):
+    """The session table after those logouts."""
+    return lookups.apply_logouts(f.sessions, f.logout_feed)
+
+
 # ---- lookups ----------------------------------------------------------------------
 @query
 def detection_points(f):

@@ -119,6 +119,20 @@ def close_sessions(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def apply_logouts(sessions: DataFrame, logouts: DataFrame) -> DataFrame:
+    """The session table after a batch of logouts; of several, the last one counts."""
+    last = logouts.groupBy(F.col("session_id").alias("id"), "admin_id").agg(F.max("event_time").alias("_out"))
+    closed = F.col("_out").isNotNull()
+    updates = {
+        "session_duration": F.when(closed, seconds_between("login_time", "_out")).otherwise(F.col("session_duration")),
+        "logout_time": F.coalesce("_out", "logout_time"),
+        "is_active": F.when(closed, False).otherwise(F.col("is_active")),
+    }
+    return sessions.join(last, ["id", "admin_id"], "left").select(
+        *[updates[c].alias(c) if c in updates else F.col(c) for c in sessions.columns]
+    )
+
+
 def logout_log(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
     return match_logouts(logouts, sessions).select(
         "admin_id",

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge.functions.dates import preset_range, rows_of_days
 from tallyforge.functions.labels import count_where, http_error, http_success, mean_of, percentage, percentage_or_zero
 from tallyforge.operators.aggregates import one_record
-from tallyforge.plans import activity, dashboard, rollups
+from tallyforge.plans import activity, dashboard
+from tallyforge.plans.views import display_order
 
 
 def overview(
@@ -217,7 +218,8 @@ def generate_report(tables: Tables, report: str, preset: str, as_of: date) -> di
     if report not in REPORTS:
         raise ValueError(f"unknown report type: {report}")
     start, end = preset_range(preset, as_of)
-    return REPORTS[report](tables, start, end)
+    sections = REPORTS[report](tables, start, end)
+    return {name: display_order(name, frame) for name, frame in sections.items()}
 
 
 ANALYTICS = ("summary", "daily", "admin", "security", "performance")
@@ -230,13 +232,13 @@ def generate_analytics(
     if kind == "summary":
         return dashboard.day_counters(tables.sessions, tables.log, tables.visits, tables.events, day)
     if kind == "daily":
-        return activity.daily_analytics(tables.log, day, days)
+        return display_order(kind, activity.daily_analytics(tables.log, day, days))
     if kind == "admin":
         if not admin_id:
             raise ValueError("an admin id is required")
         return activity.admin_day(tables.admins, tables.sessions, tables.log, day, admin_id)
     if kind == "security":
-        return activity.security_counts(tables.events, day, day)
+        return display_order(kind, activity.security_counts(tables.events, day, day))
     if kind == "performance":
-        return dashboard.performance_of_day(tables.performance, tables.admins, day)
+        return display_order(kind, dashboard.performance_of_day(tables.performance, tables.admins, day))
     raise ValueError(f"unknown analytics type: {kind}")

@@ -36,7 +36,7 @@ def profiles(spark):
 def ledger(spark):
     entries = [("user1", 10, "waste_deposit", "plastic"), ("user1", 5, "waste_deposit", "paper"),
                ("user2", 15, "waste_deposit", "steel"), ("user3", 8, "waste_deposit", "organic"),
-               ("user1", -100, "redeem", "Redeem: ₹50 Off Eco Store")]
+               ("user1", -100, "redeem", "Redeem: Free Coffee")]
     return table(spark, "transactions", [
         {"id": str(i), "user_id": u, "points": p, "type": t, "waste_category": c, "timestamp": AS_OF}
         for i, (u, p, t, c) in enumerate(entries)
@@ -64,7 +64,7 @@ def test_category_stats(spark, ledger):
     ])
     got = rows(rewards.category_stats(ledger, categories), "waste_category", "total_points", "category_points_value")
     assert got == [
-        ("Redeem: ₹50 Off Eco Store", -100, None), ("organic", 8, 8), ("paper", 5, 5), ("plastic", 10, 10), ("steel", 15, 15)
+        ("Redeem: Free Coffee", -100, None), ("organic", 8, 8), ("paper", 5, 5), ("plastic", 10, 10), ("steel", 15, 15)
     ]
 
 

@@ -1,4 +1,5 @@
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
 from conftest import rows
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.harness.queries import tables_of
 from tallyforge.plans import reports, rollups
 from tallyforge.plans.activity import daily_trends
+from tallyforge.plans.views import VIEWS, create_views
 from tallyforge.sources import sinks
 from tallyforge.sources.schemas import DDL, DEFAULTS, ENUMS, FOREIGN_KEYS, UNIQUE_KEYS, schema_of
 
@@ -22,7 +24,7 @@ SECTIONS = {
 }
 
 
-def test_schemas_are_consistent():
+def test_schemas_are_consistent(spark):
     assert len(DDL) == 26
     for table, keys in UNIQUE_KEYS.items():
         assert all(set(k) <= set(schema_of(table).names) for k in keys)
@@ -74,6 +76,7 @@ def test_every_report_exports(spark, data, tmp_path):
     t = tables_of(data)
     for report in reports.REPORTS:
         sections = reports.generate_report(t, report, "7d", AS_OF)
+        expected = {name: frame.count() for name, frame in sections.items()}
         for paths, read in (
             (sinks.export_csv(sections, str(tmp_path), report, "7d"), lambda p: spark.read.option("header", True).csv(p)),
             (sinks.export_json(sections, str(tmp_path), report, "7d"), spark.read.json),
@@ -81,7 +84,7 @@ def test_every_report_exports(spark, data, tmp_path):
             assert set(paths) == set(sections)
             for section, path in paths.items():
                 assert f"admin_analytics_{report}_7d." in path
-                assert read(path).count() == sections[section].count()
+                assert read(path).count() == expected[section]
 
 
 def test_rebuild_switches_versions(spark, data, tmp_path):
@@ -114,3 +117,29 @@ def test_replace_days_rewrites_only_those(spark, data, tmp_path):
     assert stored.count() == whole.count() and fresh.count() == 3
     columns = ["date", "total_admin_logins", "total_activities", "total_page_views", "most_active_admin", "most_used_feature"]
     assert rows(fresh, *columns) == rows(whole.filter(F.col("date").between(start, end)), *columns)
+
+
+def test_sections_come_in_display_order(data):
+    got = reports.generate_report(tables_of(data), "admin_activity", "7d", AS_OF)
+    days = [r.date for r in got["daily_trends"].collect()]
+    assert days == sorted(days)
+    counts = [r["count"] for r in got["activity_breakdown"].collect()]
+    assert counts == sorted(counts, reverse=True)
+
+
+def test_views_answer_sql(spark, data):
+    tables = SimpleNamespace(
+        admins=data.admins, sessions=data.sessions, log=data.activity_log, events=data.security_events,
+        usage=tables_of(data).usage, chat_users=data.chat_users, chat_sessions=data.chat_sessions,
+        chat_messages=data.chat_messages, transactions=data.transactions, profiles=data.profiles,
+        waste_categories=data.waste_categories,
+    )
+    for name in create_views(tables, F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")):
+        assert spark.sql(f"SELECT * FROM {name} LIMIT 5").count() > 0
+    top = spark.sql("SELECT rank_position FROM v_leaderboard ORDER BY rank_position LIMIT 5")
+    assert [r[0] for r in top.collect()] == [1, 2, 3, 4, 5]
+    assert set(VIEWS) <= set(spark_views(spark))
+
+
+def spark_views(spark):
+    return [t.name for t in spark.catalog.listTables()]
