@@ -7,31 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def several_distincts(
-    df: DataFrame,
-    by: dict[str, Column],
-    distinct: dict[str, Column],
-    sums: dict[str, Column] | None = None,
-    rows: str = "n_rows",
-) -> DataFrame:
-    """Row count, additive sums and several distinct counts per group.
-
-    Several ``COUNT(DISTINCT)`` in one aggregate copy each input row once per
-    distinct column. Collapsing to one row per (group, distinct values) first
-    keeps that copying on the small side of a map-side combine.
-    """
-    sums = sums or {}
-    keys = [c.alias(n) for n, c in by.items()] + [c.alias(f"_{n}") for n, c in distinct.items()]
-    combos = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(rows), *[F.sum(c).alias(n) for n, c in sums.items()]
-    )
-    return combos.groupBy(*by).agg(
-        F.sum(rows).alias(rows),
-        *[F.sum(n).alias(n) for n in sums],
-        *[F.count_distinct(F.col(f"_{n}")).alias(n) for n in distinct],
-    )
-
-
 def one_record(*frames: DataFrame) -> DataFrame:
     """Put one-row frames side by side without a join.
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge.functions.dates import rows_of_days, rows_since
 from tallyforge.functions.labels import count_where, mean_of, percentage
-from tallyforge.operators.aggregates import several_distincts
 
 
 def _sessions_per_admin(sessions: DataFrame) -> DataFrame:
@@ -89,16 +88,16 @@ def admin_day(
 
 
 def daily_admin_activity(log: DataFrame, admins: DataFrame) -> DataFrame:
-    """Grouped by admin id, which is not shown: namesakes stay separate rows."""
-    per_day = several_distincts(
-        log,
-        by={"date": F.to_date("created_at"), "admin_id": F.col("admin_id")},
-        distinct={"unique_activities": F.col("activity_type"), "resources_accessed": F.col("target_resource")},
-        sums={
-            "total_execution_time": F.col("execution_time_ms"),
-            "timed": F.col("execution_time_ms").isNotNull().cast("int"),
-        },
-        rows="activity_count",
+    """Grouped by admin id, which is not shown: namesakes stay separate rows.
+
+    The log is reduced to one row per admin and day before the names are joined.
+    """
+    per_day = log.groupBy(F.to_date("created_at").alias("date"), "admin_id").agg(
+        F.count("id").alias("activity_count"),
+        F.count_distinct("activity_type").alias("unique_activities"),
+        F.count_distinct("target_resource").alias("resources_accessed"),
+        F.sum("execution_time_ms").alias("total_execution_time"),
+        F.count("execution_time_ms").alias("timed"),
     )
     names = admins.select(F.col("id").alias("admin_id"), "username", "display_name")
     return per_day.join(names, "admin_id").select(
@@ -114,22 +113,11 @@ def daily_admin_activity(log: DataFrame, admins: DataFrame) -> DataFrame:
 
 
 def daily_series(log: DataFrame) -> DataFrame:
-    per_day = several_distincts(
-        log,
-        by={"date": F.to_date("created_at")},
-        distinct={"unique_admins": F.col("admin_id"), "unique_activity_types": F.col("activity_type")},
-        sums={
-            "spent": F.col("execution_time_ms"),
-            "timed": F.col("execution_time_ms").isNotNull().cast("int"),
-        },
-        rows="total_activities",
-    )
-    return per_day.select(
-        "date",
-        "total_activities",
-        "unique_admins",
-        "unique_activity_types",
-        mean_of(F.col("spent"), F.col("timed")).alias("avg_execution_time"),
+    return log.groupBy(F.to_date("created_at").alias("date")).agg(
+        F.count(F.lit(1)).alias("total_activities"),
+        F.count_distinct("admin_id").alias("unique_admins"),
+        F.count_distinct("activity_type").alias("unique_activity_types"),
+        mean_of(F.sum("execution_time_ms"), F.count("execution_time_ms")).alias("avg_execution_time"),
     )
 
 

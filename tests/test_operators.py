@@ -8,7 +8,6 @@ from conftest import rows
 from pyspark.sql import Window, functions as F
 
 from tallyforge.operators import lookups, merge, quality, sessions
-from tallyforge.operators.aggregates import several_distincts
 from tallyforge.operators.ranking import global_row_number, steps_up_to
 from tallyforge.plans.rewards import transaction_summary
 from tallyforge.sources.readers import parse_requests
@@ -46,16 +45,6 @@ def test_running_steps(spark, span):
     assert got == sorted(want, key=repr)
 
 
-def test_several_distincts(spark):
-    rng = random.Random(3)
-    data = [("hot" if rng.random() < 0.5 else rng.choice("ab"), rng.randint(0, 9), rng.choice([None, "x", "y"]), rng.randint(0, 5))
-            for _ in range(500)]
-    df = spark.createDataFrame(data, "g STRING, a INT, b STRING, v INT")
-    got = several_distincts(df, {"g": F.col("g")}, {"da": F.col("a"), "db": F.col("b")}, {"s": F.col("v")})
-    want = df.groupBy("g").agg(F.count("*"), F.sum("v"), F.countDistinct("a"), F.countDistinct("b"))
-    assert rows(got) == rows(want)
-
-
 def brute_sessions(events, gap, longest):
     out = []
     for key in sorted({k for k, _ in events}):
