@@ -45,7 +45,8 @@ def keep_table(
 
     Batch *n* reads version *n - 1* (``initial`` for the first) and writes version
     *n*. Batch ids are consecutive and survive restarts, so a replayed batch
-    repeats its own version and every event is applied exactly once.
+    repeats its own version and every event is applied exactly once. ``root`` and
+    ``checkpoint`` belong together: start a new pair to start over.
     """
     columns = initial.columns
 
