@@ -4,20 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from tallyforge.llm import pii, secrets
+from tallyforge.llm.decontamination import contamination_flag, find_contamination, hit_words
+from tallyforge.llm.language import fold, identify_language
 from tallyforge.llm.mixing import mix_sources
+from tallyforge.llm.spans import base_only, count_of, joined
+from tallyforge.llm.topk import exact_top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("n_hit", hit_words(F.col("hits"))).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        _sha(F.array_join(F.array_sort("items"), ",")).alias("items_sha256"),
+        contamination_flag(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def _span_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *(count_of(spans, kind).alias(f"n_{kind}") for kind in kinds),
+        _sha(joined(base_only(spans))).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"), pii.labelled_lines(spark))
+    return _span_digests(found, pii.KINDS)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"), secrets.labelled_samples(spark))
+    return _span_digests(found, ("assign", "access", "hex"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    predicted = identify_language(docs, docs.filter("NOT held_out"))
+    return predicted.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
+    "op5_topk": op5_topk,
+    "op6_language": op6_language,
     "op10_mix": op10_mix,
 }
