@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tallyforge.llm import pii, secrets
+from tallyforge.llm import pii, secrets, toxicity
 from tallyforge.llm.decontamination import contamination_flag, find_contamination, hit_words
 from tallyforge.llm.language import fold, identify_language
 from tallyforge.llm.mixing import mix_sources
@@ -67,6 +67,17 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, toxicity.training_labels(_table(spark, sf_dir, "labels")))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -78,5 +89,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op5_topk": op5_topk,
     "op6_language": op6_language,
+    "op7_toxicity": op7_toxicity,
     "op10_mix": op10_mix,
 }
