@@ -12,6 +12,7 @@ from tallyforge.llm import pii, secrets, toxicity
 from tallyforge.llm.decontamination import contamination_flag, find_contamination, hit_words
 from tallyforge.llm.language import fold, identify_language
 from tallyforge.llm.mixing import mix_sources
+from tallyforge.llm.neardup import near_duplicates
 from tallyforge.llm.spans import base_only, count_of, joined
 from tallyforge.llm.topk import exact_top_k
 
@@ -78,6 +79,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -90,5 +95,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
+    "op9_neardup": op9_neardup,
     "op10_mix": op10_mix,
 }
