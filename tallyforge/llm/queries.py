@@ -13,6 +13,7 @@ from tallyforge.llm.decontamination import contamination_flag, find_contaminatio
 from tallyforge.llm.language import fold, identify_language
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.neardup import near_duplicates
+from tallyforge.llm.repeats import repeated_spans, without_spans
 from tallyforge.llm.spans import base_only, count_of, joined
 from tallyforge.llm.topk import exact_top_k
 
@@ -79,6 +80,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = without_spans(repeated_spans(_table(spark, sf_dir, "documents")))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +101,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
+    "op8_repeats": op8_repeats,
     "op9_neardup": op9_neardup,
     "op10_mix": op10_mix,
 }
