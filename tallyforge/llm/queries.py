@@ -15,7 +15,9 @@ from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.neardup import near_duplicates
 from tallyforge.llm.repeats import repeated_spans, without_spans
 from tallyforge.llm.spans import base_only, count_of, joined
+from tallyforge.llm.tokens import corpus_totals
 from tallyforge.llm.topk import exact_top_k
+from tallyforge.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(found, ("assign", "access", "hex"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_totals(_table(spark, sf_dir, "documents"), scratch_path(spark, "token-ledger"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -98,6 +104,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
+    "op4_tokens": op4_tokens,
     "op5_topk": op5_topk,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
