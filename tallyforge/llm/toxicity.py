@@ -29,6 +29,8 @@ SAMPLE_ROWS = 12_000
 SAMPLE_CHARS = 50_000
 #: A term of the lexicon: in so many toxic rows at least, with this log odds ratio at least; and how many terms.
 SUPPORT, LOG_ODDS, TERMS = 4, 1.8, 3_000
+#: A term that stands in this share of the toxic rows is firm: its misspellings count as well.
+FIRM_SHARE = 0.02
 #: A stem is the first letters of longer words.
 STEMS = (4, 5, 6, 7)
 #: Words on each side that make the context of a hit.
@@ -50,20 +52,24 @@ def allowed_errors(length: int) -> int:
 class Lexicon:
     """Trie of terms with the automaton that accepts words within the allowed edits of a term."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: frozenset[str] = frozenset()):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], firm: frozenset[str], ordinary: frozenset[str]):
         self.words, self.stems, self.ordinary = words, stems, ordinary
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        for word in words:
-            node = 0
+        self.limit = [0]  # the edits that any term below a node allows
+        for word in sorted(firm):
+            node, limit = 0, allowed_errors(len(word))
+            self.limit[0] = max(self.limit[0], limit)
             for letter in word:
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.limit.append(0)
                 node = self.children[node][letter]
+                self.limit[node] = max(self.limit[node], limit)
             self.term[node] = word
-        self.most = max((allowed_errors(len(word)) for word in words), default=0)
+        self.seen: dict[str, tuple[float, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -72,7 +78,6 @@ class Lexicon:
         self.steps: list[dict[str, int]] = []
         self.accepted: list[tuple[str, int] | None] = []
         self.start = self._state({0: 0})
-        self.seen: dict[str, tuple[float, int] | None] = {}
 
     def _state(self, nodes: dict[int, int]) -> int:
         """Number of the state of (trie node, edits so far), closed under skipped letters; -1 if nothing is left."""
@@ -80,10 +85,8 @@ class Lexicon:
         while open_nodes:
             node = open_nodes.pop()
             edits = nodes[node] + 1
-            if edits > self.most:
-                continue
             for child in self.children[node].values():
-                if nodes.get(child, self.most + 1) > edits:
+                if edits <= self.limit[child] and nodes.get(child, edits + 1) > edits:
                     nodes[child] = edits
                     open_nodes.append(child)
         key = tuple(sorted(nodes.items()))
@@ -101,8 +104,8 @@ class Lexicon:
     def _step(self, state: int, letter: str) -> int:
         nodes: dict[int, int] = {}
         for node, edits in self.states[state]:
-            if edits < self.most:
-                for onto in (node, *self.children[node].values()):
+            for onto in (node, *self.children[node].values()):
+                if edits < self.limit[onto]:
                     nodes[onto] = min(edits + 1, nodes.get(onto, edits + 1))
             child = self.children[node].get(letter)
             if child is not None:
@@ -125,7 +128,9 @@ class Lexicon:
         """(weight, edits) of a hit: a term, a misspelled term that is no ordinary word, or a word with a listed stem."""
         if word in self.seen:
             return self.seen[word]
-        if len(self.seen) > REMEMBERED or len(self.states) > REMEMBERED:
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        if len(self.states) > REMEMBERED:
             self._reset()
         hit = None
         if word in self.words:
@@ -151,7 +156,6 @@ class Lexicon:
             if hit is None:
                 continue
             hit = hit or self.lookup(word)
-            seen = self.seen
             if hit:
                 at.append((i, hit))
         if at:
@@ -227,7 +231,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int =
 
 
 class ToxicityModel:
-    def __init__(self, lexicon: tuple[dict[str, float], dict[str, float], frozenset[str]], weights: list[float]):
+    def __init__(self, lexicon: tuple[dict[str, float], dict[str, float], frozenset[str], frozenset[str]], weights: list[float]):
         self.parts, self.weights = lexicon, weights
 
     def __reduce__(self):
@@ -244,6 +248,9 @@ def _lexicon(model: ToxicityModel) -> Lexicon:
     return Lexicon(*model.parts)
 
 
+EMPTY: tuple = ({}, {}, frozenset(), frozenset())
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Model from the labelled rows of ``docs``; an id with several labels counts as toxic if one says so.
 
@@ -262,14 +269,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .filter(F.length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(chosen), "id")  # SAMPLE_ROWS rows of an id and a flag
-        .select("text", F.least(F.lit(1), F.greatest(F.lit(0), "toxic")).alias("toxic"))
+        .groupBy("text")  # copies would pass for evidence
+        .agg(F.max(F.least(F.lit(1), F.greatest(F.lit(0), "toxic"))).alias("toxic"))
         .write.parquet(path)
     )
     sample = spark.read.parquet(path)
     sizes = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
-        return ToxicityModel(({}, {}, frozenset()), [0.0] * len(features("", Lexicon({}, {}))) + [-30.0])
+        return ToxicityModel(EMPTY, [0.0] * len(features("", Lexicon(*EMPTY))) + [-30.0])
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     terms = (
         sample.mapInArrow(_term_counts, "term string, stem int, toxic long, clean long")
@@ -284,8 +292,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     words = {row["term"]: row["weight"] for row in terms if not row["stem"]}
     stems = {row["term"]: row["weight"] for row in terms if row["stem"]}
-    ordinary = _ordinary(sample, words)
-    model = ToxicityModel((words, stems, ordinary), [0.0] * 8)
+    firm = frozenset(row["term"] for row in terms if not row["stem"] and row["toxic"] >= max(SUPPORT, FIRM_SHARE * toxic))
+    model = ToxicityModel((words, stems, firm, _ordinary(sample, words, firm)), [0.0] * 8)
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +307,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(model.parts, weights.tolist())
 
 
-def _ordinary(sample: DataFrame, words: dict[str, float]) -> frozenset[str]:
-    """Words of clean rows that lie within the edits of a term but are none."""
-    held = sample.sparkSession.sparkContext.broadcast(words)
+def _ordinary(sample: DataFrame, words: dict[str, float], firm: frozenset[str]) -> frozenset[str]:
+    """Words of clean rows that lie within the edits of a firm term but are none."""
+    held = sample.sparkSession.sparkContext.broadcast((words, firm))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(held.value, {})
+        lexicon = Lexicon(held.value[0], {}, held.value[1], frozenset())
         for batch in batches:
             found = {word for text in batch.column("text").to_pylist() for word in set(_WORD.findall((text or "").lower()))}
             near = sorted(word for word in found if word not in lexicon.words and lexicon.nearest(word))
