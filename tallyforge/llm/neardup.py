@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.graph import components, written
@@ -25,9 +25,9 @@ REGISTERS, REGISTER_BITS = 128, 7
 MANTISSA_BITS = 10
 BANDS = 32
 #: Standard errors of the estimate below the threshold at which a candidate is given up.
-SLACK = 6.0
+SLACK = 4.5
 #: Loose members of a bucket that one task compares with the bucket's members.
-TILE = 512
+TILE = 256
 
 _REST = np.uint64((1 << (64 - REGISTER_BITS)) - 1)
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = written(classes, "classes")
     ours = sketched.join(classes.withColumnRenamed("class", "id"), ["id", "n", "d1", "d2"], "left_semi")
 
-    keys = ours.select(F.explode("bands").alias("bucket"), F.col("id").alias("class"))
+    keys = ours.select(F.posexplode("bands").alias("band", "bucket"), F.col("id").alias("class"))
     shared = keys.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("held"))
     buckets = written(keys.join(shared.filter("low < high").select("bucket", "held"), "bucket").distinct(), "buckets")
 
@@ -208,19 +208,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .agg(F.max(F.struct("weight", (-F.col("class")).alias("minus"))).alias("best"))
         .select("bucket", (-F.col("best.minus")).alias("leader"))
     )
-    led = written(buckets.join(leaders, "bucket").select("bucket", "class", "leader"), "led")
+    led = written(buckets.join(leaders, "bucket").select("bucket", "band", "class", "leader"), "led")
     first = _ordered(led.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")))
     links = written(_verified(first, sketches, sets, percent), "links")
 
-    # what is still apart within a bucket is compared with the bucket's others
-    parts = components(links)
-    placed = led.join(parts.withColumnRenamed("node", "class"), "class", "left").select(
-        "bucket", "class", "leader", F.coalesce("component", "class").alias("part")
-    )
-    rest = _apart(placed, sketches, sets, percent).join(first, ["a", "b"], "left_anti")
-    more = _verified(rest, sketches, sets, percent)
-
-    joined = components(written(links.union(more), "links"))
+    # what is still apart within a bucket is compared with the bucket's others: first each with the
+    # nearest alone, which joins most of what belongs together, then all pairs that remain open
+    for nearest in (True, False):
+        parts = components(links)
+        placed = led.join(parts.withColumnRenamed("node", "class"), "class", "left").select(
+            "bucket", "band", "class", "leader", F.coalesce("component", "class").alias("part")
+        )
+        rest = written(_apart(placed, sketches, sets, percent, nearest).join(first, ["a", "b"], "left_anti"), "open-pairs")
+        links = written(links.union(_verified(rest, sketches, sets, percent)), "links")
+        first = first.union(rest)
+
+    joined = components(links)
     members = slim.join(classes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("class", "id").alias("class"))
     return members.join(joined.withColumnRenamed("node", "class"), "class", "left").select(
         F.col("id").alias(id_col),
@@ -230,17 +233,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
 
 
-def _apart(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _apart(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of one bucket in different parts that may still reach the threshold.
 
     A bucket's loose members, those outside its leader's part, are compared with all its members in
-    tasks of about ``TILE`` loose members each, and only pairs that no bound rules out come out.
+    tasks of about ``TILE`` loose members each, and only pairs that no bound rules out come out. A
+    pair that shares several buckets comes out of the first of their bands alone, and once if both are loose. With ``nearest`` each loose member only comes out with the nearest
+    of each task's pieces.
     """
     torn = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
     placed = written(placed.join(torn.select("bucket"), "bucket"), "placed")
     main = placed.filter("class = leader").select("bucket", F.col("part").alias("main"))
-    loose = placed.join(main, "bucket").filter("part <> main").select("bucket", "class", "part")
-    loose = written(loose, "loose")
+    placed = written(placed.join(main, "bucket").withColumn("loose", F.col("part") != F.col("main")), "torn")
+    loose = placed.filter("loose")
 
     # shingles that no other member of a torn bucket has cannot be shared
     members = placed.select("class").distinct()
@@ -256,18 +261,18 @@ def _apart(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
         loose.join(tiles, "bucket")
         .join(about, "class")
         .join(shared, "class", "left")
-        .select("bucket", tile.alias("tile"), F.lit(0).alias("side"), "class", "part", "n", F.coalesce("shared", F.lit(0)).alias("shared"), "sketch")
+        .select("bucket", tile.alias("tile"), F.lit(0).alias("side"), "band", "loose", "class", "part", "n", F.coalesce("shared", F.lit(0)).alias("shared"), "sketch")
     )
     others = (
         placed.join(tiles, "bucket")
         .join(about, "class")
-        .select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("side"), "class", "part", "n", F.col("n").alias("shared"), "sketch")
+        .select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("side"), "band", "loose", "class", "part", "n", F.col("n").alias("shared"), "sketch")
     )
     dealt = queries.union(others).repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "side")
-    return dealt.mapInArrow(_compare(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_compare(percent, nearest), "a long, b long").distinct()
 
 
-def _compare(percent: int):
+def _compare(percent: int, nearest: bool):
     share = percent / 100
     least = (share - SLACK * float(np.sqrt(share * (1 - share) / REGISTERS))) * REGISTERS
 
@@ -276,7 +281,7 @@ def _compare(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("bucket", "tile", "side", "class", "part", "n", "shared")}
+            column = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("bucket", "tile", "side", "band", "loose", "class", "part", "n", "shared")}
             sketch = batch.column("sketch").flatten().to_numpy().reshape(batch.num_rows, REGISTERS)
             change = (np.diff(column["bucket"]) != 0) | (np.diff(column["tile"]) != 0) | (np.diff(column["side"]) != 0)
             bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
@@ -291,23 +296,47 @@ def _compare(percent: int):
                     continue
                 for mine in asked:
                     for at in range(0, high - low, 256):
-                        out.append(_possible(mine, {name: values[at : at + 256] for name, values in rows.items()}, percent, least))
+                        out.append(_possible(mine, {name: values[at : at + 256] for name, values in rows.items()}, percent, least, nearest))
             pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return compare
 
 
-def _possible(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int, least: float) -> np.ndarray:
+def _possible(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int, least: float, nearest: bool) -> np.ndarray:
     """Pairs of different parts that sizes, shareable shingles and the estimate leave open."""
     n, m = x["n"][:, None], y["n"][None, :]
     most = np.minimum(np.minimum(x["shared"][:, None], y["shared"][None, :]), np.minimum(n, m))
-    may = (x["part"][:, None] != y["part"][None, :]) & (100 * most >= percent * (n + m - most))
+    once = ~y["loose"][None, :] | (x["class"][:, None] < y["class"][None, :])
+    may = once & (x["part"][:, None] != y["part"][None, :]) & (100 * most >= percent * (n + m - most))
     i, j = np.nonzero(may)
-    near = (x["sketch"][i] == y["sketch"][j]).sum(axis=1) >= least
+    equal = x["sketch"][i] == y["sketch"][j]
+    score = equal.sum(axis=1)
+    if nearest:
+        order = np.lexsort((-score, i))
+        first = np.ones(len(order), bool)
+        first[1:] = i[order[1:]] != i[order[:-1]]
+        pick = order[first & (score[order] >= least)]
+        a, b = x["class"][i[pick]], y["class"][j[pick]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    shared_bands = equal.reshape(len(i), BANDS, REGISTERS // BANDS).all(axis=2)
+    near = (score >= least) & (shared_bands.argmax(axis=1) == x["band"][i])
     a, b = x["class"][i[near]], y["class"][j[near]]
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest id.
+
+    Documents without words and rows without an id are in no group and stay; of a repeated id one row stays.
+    """
+    found = near_duplicates(docs, percent, id_col, text_col)
+    gone = written(found.filter("NOT kept").select(id_col), "dropped")
+    rest = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    apart = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
+    nth = F.row_number().over(Window.partitionBy(id_col, apart).orderBy(F.xxhash64(text_col)))
+    return rest.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth")
