@@ -97,7 +97,10 @@ class Fixtures:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        seconds = "CAST(floor(value * 10) AS INT)"
+        # some sessions last days, some end in the second they begin
+        seconds = (
+            "CAST(CASE k % 50 WHEN 1 THEN floor(value * 10) + 200000 WHEN 2 THEN 0 ELSE floor(value * 10) END AS INT)"
+        )
         return self.ev.filter("event_type = 'signup'").selectExpr(
             "event_id AS id",
             "user_id AS admin_id",
@@ -293,9 +296,9 @@ class Fixtures:
 
     @cached_property
     def logout_feed(self) -> DataFrame:
-        """A logout per session; some name the wrong admin."""
+        """A logout per session; some name the wrong admin, some a session that never was."""
         return self.ev.filter("event_type = 'signup'").selectExpr(
-            "event_id AS session_id",
+            "event_id + CASE WHEN k % 9 = 0 THEN 1000000000 ELSE 0 END AS session_id",
             "user_id + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS admin_id",
             "timestampadd(SECOND, CAST(floor(value * 10) AS INT), ts) AS event_time",
         )
@@ -361,7 +364,8 @@ def points_from(orders: DataFrame) -> DataFrame:
         f"{SIGNED_POINTS} AS points_delta",
         "CASE WHEN o_orderpriority = '1-URGENT' THEN concat('name ', o_orderkey) END AS display_name",
         "CASE WHEN o_orderstatus = 'P' THEN concat(o_orderkey, '@feed.example') END AS email",
-        f"{LEDGER_TYPE} AS type",
+        f"CASE WHEN o_orderkey % 89 <> 0 THEN {LEDGER_TYPE} END AS type",
+        "CASE WHEN o_orderstatus <> 'F' THEN 'kind ' || o_orderkey % 4 END AS waste_category",
         "o_orderdate AS event_time",
     )
 

@@ -35,11 +35,11 @@ BASE: dict[str, str] = {
         FROM ev""",
     "sessions": """
         SELECT event_id AS id, user_id AS admin_id, 'sess_' || event_id AS session_token, '10.0.0.' || k AS ip_address,
-               ts AS login_time,
-               CASE WHEN k % 3 <> 0 THEN ts + CAST(floor(value * 10) AS INT) * INTERVAL 1 SECOND END AS logout_time,
-               k % 3 = 0 AS is_active,
-               CASE WHEN k % 3 = 0 THEN 0 ELSE CAST(floor(value * 10) AS INT) END AS session_duration
-        FROM ev WHERE event_type = 'signup'""",
+               ts AS login_time, CASE WHEN k % 3 <> 0 THEN ts + stay * INTERVAL 1 SECOND END AS logout_time,
+               k % 3 = 0 AS is_active, CASE WHEN k % 3 = 0 THEN 0 ELSE stay END AS session_duration
+        FROM (SELECT *, CAST(CASE k % 50 WHEN 1 THEN floor(value * 10) + 200000 WHEN 2 THEN 0 ELSE floor(value * 10) END
+                             AS INT) AS stay
+              FROM ev WHERE event_type = 'signup')""",
     "page_view_rows": f"""
         SELECT event_id AS id, user_id AS admin_id, 'page_' || (k % 5) AS page_name, '/app/page_' || (k % 5) AS page_url,
                CAST(floor(value) AS INT) AS visit_duration,
@@ -137,7 +137,8 @@ BASE: dict[str, str] = {
                CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) END AS execution_time_ms, ts
         FROM ev""",
     "logouts": """
-        SELECT event_id AS session_id, user_id + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS admin_id,
+        SELECT event_id + CASE WHEN k % 9 = 0 THEN 1000000000 ELSE 0 END AS session_id,
+               user_id + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS admin_id,
                ts + CAST(floor(value * 10) AS INT) * INTERVAL 1 SECOND AS ts
         FROM ev WHERE event_type = 'signup'""",
     # rule: the first event of a key adds no time
@@ -179,16 +180,25 @@ BASE: dict[str, str] = {
         LEFT JOIN (SELECT admin_id, CAST(created_at AS DATE) AS date, count(*) AS n
                    FROM page_view_rows GROUP BY 1, 2) v ON v.admin_id = p.admin_id AND v.date = p.date
         LEFT JOIN perf_feature f ON f.admin_id = p.admin_id AND f.date = p.date""",
-    "edges": """
-        SELECT date_trunc('second', ts) AS second, CAST(ts AS DATE) AS date, step FROM (
-            SELECT login_time AS ts, 1 AS step FROM sessions
-            UNION ALL SELECT logout_time, -1 FROM sessions WHERE logout_time IS NOT NULL)""",
-    "levels": """
-        SELECT second, date, sum(sum(step)) OVER (ORDER BY second) AS level, sum(step) AS net
-        FROM edges GROUP BY 1, 2""",
+    # a calendar, and the sessions that overlap each day's start and each second with a login
+    "spans": """
+        SELECT date_trunc('second', login_time) AS opened, coalesce(date_trunc('second', logout_time), TIMESTAMP '9999-01-01')
+                   AS closed, logout_time
+        FROM sessions""",
+    "calendar": """
+        SELECT CAST(unnest(generate_series(
+            (SELECT min(CAST(opened AS DATE)) FROM spans),
+            (SELECT max(greatest(CAST(opened AS DATE), coalesce(CAST(logout_time AS DATE), CAST(opened AS DATE)))) FROM spans),
+            INTERVAL 1 DAY)) AS DATE) AS date""",
+    "instants": """
+        SELECT moment, count(*) AS level FROM (SELECT DISTINCT opened AS moment FROM spans)
+        JOIN spans ON opened <= moment AND closed >= moment GROUP BY moment""",
     "peaks": """
-        SELECT date, CAST(greatest(max(level), arg_min(level - net, second)) AS BIGINT) AS peak_concurrent_users
-        FROM levels GROUP BY date""",
+        SELECT date, CAST(greatest(
+                   (SELECT count(*) FROM spans WHERE opened < date AND closed >= date),
+                   coalesce((SELECT max(level) FROM instants WHERE CAST(moment AS DATE) = date), 0)) AS BIGINT)
+                   AS peak_concurrent_users
+        FROM calendar""",
     "rollup_days": """
         SELECT DISTINCT date FROM (
             SELECT CAST(login_time AS DATE) AS date FROM sessions
@@ -542,21 +552,24 @@ _INTENT_MATCH = r"""
 
 _CHANGES = """
     SELECT 'profiles' AS table_name, record_id, operation_type, field_name, old_value, new_value,
-           CASE WHEN old_value IS NOT NULL THEN '{"' || field_name || '":"' || old_value || '"}' END AS old_values,
-           CASE WHEN new_value IS NOT NULL THEN '{"' || field_name || '":"' || new_value || '"}' END AS new_values,
+           CASE WHEN old_value IS NOT NULL THEN '{"' || field_name || '":' || quote || old_value || quote || '}' END AS old_values,
+           CASE WHEN new_value IS NOT NULL THEN '{"' || field_name || '":' || quote || new_value || quote || '}' END AS new_values,
            operation_type || ' operation on profiles' AS activity_description
     FROM (
         SELECT coalesce(n.user_id, o.user_id) AS record_id, CASE WHEN o.user_id IS NULL THEN 'INSERT' ELSE 'UPDATE' END
-                   AS operation_type, c.field_name,
+                   AS operation_type, c.field_name, CASE WHEN c.field_name IN ('display_name', 'email') THEN '"' ELSE '' END AS quote,
                CASE c.field_name WHEN 'display_name' THEN nullif(o.display_name, '') WHEN 'email' THEN nullif(o.email, '')
+                    WHEN 'is_rich' THEN CASE WHEN o.eco_points > 5000 THEN 'true' END
                     ELSE CAST(nullif(o.eco_points, 0) AS VARCHAR) END AS old_value,
                CASE c.field_name WHEN 'display_name' THEN nullif(n.display_name, '') WHEN 'email' THEN nullif(n.email, '')
+                    WHEN 'is_rich' THEN CASE WHEN n.eco_points > 5000 THEN 'true' END
                     ELSE CAST(nullif(n.eco_points, 0) AS VARCHAR) END AS new_value,
                CASE c.field_name WHEN 'display_name' THEN n.display_name IS DISTINCT FROM o.display_name
                     WHEN 'email' THEN n.email IS DISTINCT FROM o.email
+                    WHEN 'is_rich' THEN (n.eco_points > 5000) IS DISTINCT FROM (o.eco_points > 5000)
                     ELSE n.eco_points IS DISTINCT FROM o.eco_points END AS changed
         FROM profiles_after n LEFT JOIN profiles o ON o.user_id = n.user_id
-        CROSS JOIN (VALUES ('display_name'), ('email'), ('eco_points')) AS c(field_name))
+        CROSS JOIN (VALUES ('display_name'), ('email'), ('eco_points'), ('is_rich')) AS c(field_name))
     WHERE changed"""
 
 _LAST = "first({0} ORDER BY ts DESC, id DESC) FILTER (WHERE {0} IS NOT NULL)"
@@ -864,11 +877,14 @@ _BODIES: dict[str, str] = {
         FROM (SELECT conv_id, TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR AS started
               FROM conversations WHERE turn = 0)""",
     "logout_events": """
-        SELECT CASE WHEN s.id IS NOT NULL THEN 'log' ELSE 'rejected' END AS target, o.admin_id, o.session_id,
-               CASE WHEN s.id IS NOT NULL THEN 'Admin logged out after ' || date_sub('second', s.login_time, o.ts)
-                    || ' seconds' END AS detail,
-               date_sub('second', s.login_time, o.ts) AS session_duration, o.ts AS at
-        FROM logouts o LEFT JOIN sessions s ON s.id = o.session_id AND s.admin_id = o.admin_id""",
+        SELECT CASE WHEN s.id IS NULL OR NOT EXISTS (SELECT 1 FROM admins a WHERE a.id = o.admin_id) THEN 'rejected'
+                    WHEN s.admin_id = o.admin_id THEN 'closed' ELSE 'logged' END AS target,
+               o.admin_id, o.session_id, s.ip_address,
+               'Admin logged out after ' || CASE WHEN s.admin_id = o.admin_id THEN date_sub('second', s.login_time, o.ts)
+                                                 WHEN s.id IS NOT NULL THEN 0 END || ' seconds' AS detail,
+               CASE WHEN s.admin_id = o.admin_id THEN date_sub('second', s.login_time, o.ts)
+                    WHEN s.id IS NOT NULL THEN 0 END AS session_duration, o.ts AS at
+        FROM logouts o LEFT JOIN sessions s ON s.id = o.session_id""",
     "logout_sessions": """
         SELECT s.id, s.admin_id, s.session_token, s.ip_address, s.login_time,
                coalesce(o.ts, s.logout_time) AS logout_time, s.is_active AND o.ts IS NULL AS is_active,
@@ -892,7 +908,9 @@ _BODIES: dict[str, str] = {
     "stream_upsert_points": _POINTS_COLUMNS,
     "stream_points_deltas": _POINTS_COLUMNS,
     "points_ledger": """
-        SELECT user_id, type, count(*) AS ledger_rows, CAST(sum(points) AS BIGINT) AS points FROM tx GROUP BY 1, 2""",
+        SELECT md5('points|' || id) AS id, user_id, points, CASE WHEN seq % 89 <> 0 THEN type END AS type,
+               CASE WHEN type <> 'redeem' THEN 'kind ' || seq % 4 END AS waste_category, ts AS "timestamp"
+        FROM tx""",
     "daily_upsert": _DAILY_STATS,
     "feature_upsert": _FEATURE_COLUMNS,
     "performance_counter": _DAY_COUNTS,
@@ -971,8 +989,15 @@ _BODIES: dict[str, str] = {
                round(avg(visit_duration), 4) AS avg_seconds
         FROM page_view_rows GROUP BY 1, 2""",
     "dedup_double_fire": """
-        SELECT min(id) * 2 AS id, admin_id, activity_type, target_resource,
-               arg_min(execution_time_ms, id) AS execution_time_ms, arg_min(created_at, id) AS created_at
+        SELECT id, admin_id, activity_type, target_resource, execution_time_ms, created_at FROM (
+            SELECT *, lag(created_at) OVER (PARTITION BY admin_id, activity_type, target_resource ORDER BY created_at, id) AS before
+            FROM (SELECT id * 2 AS id, admin_id, activity_type, target_resource, execution_time_ms, created_at FROM activity_log
+                  UNION ALL SELECT id * 2 + 1, admin_id, activity_type, target_resource, execution_time_ms,
+                                   created_at + (id % 9 + 1) * INTERVAL 1 MILLISECOND
+                  FROM activity_log WHERE activity_type = 'click'))
+        WHERE before IS NULL OR created_at - before > INTERVAL 1 SECOND""",
+    "dedup_same_second": """
+        SELECT min(id) AS id, admin_id, activity_type, target_resource, arg_min(created_at, id) AS created_at
         FROM activity_log GROUP BY admin_id, activity_type, target_resource, date_trunc('second', created_at)""",
     "stream_ingest_append": f"""
         SELECT id, admin_id, session_id, activity_type, activity_category, description AS activity_description,

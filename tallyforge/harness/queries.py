@@ -584,12 +584,13 @@ def chat_session_start(f):
 
 @query
 def logout_events(f):
-    """Closed sessions and rejected logouts from one join."""
-    matched = lookups.match_logouts(f.logout_feed, f.sessions, how="left")
+    """What becomes of each logout: closed, only logged, or rejected."""
+    matched = lookups.match_logouts(f.logout_feed, f.sessions, f.admins)
     return matched.select(
-        F.when(F.col("login_time").isNotNull(), "log").otherwise("rejected").alias("target"),
+        F.col("outcome").alias("target"),
         "admin_id",
         "session_id",
+        "ip_address",
         F.col("description").alias("detail"),
         F.col("session_duration"),
         F.col("event_time").alias("at"),
@@ -630,12 +631,8 @@ def points_upsert(f):
 
 @query
 def points_ledger(f):
-    """The ledger rows appended by the points feed, per user."""
-    return (
-        folds.ledger_rows(f.points_feed)
-        .groupBy("user_id", "type")
-        .agg(F.count(F.lit(1)).alias("ledger_rows"), F.sum("points").alias("points"))
-    )
+    """The ledger rows appended by the points feed."""
+    return folds.ledger_rows(f.points_feed)
 
 
 @query
@@ -713,8 +710,13 @@ def changed_profiles(f):
 
 @query
 def data_change_log(f):
+    rich = (F.col("eco_points") > 5000).alias("is_rich")
     return merge.change_log(
-        f.profiles, points_upsert(f), "user_id", ["display_name", "email", "eco_points"], "profiles"
+        f.profiles.select("*", rich),
+        points_upsert(f).select("*", rich),
+        "user_id",
+        ["display_name", "email", "eco_points", "is_rich"],
+        "profiles",
     )
 
 
@@ -817,10 +819,22 @@ def dedup_double_fire(f):
     """Clicks recorded by two listeners a few milliseconds apart."""
     log = f.activity_log.select("id", "admin_id", "activity_type", "target_resource", "execution_time_ms", "created_at")
     copies = F.array(F.lit(0), F.when(F.col("activity_type") == "click", 1))
-    doubled = log.withColumn("copy", F.explode(F.array_compact(copies))).withColumn(
-        "id", F.col("id") * 2 + F.col("copy")
+    doubled = log.withColumn("copy", F.explode(F.array_compact(copies))).select(
+        (F.col("id") * 2 + F.col("copy")).alias("id"),
+        "admin_id",
+        "activity_type",
+        "target_resource",
+        "execution_time_ms",
+        F.timestamp_add("MICROSECOND", F.col("copy") * (F.col("id") % 9 + 1) * 1000, "created_at").alias("created_at"),
     )
-    return sessioning.drop_double_fire(doubled.drop("copy"))
+    return sessioning.drop_close_fire(doubled)
+
+
+@query
+def dedup_same_second(f):
+    """One row a second of the clock for each admin, type and target."""
+    log = f.activity_log.select("id", "admin_id", "activity_type", "target_resource", "created_at")
+    return sessioning.drop_double_fire(log)
 
 
 # ---- streaming -------------------------------------------------------------------------------

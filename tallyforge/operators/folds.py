@@ -71,12 +71,18 @@ def combine_points(deltas: DataFrame) -> DataFrame:
 
 
 def ledger_rows(feed: DataFrame) -> DataFrame:
-    """The ledger entry appended with each points change."""
+    """The ledger entry appended with each points change.
+
+    The default type holds only for a feed without that column; a NULL that is sent stays NULL.
+    """
+    given = F.col("type") if "type" in feed.columns else F.lit("waste_deposit")
+    category = F.col("waste_category") if "waste_category" in feed.columns else F.lit(None).cast("string")
     return feed.select(
         F.md5(F.concat_ws("|", F.lit("points"), F.col("id").cast("string"))).alias("id"),
         "user_id",
         F.col("points_delta").alias("points"),
-        F.coalesce("type", F.lit("waste_deposit")).alias("type"),
+        given.alias("type"),
+        category.alias("waste_category"),
         F.col("event_time").alias("timestamp"),
     )
 
@@ -86,10 +92,12 @@ def daily_upsert(snapshot: DataFrame, ledger: DataFrame, batch: DataFrame) -> Da
 
     Distinct users do not add up, so a touched day is recomputed from the ledger
     (which already holds the batch). The list of touched days is bounded by the
-    calendar and therefore safe to broadcast.
+    calendar and therefore safe to broadcast. A ledger laid out in day folders brings their
+    column ``date``; the join on it lets Spark read the touched folders alone.
     """
     touched = F.broadcast(batch.select(F.to_date("timestamp").alias("date")).distinct())
-    days = ledger.withColumn("date", F.to_date("timestamp")).join(touched, "date", "left_semi")
+    dated = ledger if "date" in ledger.columns else ledger.withColumn("date", F.to_date("timestamp"))
+    days = dated.join(touched, "date", "left_semi")
     return snapshot.join(touched, "date", "left_anti").unionByName(daily_stats(days))
 
 

@@ -89,33 +89,56 @@ def login_log(logins: DataFrame) -> DataFrame:
     )
 
 
-def match_logouts(logouts: DataFrame, sessions: DataFrame, how: str = "inner") -> DataFrame:
-    """Logouts with their session; both the session and the admin must match.
+CLOSED, LOGGED, REJECTED = "closed", "logged", "rejected"
 
-    With ``how="left"`` a logout that matches nothing keeps a NULL login time.
+
+def match_logouts(logouts: DataFrame, sessions: DataFrame, admins: DataFrame) -> DataFrame:
+    """Each logout with what becomes of it.
+
+    ``closed``: the session is this admin's; it ends and a log row tells its seconds.
+    ``logged``: the session is another admin's; it stays as it is, and a log row with 0 seconds
+    and that session's address is written all the same. ``rejected``: no log row, since the
+    session or the admin is unknown, or the session has no login time. An unknown
+    admin's own session still closes (:func:`close_sessions`).
     """
-    known = sessions.select(F.col("id").alias("session_id"), "admin_id", "login_time", "ip_address")
-    duration = seconds_between("login_time", "event_time")
-    return logouts.join(known, ["session_id", "admin_id"], how).select(
-        "session_id",
-        "admin_id",
-        "login_time",
-        "event_time",
-        "ip_address",
-        duration.alias("session_duration"),
-        F.concat(F.lit("Admin logged out after "), duration.cast("string"), F.lit(" seconds")).alias("description"),
+    known = sessions.select(
+        F.col("id").alias("session_id"), F.col("admin_id").alias("_owner"), "login_time", "ip_address"
+    )
+    named = admins.select(F.col("id").alias("admin_id"), F.lit(True).alias("_named"))
+    own = F.col("_owner") == F.col("admin_id")
+    seconds = F.when(own, seconds_between("login_time", "event_time")).otherwise(F.lit(0))
+    valid = F.col("_named") & F.col("ip_address").isNotNull() & F.col("_seconds").isNotNull()
+    outcome = F.when(F.coalesce(valid, F.lit(False)), F.when(own, CLOSED).otherwise(LOGGED)).otherwise(REJECTED)
+    return (
+        logouts.join(known, "session_id", "left")
+        .join(named, "admin_id", "left")
+        .withColumn("_seconds", F.when(F.col("_owner").isNotNull(), seconds))
+        .withColumn("outcome", outcome)
+        .select(
+            "session_id",
+            "admin_id",
+            "outcome",
+            F.when(own, F.col("login_time")).alias("login_time"),
+            "event_time",
+            "ip_address",
+            F.col("_seconds").cast("long").alias("session_duration"),
+            F.concat(F.lit("Admin logged out after "), F.col("_seconds").cast("string"), F.lit(" seconds")).alias(
+                "description"
+            ),
+        )
     )
 
 
 def close_sessions(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sessions closed by a matching logout."""
-    return match_logouts(logouts, sessions).select(
+    """Sessions closed by a logout that names both session and admin."""
+    known = sessions.select(F.col("id").alias("session_id"), "admin_id", "login_time")
+    return logouts.join(known, ["session_id", "admin_id"]).select(
         "session_id",
         "admin_id",
         "login_time",
         F.col("event_time").alias("logout_time"),
         F.lit(False).alias("is_active"),
-        "session_duration",
+        seconds_between("login_time", "event_time").alias("session_duration"),
     )
 
 
@@ -133,8 +156,9 @@ def apply_logouts(sessions: DataFrame, logouts: DataFrame) -> DataFrame:
     )
 
 
-def logout_log(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
-    return match_logouts(logouts, sessions).select(
+def logout_log(logouts: DataFrame, sessions: DataFrame, admins: DataFrame) -> DataFrame:
+    """The log rows that logouts write."""
+    return match_logouts(logouts, sessions, admins).filter(F.col("outcome") != REJECTED).select(
         "admin_id",
         "session_id",
         F.lit("LOGOUT").alias("activity_type"),
@@ -145,11 +169,6 @@ def logout_log(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def rejected_logouts(logouts: DataFrame, sessions: DataFrame) -> DataFrame:
-    known = sessions.select(F.col("id").alias("session_id"), "admin_id")
-    return logouts.join(known, ["session_id", "admin_id"], "left_anti")
-
-
 def chat_session_rows(starts: DataFrame) -> DataFrame:
     """The row a chat session opens with; its id is derived from the start event."""
     return starts.select(
@@ -221,16 +240,6 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _phrases(words: Column, longest: int) -> Column:
-    """All distinct runs of one to ``longest`` consecutive words."""
-    runs = [words]
-    for n in range(2, longest + 1):
-        later = F.slice(words, F.lit(n), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        # the shorter array is padded with NULL, and so is the phrase it would end
-        runs.append(F.zip_with(runs[-1], later, lambda head, word: F.concat(head, F.lit(" "), word)))
-    return F.array_compact(F.array_distinct(F.concat(*runs)))
-
-
 def intent_keywords(knowledge: DataFrame) -> DataFrame:
     """One row per (category, keyword phrase)."""
     listed = F.explode(F.from_json("keywords", "array<string>"))
@@ -245,16 +254,19 @@ def intent_keywords(knowledge: DataFrame) -> DataFrame:
 def match_intents(messages: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Best intent per message: most keywords found, then the higher priority.
 
-    Messages become their distinct phrases, as long as the longest keyword phrase,
-    which turns keyword search into an equality join on the phrase.
+    A message's distinct words meet the first word of each keyword phrase in an equality join;
+    only on those pairs is the whole phrase looked up in the message.
     """
-    keywords = intent_keywords(knowledge)
-    longest = keywords.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    phrases = messages.select(F.col("id"), _words(F.col("message_content")).alias("_words")).select(
-        "id", F.explode(_phrases(F.col("_words"), longest)).alias("phrase")
+    keywords = intent_keywords(knowledge).withColumn("word", F.substring_index("phrase", " ", 1))
+    words = messages.select("id", _words(F.col("message_content")).alias("_words")).select(
+        "id",
+        F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_text"),
+        F.explode(F.array_distinct("_words")).alias("word"),
     )
+    found = F.contains("_text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     hits = (
-        phrases.join(keywords, "phrase")
+        words.join(keywords, "word")
+        .filter(found)
         .groupBy("id", "category", "priority")
         .agg(F.count(F.lit(1)).alias("hits"))
     )

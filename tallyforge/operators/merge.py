@@ -48,9 +48,10 @@ def changed_keys(old: DataFrame, new: DataFrame, key: str, column: str) -> DataF
 
 
 def _shown(column: Column, data_type: T.DataType) -> Column:
-    """Text of a value; empty and zero values are recorded as NULL."""
-    empty = F.lit("") if isinstance(data_type, T.StringType) else F.lit(0)
-    if isinstance(data_type, (T.StringType, T.NumericType)):
+    """Text of a value; empty, zero and false values are recorded as NULL."""
+    kinds = {T.StringType: "", T.BooleanType: False}
+    empty = F.lit(kinds.get(type(data_type), 0))
+    if isinstance(data_type, (T.StringType, T.BooleanType, T.NumericType)):
         return F.when(column != empty, column.cast("string"))
     return column.cast("string")
 
@@ -67,10 +68,13 @@ def change_log(old: DataFrame, new: DataFrame, key: str, fields: list[str], tabl
             (~F.col(f"old.{f}").eqNullSafe(F.col(f"new.{f}"))).alias("changed"),
             _shown(F.col(f"old.{f}"), old.schema[f].dataType).alias("old_value"),
             _shown(F.col(f"new.{f}"), new.schema[f].dataType).alias("new_value"),
+            F.to_json(F.struct(F.col(f"old.{f}").alias(f))).alias("old_json"),
+            F.to_json(F.struct(F.col(f"new.{f}").alias(f))).alias("new_json"),
         )
         for f in fields
     ]
-    as_json = lambda v: F.when(F.col(v).isNotNull(), F.to_json(F.create_map("field_name", v)))
+    # the value itself, numbers and booleans unquoted
+    as_json = lambda side: F.when(F.col(f"{side}_value").isNotNull(), F.col(f"{side}_json"))
     return (
         joined.select(
             F.coalesce(f"new.{key}", f"old.{key}").alias("record_id"),
@@ -85,8 +89,8 @@ def change_log(old: DataFrame, new: DataFrame, key: str, fields: list[str], tabl
             "field_name",
             "old_value",
             "new_value",
-            as_json("old_value").alias("old_values"),
-            as_json("new_value").alias("new_values"),
+            as_json("old").alias("old_values"),
+            as_json("new").alias("new_values"),
             F.concat("operation_type", F.lit(f" operation on {table}")).alias("activity_description"),
         )
     )

@@ -16,9 +16,10 @@ def _at_micros(micros: Column) -> Column:
 
 
 def peak_concurrency(sessions: DataFrame) -> DataFrame:
-    """Most sessions open at once, per day with a login or logout.
+    """Most sessions open at once, for every day from the first login or logout to the last.
 
-    Logins and logouts are netted per second first, so the running sum of a day
+    Within a second logins come before logouts, so a session counts in the second it opens even
+    if it closes in it. Logins and logouts are netted per second first, so the running sum of a day
     covers at most 86,400 rows however many sessions fall on it. The level a day
     starts with is the sum of all earlier days (one row per day).
     """
@@ -30,18 +31,22 @@ def peak_concurrency(sessions: DataFrame) -> DataFrame:
         sessions.select(F.inline(edges))
         .filter(F.col("ts").isNotNull())
         .groupBy(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second"))
-        .agg(F.sum("step").alias("step"))
+        .agg(F.sum("step").alias("step"), F.count_if(F.col("step") > 0).alias("opened"))
         .withColumn("date", F.to_date("second"))
     )
     running = F.sum("step").over(Window.partitionBy("date").orderBy("second"))
     daily = (
-        seconds.withColumn("level", running)
+        seconds.withColumn("level", running - F.col("step") + F.col("opened"))
         .groupBy("date")
         .agg(F.sum("step").alias("net"), F.max("level").alias("top"))
     )
+    span = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    days = span.select(F.explode(F.sequence("first", "last")).alias("date"))
     earlier = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.coalesce(F.sum("net").over(earlier), F.lit(0))
-    return daily.select("date", (carried + F.greatest(F.col("top"), F.lit(0))).alias("peak_concurrent_users"))
+    return days.join(daily, "date", "left").select(
+        "date", (carried + F.greatest(F.coalesce("top", F.lit(0)), F.lit(0))).alias("peak_concurrent_users")
+    )
 
 
 def sessionize(
@@ -125,12 +130,36 @@ def page_visits_corrected(rows: DataFrame) -> DataFrame:
     return page_visits(folded)
 
 
+_FIRED = ["admin_id", "activity_type", "target_resource"]
+
+
 def drop_double_fire(log: DataFrame) -> DataFrame:
-    """Keep one row of events two listeners recorded in the same second."""
+    """Keep the first row, by id, of events two listeners recorded in the same second.
+
+    The seconds are those of the clock: a pair on both sides of a full second stays. Where that
+    matters use :func:`drop_close_fire`.
+    """
     second = F.date_trunc("second", "created_at").cast("timestamp_ntz")
-    others = [c for c in log.columns if c != "id"]
+    first = F.row_number().over(Window.partitionBy(*_FIRED, "_second").orderBy("id"))
+    return log.withColumn("_second", second).withColumn("_n", first).filter("_n = 1").drop("_second", "_n")
+
+
+def drop_close_fire(log: DataFrame, within_micros: int = MICROS) -> DataFrame:
+    """Keep a row only if no row of its kind came at most ``within_micros`` before it.
+
+    Rows are first reduced to slots of that width, of which only the first row can stay, so the
+    ordered pass over a kind covers one row a slot.
+    """
+    at = _epoch_micros(F.col("created_at"))
+    slot = Window.partitionBy(*_FIRED, "_slot")
+    before = F.lag("_last").over(Window.partitionBy(*_FIRED).orderBy("_slot"))
     return (
-        log.groupBy("admin_id", "activity_type", "target_resource", second.alias("_second"))
-        .agg(F.min(F.struct("id", *others)).alias("kept"))
-        .select("kept.*")
+        log.withColumn("_at", at)
+        .withColumn("_slot", F.col("_at") - F.pmod(F.col("_at"), F.lit(within_micros)))
+        .withColumn("_n", F.row_number().over(slot.orderBy("_at", "id")))
+        .withColumn("_last", F.max("_at").over(slot))
+        .filter("_n = 1")
+        .withColumn("_before", before)
+        .filter(F.col("_before").isNull() | (F.col("_at") - F.col("_before") > within_micros))
+        .select(log.columns)
     )

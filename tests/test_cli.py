@@ -36,3 +36,15 @@ def test_show_and_analytics(folder, capsys):
     assert "total_activities" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["report", "--tables", folder, "--format", "csv"])
+
+
+def test_all_rows_are_printed_and_exported(folder, tmp_path, spark, capsys):
+    base = ["report", "--tables", folder, "--type", "admin_activity", "--range", "90d", "--as-of", "2024-01-31"]
+    assert main(base) == 0
+    printed = capsys.readouterr().out.splitlines()
+    assert len(printed) > 100
+    assert main([*base, "--limit", "2"]) == 0
+    assert any(line.endswith("more rows)") for line in capsys.readouterr().out.splitlines())
+    daily = ["analytics", "--tables", folder, "--type", "daily", "--date", "2024-01-15"]
+    assert main([*daily, "--format", "json", "--out", str(tmp_path)]) == 0
+    assert spark.read.json(capsys.readouterr().out.split()[0]).count() > 0

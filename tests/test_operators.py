@@ -89,17 +89,18 @@ def test_peak_concurrency(spark):
         start = T0 + timedelta(seconds=rng.randint(0, 3 * 86400))
         spans.append((start, None if rng.random() < 0.1 else start + timedelta(seconds=rng.randint(0, 90000))))
     df = spark.createDataFrame(spans, "login_time TIMESTAMP_NTZ, logout_time TIMESTAMP_NTZ")
+    spans.append((T0 + timedelta(days=9), T0 + timedelta(days=12)))  # days without an edge
+    spans += [(T0 + timedelta(days=20, seconds=5),) * 2] * 3  # sessions of one second
+    df = spark.createDataFrame(spans, "login_time TIMESTAMP_NTZ, logout_time TIMESTAMP_NTZ")
     edges = sorted({s for s, _ in spans} | {e for _, e in spans if e})
     want = {}
-    level_before = {}
-    for at in edges:
-        level = sum(1 for s, e in spans if s <= at and (e is None or e > at))
-        day = at.date()
-        if day not in want:
-            start_of_day = datetime(day.year, day.month, day.day)
-            level_before[day] = sum(1 for s, e in spans if s < start_of_day and (e is None or e >= start_of_day))
-            want[day] = level_before[day]
-        want[day] = max(want[day], level)
+    day = edges[0].date()
+    while day <= edges[-1].date():
+        start = datetime(day.year, day.month, day.day)
+        want[day] = sum(1 for s, e in spans if s < start and (e is None or e >= start))
+        for at in {s for s, _ in spans if s.date() == day}:
+            want[day] = max(want[day], sum(1 for s, e in spans if s <= at and (e is None or e >= at)))
+        day += timedelta(days=1)
     assert rows(sessions.peak_concurrency(df)) == sorted(want.items(), key=repr)
 
 
@@ -117,7 +118,12 @@ def test_double_fire(spark):
         "id BIGINT, admin_id BIGINT, activity_type STRING, target_resource STRING, created_at TIMESTAMP_NTZ",
     )
     kept = sessions.drop_double_fire(log)
-    assert rows(kept, "id") == [(1,), (3,), (4,)] and kept.columns[1:] == log.columns[1:]
+    assert rows(kept, "id") == [(1,), (3,), (4,)] and kept.columns == log.columns
+    late = timedelta(milliseconds=999)
+    log = log.union(spark.createDataFrame([(5, 2, "c", None, T0 + late), (6, 2, "c", None, T0 + late + timedelta(milliseconds=2))], log.schema))
+    assert rows(sessions.drop_double_fire(log), "id") == [(1,), (3,), (4,), (5,), (6,)]
+    assert rows(sessions.drop_close_fire(log, 500_000), "id") == [(1,), (3,), (4,), (5,)]
+    assert rows(sessions.drop_close_fire(log, 2_000_000), "id") == [(1,), (4,), (5,)]
 
 
 def test_merge_rules(spark):
@@ -134,12 +140,21 @@ def test_change_log(spark):
     new = spark.createDataFrame([("a", "", 2), ("add", "d", 0), ("same", "s", 5)], "k STRING, s STRING, n INT")
     got = rows(merge.change_log(old, new, "k", ["s", "n"], "t"), "record_id", "operation_type", "field_name", "old_value", "new_value", "new_values")
     assert got == sorted([
-        ("a", "UPDATE", "s", "x", None, None), ("a", "UPDATE", "n", "1", "2", '{"n":"2"}'),
+        ("a", "UPDATE", "s", "x", None, None), ("a", "UPDATE", "n", "1", "2", '{"n":2}'),
         ("gone", "DELETE", "s", "g", None, None), ("gone", "DELETE", "n", None, None, None),
         ("add", "INSERT", "s", None, "d", '{"s":"d"}'), ("add", "INSERT", "n", None, None, None),
     ], key=repr)
 
 
+def test_change_log_of_booleans(spark):
+    old = spark.createDataFrame([(1, True), (2, False)], "k INT, b BOOLEAN")
+    new = spark.createDataFrame([(1, False), (2, True)], "k INT, b BOOLEAN")
+    got = merge.change_log(old, new, "k", ["b"], "t")
+    assert rows(got, "record_id", "old_value", "new_value", "old_values", "new_values") == [
+        (1, "true", None, '{"b":true}', None), (2, None, "true", None, '{"b":true}'),
+    ]
+
+
 def test_delete_rules(spark):
     child = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id INT, parent INT")
     gone = spark.createDataFrame([(10,), (10,)], "pid INT")
@@ -198,8 +213,11 @@ def test_login_logout(spark):
     outs = spark.createDataFrame([(7, 1, T0 + timedelta(seconds=90)), (7, 2, T0), (8, 1, T0)], "session_id BIGINT, admin_id BIGINT, event_time TIMESTAMP_NTZ")
     closed = lookups.close_sessions(outs, logins).collect()
     assert len(closed) == 1 and closed[0].session_duration == 90 and not closed[0].is_active
-    assert lookups.logout_log(outs, logins).first().activity_description == "Admin logged out after 90 seconds"
-    assert lookups.rejected_logouts(outs, logins).count() == 2
+    admins = spark.createDataFrame([(1,), (2,)], "id BIGINT")
+    logged = rows(lookups.logout_log(outs, logins, admins), "admin_id", "activity_description", "ip_address")
+    assert logged == [(1, "Admin logged out after 90 seconds", "ip"), (2, "Admin logged out after 0 seconds", "ip")]
+    outcomes = rows(lookups.match_logouts(outs, logins, admins.filter("id = 1")), "session_id", "admin_id", "outcome")
+    assert outcomes == [(7, 1, "closed"), (7, 2, "rejected"), (8, 1, "rejected")]
 
 
 def test_hot_user_is_split_in_the_ledger_join(spark):
