@@ -143,24 +143,28 @@ def estimated(a: Column, b: Column, n: Column, m: Column) -> Column:
     return (equal - chance) / F.lit(float(REGISTERS))
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and estimate leave the threshold open."""
     share = percent / 100
     least = share - SLACK * float(np.sqrt(share * (1 - share) / REGISTERS))
     left = sketches.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = sketches.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    close = (
+    return (
         pairs.join(left, "a")
         .join(right, "b")
         .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         .filter(estimated(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")) >= least)
-        .select("a", "b", "na", "nb")
+        .select("a", "b")
     )
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     shared = F.size(F.array_intersect("xa", "xb"))
     return (
-        close.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("xa")), "a")
+        pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("xa")), "a")
         .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("xb")), "b")
-        .filter(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent)
+        .filter(shared * 100 >= (F.size("xa") + F.size("xb") - shared) * percent)
         .select("a", "b")
     )
 
@@ -210,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
     led = written(buckets.join(leaders, "bucket").select("bucket", "band", "class", "leader"), "led")
     first = _ordered(led.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")))
-    links = written(_verified(first, sketches, sets, percent), "links")
+    links = written(_verified(_close(first, sketches, percent), sets, percent), "links")
 
     # what is still apart within a bucket is compared with the bucket's others: first each with the
     # nearest alone, which joins most of what belongs together, then all pairs that remain open
@@ -220,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             "bucket", "band", "class", "leader", F.coalesce("component", "class").alias("part")
         )
         rest = written(_apart(placed, sketches, sets, percent, nearest).join(first, ["a", "b"], "left_anti"), "open-pairs")
-        links = written(links.union(_verified(rest, sketches, sets, percent)), "links")
+        links = written(links.union(_verified(rest, sets, percent)), "links")
         first = first.union(rest)
 
     joined = components(links)
