@@ -381,6 +381,41 @@ def requests_from(ev: DataFrame) -> DataFrame:
         "CASE WHEN k % 2 = 1 AND k % 19 <> 0 THEN concat('did ', event_type) END AS activity_description",
         "CASE WHEN k % 7 <> 0 THEN concat('feature_', k % 10) END AS target_resource",
         "CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) END AS execution_time_ms",
+        "CAST(k AS STRING) AS target_id",
+        "CASE WHEN k % 6 <> 0 THEN concat('10.1.0.', k) END AS ip_address",
+        "CASE WHEN event_type = 'error' THEN 500 WHEN k % 11 <> 0 THEN 200 END AS response_status",
+        "CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN props END AS additional_data",
+        "'POST' AS request_method",
+        "ts AS event_time",
+    )
+
+
+def visits_from(ev: DataFrame) -> DataFrame:
+    """Page-visit requests: some name no page, many come without an active session."""
+    agents = " ".join(f"WHEN {i} THEN '{agent}'" for i, agent in enumerate(USER_AGENTS))
+    return ev.selectExpr(
+        "event_id AS id",
+        "concat('sess_', event_id - k % 4) AS session_token",
+        "CASE WHEN k % 13 <> 0 THEN concat('page_', k % 5) END AS page_name",
+        "concat('/app/page_', k % 5) AS page_url",
+        "CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) END AS visit_duration",
+        f"CASE k % 6 {agents} END AS user_agent",
+        "CASE k % 3 WHEN 0 THEN '375x812' WHEN 1 THEN '1920x1080' END AS screen_resolution",
+        "CASE WHEN k % 2 = 0 THEN 'Own Browser' END AS browser_name",
+        "ts AS event_time",
+    )
+
+
+def security_from(ev: DataFrame) -> DataFrame:
+    """Security requests without a session: some name no admin, some lack a field."""
+    return ev.selectExpr(
+        "event_id AS id",
+        "CASE WHEN k % 3 <> 0 THEN user_id END AS admin_id",
+        "concat('TYPE_', k % 3) AS event_type",
+        "CASE WHEN k % 7 <> 0 THEN 'HIGH' END AS event_severity",
+        "concat('event ', k) AS event_description",
+        "concat('10.2.0.', k) AS ip_address",
+        "CASE WHEN k % 4 = 1 THEN props END AS additional_data",
         "ts AS event_time",
     )
 

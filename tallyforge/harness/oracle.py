@@ -134,7 +134,10 @@ BASE: dict[str, str] = {
                CASE WHEN event_type IN ('click', 'view') THEN 'NAVIGATION' ELSE 'DATA' END AS activity_category,
                CASE WHEN k % 2 = 0 OR k % 19 <> 0 THEN 'did ' || event_type END AS description,
                CASE WHEN k % 7 <> 0 THEN 'feature_' || (k % 10) END AS target_resource,
-               CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) END AS execution_time_ms, ts
+               CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) END AS execution_time_ms,
+               CAST(k AS VARCHAR) AS target_id, CASE WHEN k % 6 <> 0 THEN '10.1.0.' || k END AS ip_address,
+               CASE WHEN event_type = 'error' THEN 500 WHEN k % 11 <> 0 THEN 200 END AS response_status,
+               CASE WHEN k % 4 = 1 THEN props END AS additional_data, ts
         FROM ev""",
     "logouts": """
         SELECT event_id + CASE WHEN k % 9 = 0 THEN 1000000000 ELSE 0 END AS session_id,
@@ -446,21 +449,7 @@ def _presets() -> str:
 
 
 def _table_counts() -> str:
-    tables = {
-        "admins": "admins",
-        "admin_sessions": "sessions",
-        "admin_activity_log": "activity_log",
-        "admin_page_visits": "page_view_rows",
-        "admin_security_events": "security",
-        "profiles": "profiles",
-        "transactions": "tx",
-        "rewards": "rewards",
-        "chatbot_users": "chat_users",
-        "chat_sessions": "chat_sessions",
-        "chat_messages": "chat_messages",
-        "user_feedback": "feedback",
-    }
-    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS count FROM {src}" for t, src in tables.items())
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS count FROM {source}" for t, source in _NAMED.items())
 
 
 _ACCEPTED = """
@@ -491,13 +480,72 @@ def _enum(table: str, source: str, column: str, domain: list[str]) -> str:
         FROM {source} WHERE {column} NOT IN ({listed}) GROUP BY {column}"""
 
 
-def _column_check(table: str, source: str, column: str, longest: int | None) -> str:
+def _column_check(table: str, source: str, column: str, longest: int | None, required: bool) -> str:
+    missing = f"count(*) FILTER (WHERE {column} IS NULL)" if required else "CAST(0 AS BIGINT)"
     too_long = f"count(*) FILTER (WHERE length({column}) > {longest})" if longest else "CAST(0 AS BIGINT)"
     return f"""
-        SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) FILTER (WHERE {column} IS NULL) AS null_rows,
+        SELECT '{table}' AS table_name, '{column}' AS column_name, {missing} AS null_rows,
                {too_long} AS too_long_rows FROM {source}"""
 
 
+# the test tables' sources by the names they stand for
+_NAMED = {
+    "admins": "admins",
+    "admin_sessions": "sessions",
+    "admin_activity_log": "activity_log",
+    "admin_page_visits": "page_view_rows",
+    "admin_security_events": "security",
+    "feature_usage_tracking": "feature_usage",
+    "admin_performance_metrics": "performance",
+    "profiles": "profiles",
+    "transactions": "tx",
+    "waste_categories": "categories",
+    "ai_detection_mapping": "(SELECT * FROM (VALUES ('MEDIUM', 'plastic'), ('PROMO', 'paper'), ('SMALL', 'steel'), "
+    "('STANDARD', 'organic')) AS m(coco_class, waste_category))",
+    "rewards": "rewards",
+    "daily_analytics": "(SELECT DISTINCT CAST(ts AS DATE) AS date FROM tx)",
+    "chatbot_users": "chat_users",
+    "user_preferences": "(SELECT CAST(c_custkey AS VARCHAR) AS user_id, unnest(['segment', 'nation']) AS preference_key FROM customer)",
+    "chat_sessions": "chat_sessions",
+    "chat_messages": "chat_messages",
+    "user_feedback": "feedback",
+    "ai_knowledge_base": "(SELECT * FROM (VALUES ('earn_points', 10), ('recycling', 10), ('ai_detection', 9), ('rewards', 8), "
+    "('environment', 7)) AS b(category, priority))",
+}
+_KEYS = [
+    ("admins", "id"), ("admins", "username"), ("admin_sessions", "id"), ("admin_sessions", "session_token"),
+    ("admin_activity_log", "id"), ("admin_page_visits", "id"), ("admin_security_events", "id"),
+    ("feature_usage_tracking", "admin_id,feature_name"), ("admin_performance_metrics", "admin_id,date"),
+    ("profiles", "user_id"), ("transactions", "id"), ("waste_categories", "category_name"),
+    ("ai_detection_mapping", "coco_class"), ("rewards", "id"), ("daily_analytics", "date"), ("chatbot_users", "user_id"),
+    ("user_preferences", "user_id,preference_key"), ("chat_sessions", "id"), ("chat_sessions", "session_id"),
+    ("chat_messages", "id"), ("user_feedback", "id"),
+]
+_LINKS = [
+    ("ai_detection_mapping", "waste_category", "waste_categories", "category_name"),
+    ("admin_sessions", "admin_id", "admins", "id"),
+    ("admin_activity_log", "admin_id", "admins", "id"),
+    ("admin_page_visits", "admin_id", "admins", "id"),
+    ("admin_security_events", "admin_id", "admins", "id"),
+    ("admin_performance_metrics", "admin_id", "admins", "id"),
+    ("feature_usage_tracking", "admin_id", "admins", "id"),
+    ("user_preferences", "user_id", "chatbot_users", "user_id"),
+    ("chat_sessions", "user_id", "chatbot_users", "user_id"),
+    ("chat_messages", "session_id", "chat_sessions", "session_id"),
+    ("chat_messages", "user_id", "chatbot_users", "user_id"),
+    ("user_feedback", "user_id", "chatbot_users", "user_id"),
+    ("user_feedback", "message_id", "chat_messages", "id"),
+]
+_RAW_MESSAGES = (
+    "(SELECT conv_id * 1000 + turn AS id, 'c' || conv_id AS session_id, CAST(conv_id % 10 AS VARCHAR) AS user_id, "
+    "role AS message_type, CASE WHEN turn % 7 <> 3 THEN text END AS message_content, substr(text, 1, 150) AS intent_category "
+    "FROM conversations)"
+)
+_RAW_SECURITY = (
+    "(SELECT event_id AS id, 'TYPE_' || (k % 3) AS event_type, CASE WHEN k % 7 <> 0 THEN 'High' END AS event_severity, "
+    "'event ' || k AS event_description, '10.2.0.' || k AS ip_address FROM ev)"
+)
+
 _REGISTRATIONS = """
     SELECT c_custkey AS id,
            CASE c_custkey % 7 WHEN 1 THEN 'ab' WHEN 2 THEN c_name ELSE replace(c_name, '#', '_') END AS username,
@@ -821,6 +869,7 @@ _BODIES: dict[str, str] = {
         SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation
         FROM customer""",
     "table_counts": _table_counts(),
+    "knowledge_listing": f"SELECT category, priority FROM {_NAMED['ai_knowledge_base']}",
     "rewards_catalog": "SELECT id, title, cost_points, is_active FROM rewards WHERE is_active",
     "users_sample": "SELECT user_id, display_name, email FROM chat_users ORDER BY user_id LIMIT 5",
     "ua_classify": f"""
@@ -933,43 +982,42 @@ _BODIES: dict[str, str] = {
         FROM profiles o JOIN profiles_after n ON n.user_id = o.user_id WHERE o.eco_points <> n.eco_points""",
     "data_change_log": _CHANGES,
     "dq_unique": " UNION ALL ".join(
-        [
-            _duplicates("profiles", "profiles", ["user_id"]),
-            _duplicates("admin_sessions", "sessions", ["session_token"]),
-            _duplicates("transactions", "tx", ["id"]),
-            _duplicates(
-                "user_preferences",
-                "(SELECT c_custkey AS user_id, unnest(['segment', 'nation']) AS preference_key FROM customer)",
-                ["user_id", "preference_key"],
-            ),
-            _duplicates("detections", "detections", ["order_id", "line"]),
-            _duplicates("feature_usage_tracking", "feature_usage", ["admin_id", "feature_name"]),
-        ]
+        _duplicates(table, _NAMED[table], keys.split(","))
+        if table != "admin_security_events"
+        else _duplicates(table, "(SELECT * FROM security UNION ALL SELECT * FROM security)", ["id"])
+        for table, keys in _KEYS
     ),
     "dq_orphans": " UNION ALL ".join(
-        [
-            _orphans("admin_activity_log", "activity_log", "admin_id", "admins", "admins", "id"),
-            _orphans("admin_sessions", "sessions", "admin_id", "admins", "admins", "id"),
-            _orphans("transactions", "tx", "user_id", "profiles", "profiles", "user_id"),
-            _orphans("chat_messages", "chat_messages", "session_id", "chat_sessions", "chat_sessions", "session_id"),
-            _orphans("chat_sessions", "chat_sessions", "user_id", "chatbot_users", "chat_users", "user_id"),
-        ]
+        _orphans(child, _NAMED[child], column, parent, _NAMED[parent], key) for child, column, parent, key in _LINKS
     ),
     "dq_enum": " UNION ALL ".join(
         [
-            _enum("admin_security_events", "security", "event_severity", ["LOW", "MEDIUM", "HIGH", "CRITICAL"]),
-            _enum("admin_security_events", "security", "event_type", ["TYPE_0", "TYPE_1"]),
-            _enum("conversations", "conversations", "role", ["user", "bot", "system"]),
+            _enum("chat_messages", _RAW_MESSAGES, "message_type", ["user", "bot", "system"]),
+            _enum("admin_security_events", _RAW_SECURITY, "event_severity", ["LOW", "MEDIUM", "HIGH", "CRITICAL"]),
         ]
     ),
     "dq_nulls_len": " UNION ALL ".join(
         [
-            _column_check("admin_activity_log", "activity_log", "activity_type", 100),
-            _column_check("admin_activity_log", "activity_log", "activity_category", 8),
-            _column_check("admin_activity_log", "activity_log", "target_resource", 9),
-            _column_check("admin_activity_log", "activity_log", "response_status", None),
-            _column_check("chat_messages", "chat_messages", "message_content", 1000),
-            _column_check("chat_messages", "chat_messages", "intent_category", 100),
+            _column_check("chat_messages", _RAW_MESSAGES, column, longest, required)
+            for column, longest, required in [
+                ("id", None, True), ("session_id", 36, True), ("user_id", 64, True), ("message_type", None, True),
+                ("message_content", None, True), ("intent_category", 100, False),
+            ]
+        ]
+        + [
+            _column_check("admin_security_events", _RAW_SECURITY, column, longest, required)
+            for column, longest, required in [
+                ("id", None, True), ("event_type", 50, True), ("event_severity", None, True),
+                ("event_description", None, True), ("ip_address", 45, True),
+            ]
+        ]
+        + [
+            _column_check("admin_activity_log", "activity_log", column, longest, required)
+            for column, longest, required in [
+                ("id", None, True), ("admin_id", None, True), ("activity_type", 100, True), ("activity_category", 50, True),
+                ("activity_description", None, True), ("target_resource", 100, False), ("target_id", 100, False),
+                ("ip_address", 45, True),
+            ]
         ]
     ),
     "delete_cascade": """
@@ -1001,9 +1049,35 @@ _BODIES: dict[str, str] = {
         FROM activity_log GROUP BY admin_id, activity_type, target_resource, date_trunc('second', created_at)""",
     "stream_ingest_append": f"""
         SELECT id, admin_id, session_id, activity_type, activity_category, description AS activity_description,
-               target_resource, 200 AS response_status, coalesce(execution_time_ms, 0) AS execution_time_ms,
-               ts AS created_at, CAST(ts AS DATE) AS date
+               target_resource, target_id, CAST(NULL AS VARCHAR) AS old_values, CAST(NULL AS VARCHAR) AS new_values,
+               coalesce(ip_address, 'unknown') AS ip_address, 'unknown' AS user_agent, 'POST' AS request_method,
+               '' AS request_url, response_status, coalesce(execution_time_ms, 0) AS execution_time_ms, additional_data,
+               ts AS created_at
         FROM ({_ACCEPTED}) WHERE activity_type IS NOT NULL AND description IS NOT NULL""",
+    "stream_ingest_visits": f"""
+        SELECT e.event_id AS id, s.admin_id, s.id AS session_id, 'page_' || (k % 5) AS page_name,
+               '/app/page_' || (k % 5) AS page_url, CASE WHEN k % 5 <> 0 THEN CAST(floor(value) AS INT) ELSE 0 END AS visit_duration,
+               'unknown' AS ip_address, coalesce(CASE k % 6 {_AGENT_CASES} END, 'unknown') AS user_agent,
+               CASE k % 3 WHEN 0 THEN '375x812' WHEN 1 THEN '1920x1080' END AS screen_resolution,
+               CASE k % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' END AS device_type, k % 2 = 0 AS named_browser, ts AS created_at
+        FROM ev e JOIN sessions s ON s.session_token = 'sess_' || (e.event_id - e.k % 4) AND s.is_active
+        JOIN admins a ON a.id = s.admin_id
+        WHERE e.k % 13 <> 0""",
+    "stream_ingest_security": """
+        SELECT event_id AS id, CASE WHEN k % 3 <> 0 THEN user_id END AS admin_id, 'TYPE_' || (k % 3) AS event_type,
+               'HIGH' AS event_severity, 'event ' || k AS event_description, '10.2.0.' || k AS ip_address,
+               'unknown' AS user_agent, CASE WHEN k % 4 = 1 THEN props END AS additional_data, FALSE AS is_resolved,
+               ts AS created_at
+        FROM ev WHERE k % 7 <> 0""",
+    "stream_quarantine": f"""
+        SELECT 'activity' AS feed, CASE WHEN id % 10 = 3 THEN 'malformed'
+                    WHEN activity_type IS NULL OR description IS NULL THEN 'incomplete'
+                    WHEN id NOT IN (SELECT id FROM ({_ACCEPTED})) THEN 'no active session' ELSE 'accepted' END AS reason, id
+        FROM requests
+        UNION ALL SELECT 'security_event', CASE WHEN k % 7 = 0 THEN 'incomplete' ELSE 'accepted' END, event_id FROM ev""",
+    "stream_ingested_activities": f"""
+        SELECT id, activity_type, target_id FROM ({_ACCEPTED}) WHERE activity_type IS NOT NULL AND description IS NOT NULL
+        ORDER BY ts DESC, id DESC LIMIT 100""",
     "stream_dedup": "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }
 

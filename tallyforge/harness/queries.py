@@ -16,7 +16,7 @@ from tallyforge.plans import activity, catalog, chat, dashboard, reports, reward
 from tallyforge.session import scratch_path
 from tallyforge.sources import readers, sinks
 from tallyforge.sources.readers import stream_files
-from tallyforge.sources.schemas import DEFAULTS, ENUMS, REQUIRED_FIELDS
+from tallyforge.sources.schemas import DEFAULTS, REQUIRED_FIELDS
 from tallyforge.streaming import feeds, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,22 +409,12 @@ def preferences_pivot(f):
 
 @query
 def table_counts(f):
-    return catalog.table_counts(
-        {
-            "admins": f.admins,
-            "admin_sessions": f.sessions,
-            "admin_activity_log": f.activity_log,
-            "admin_page_visits": f.page_visits,
-            "admin_security_events": f.security_events,
-            "profiles": f.profiles,
-            "transactions": f.transactions,
-            "rewards": f.rewards,
-            "chatbot_users": f.chat_users,
-            "chat_sessions": f.chat_sessions,
-            "chat_messages": f.chat_messages,
-            "user_feedback": f.user_feedback,
-        }
-    )
+    return catalog.table_counts(named_tables(f))
+
+
+@query
+def knowledge_listing(f):
+    return catalog.knowledge_by_priority(f.knowledge_base)
 
 
 @query
@@ -721,61 +711,65 @@ def data_change_log(f):
 
 
 # ---- quality --------------------------------------------------------------------------
+def named_tables(f: Fixtures) -> dict[str, DataFrame]:
+    """The test frames under the names of the tables they stand for."""
+    return {
+        "admins": f.admins,
+        "admin_sessions": f.sessions,
+        "admin_activity_log": f.activity_log,
+        "admin_page_visits": f.page_visits,
+        "admin_security_events": f.security_events,
+        "feature_usage_tracking": usage_of(f),
+        "admin_performance_metrics": performance_of(f),
+        "profiles": f.profiles,
+        "transactions": f.transactions,
+        "waste_categories": f.waste_categories,
+        "ai_detection_mapping": f.detection_mapping,
+        "rewards": f.rewards,
+        "daily_analytics": rewards.daily_stats(f.transactions),
+        "chatbot_users": f.chat_users,
+        "user_preferences": f.preferences,
+        "chat_sessions": f.chat_sessions,
+        "chat_messages": f.chat_messages,
+        "user_feedback": f.user_feedback,
+        "ai_knowledge_base": f.knowledge_base,
+    }
+
+
+def unchecked_tables(f: Fixtures) -> dict[str, DataFrame]:
+    """Rows as they come before any gate, with values that the declarations forbid."""
+    messages = f.raw("conversations").selectExpr(
+        "conv_id * 1000 + turn AS id",
+        "concat('c', conv_id) AS session_id",
+        "CAST(conv_id % 10 AS STRING) AS user_id",
+        "role AS message_type",
+        "CASE WHEN turn % 7 <> 3 THEN text END AS message_content",
+        "substr(text, 1, 150) AS intent_category",
+    )
+    security = shapes.security_from(f.ev).withColumn("event_severity", F.initcap("event_severity"))
+    return {"chat_messages": messages, "admin_security_events": security, "admin_activity_log": f.activity_log}
+
+
 @query
 def dq_unique(f):
-    return quality.duplicate_keys(
-        {
-            "profiles": (f.profiles, ["user_id"]),
-            "admin_sessions": (f.sessions, ["session_token"]),
-            "transactions": (f.transactions, ["id"]),
-            "user_preferences": (f.preferences, ["user_id", "preference_key"]),
-            "detections": (f.detections, ["order_id", "line"]),
-            "feature_usage_tracking": (usage_of(f), ["admin_id", "feature_name"]),
-        }
-    )
+    """Every declared key, and ``id``, of every table at hand."""
+    return quality.declared_keys({**named_tables(f), "admin_security_events": f.security_events.unionByName(f.security_events)})
 
 
 @query
 def dq_orphans(f):
-    return quality.orphans(
-        [
-            ("admin_activity_log", f.activity_log, "admin_id", "admins", f.admins, "id"),
-            ("admin_sessions", f.sessions, "admin_id", "admins", f.admins, "id"),
-            ("transactions", f.transactions, "user_id", "profiles", f.profiles, "user_id"),
-            ("chat_messages", f.chat_messages, "session_id", "chat_sessions", f.chat_sessions, "session_id"),
-            ("chat_sessions", f.chat_sessions, "user_id", "chatbot_users", f.chat_users, "user_id"),
-        ]
-    )
+    """Every declared reference between the tables at hand."""
+    return quality.declared_links(named_tables(f))
 
 
 @query
 def dq_enum(f):
-    severity = ENUMS[("admin_security_events", "event_severity")]
-    return quality.enum_violations(
-        [
-            ("admin_security_events", f.security_events, "event_severity", severity),
-            ("admin_security_events", f.security_events, "event_type", ["TYPE_0", "TYPE_1"]),
-            ("conversations", f.raw("conversations"), "role", ENUMS[("chat_messages", "message_type")]),
-        ]
-    )
+    return quality.declared_domains(unchecked_tables(f))
 
 
 @query
 def dq_nulls_len(f):
-    log = quality.null_and_length(
-        "admin_activity_log",
-        f.activity_log,
-        {
-            "activity_type": (True, 100),
-            "activity_category": (True, 8),
-            "target_resource": (True, 9),
-            "response_status": (True, None),
-        },
-    )
-    messages = quality.null_and_length(
-        "chat_messages", f.chat_messages, {"message_content": (True, 1000), "intent_category": (True, 100)}
-    )
-    return log.unionByName(messages)
+    return quality.declared_columns(unchecked_tables(f))
 
 
 @query
@@ -841,35 +835,93 @@ def dedup_same_second(f):
 DELAY = "40 days"
 
 
-def raw_stream(f: Fixtures, table: str) -> DataFrame:
-    """A test table as a file stream; the braces accept one file as well as a folder."""
-    return stream_files(f.spark, f"{f.sf_dir}/{{{table}.parquet}}", RAW_SCHEMAS[table])
+def raw_stream(f: Fixtures, table: str, ts: str, cuts: list[str]) -> DataFrame:
+    """A test table as a stream of as many files as ``cuts`` part it into, one a micro-batch, oldest first."""
+    folder = scratch_path(f.spark, f"feed-{table}")
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = f.raw(table)
+        if low:
+            part = part.filter(F.col(ts) >= F.lit(low).cast("timestamp_ntz"))
+        if high:
+            part = part.filter(F.col(ts) < F.lit(high).cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return stream_files(f.spark, folder, RAW_SCHEMAS[table], files_per_batch=1)
+
+
+def order_stream(f: Fixtures) -> DataFrame:
+    return raw_stream(f, "orders", "o_orderdate", ["1994-06-01", "1996-06-01"])
 
 
 def _event_stream(f: Fixtures) -> DataFrame:
-    raw = raw_stream(f, "events")
-    return shapes.with_k(raw)
+    return shapes.with_k(raw_stream(f, "events", "ts", ["2024-01-11", "2024-01-21"]))
+
+
+def _ingested(f: Fixtures, kind: str, requests: DataFrame) -> str:
+    root = scratch_path(f.spark, f"ingest-{kind}")
+    feeds.ingest(requests, kind, f.sessions, f.admins, root, f"{root}/checkpoint").awaitTermination()
+    return root
 
 
 @query
 def stream_ingest_append(f):
-    """Requests through the gates into a log partitioned by day."""
-    root = scratch_path(f.spark, "activity-log")
-    requests = shapes.requests_from(_event_stream(f))
-    feeds.append_activity(requests, f.sessions, f.admins, f"{root}/log", f"{root}/checkpoint").awaitTermination()
-    return f.spark.read.schema(
-        "id BIGINT, admin_id BIGINT, session_id BIGINT, activity_type STRING, activity_category STRING, "
-        "activity_description STRING, target_resource STRING, response_status INT, execution_time_ms INT, "
-        "created_at TIMESTAMP_NTZ, date DATE"
-    ).parquet(f"{root}/log")
+    """Activity requests through the gates into the whole log layout."""
+    root = _ingested(f, "activity", lookups.normalise_requests(shapes.requests_from(_event_stream(f))))
+    return feeds.ingested(f.spark, root).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query
+def stream_ingest_visits(f):
+    """Page visits; client facts and defaults fill what was not sent."""
+    root = _ingested(f, "page_visit", shapes.visits_from(_event_stream(f)))
+    return feeds.ingested(f.spark, root).select(
+        "id", "admin_id", "session_id", "page_name", "page_url", "visit_duration", "ip_address", "user_agent",
+        "screen_resolution", "device_type", (F.col("browser_name") == "Own Browser").alias("named_browser"),
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+@query
+def stream_ingest_security(f):
+    """Security events need no session."""
+    root = _ingested(f, "security_event", shapes.security_from(_event_stream(f)))
+    return feeds.ingested(f.spark, root).drop("resolved_at", "resolved_by").withColumn(
+        "created_at", F.col("created_at").cast("timestamp_ntz")
+    )
+
+
+@query
+def stream_quarantine(f):
+    """Requests of two feeds that were refused, with the reason, and how many were accepted."""
+    broken = shapes.requests_from(_event_stream(f)).withColumn(
+        "malformed", F.when(F.col("id") % 10 == 3, F.lit("{"))
+    )
+    out = None
+    for kind, requests in (
+        ("activity", lookups.normalise_requests(broken)),
+        ("security_event", shapes.security_from(_event_stream(f))),
+    ):
+        root = _ingested(f, kind, requests)
+        refused = feeds.ingested(f.spark, root, "quarantine").select("feed", "reason", "id")
+        accepted = feeds.ingested(f.spark, root).select(F.lit(kind).alias("feed"), F.lit("accepted").alias("reason"), "id")
+        both = refused.union(accepted)
+        out = both if out is None else out.union(both)
+    return out
+
+
+@query
+def stream_ingested_activities(f):
+    """The activity list of the dashboard over the log that ingest writes."""
+    root = _ingested(f, "activity", lookups.normalise_requests(shapes.requests_from(_event_stream(f))))
+    log = feeds.ingested(f.spark, root).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return dashboard.activities_list(log, f.admins).select("id", "activity_type", "target_id")
 
 
 @query
 def stream_upsert_points(f):
     """The order feed folded onto the profiles, one version per micro-batch."""
     root = scratch_path(f.spark, "profiles")
-    raw = raw_stream(f, "orders")
-    feed = shapes.points_from(raw)
+    feed = shapes.points_from(order_stream(f))
     state.keep_table(feed, state.points_fold, f.profiles, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return state.current_table(f.spark, f"{root}/table", f.profiles)
 
@@ -878,7 +930,7 @@ def stream_upsert_points(f):
 def stream_points_deltas(f):
     """The same feed kept as deltas, then compacted into a base."""
     root = scratch_path(f.spark, "deltas")
-    state.keep_deltas(shapes.points_from(raw_stream(f, "orders")), state.POINTS, root, f"{root}/cp").awaitTermination()
+    state.keep_deltas(shapes.points_from(order_stream(f)), state.POINTS, root, f"{root}/cp").awaitTermination()
     initial = f.profiles.withColumn("eco_points", F.col("eco_points").cast("long"))
     state.compact(f.spark, root, state.POINTS, initial)
     return state.folded_table(f.spark, root, state.POINTS, initial)

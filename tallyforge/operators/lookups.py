@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
+from tallyforge.functions import client
 from tallyforge.functions.ids import session_token, stable_id
 from tallyforge.functions.dates import seconds_between
 from tallyforge.functions.labels import all_of, name_or_id
 from tallyforge.operators.ranking import steps_up_to
+from tallyforge.sources.schemas import DEFAULTS, REQUIRED_FIELDS, schema_of
 
 
 # ---- ingest ---------------------------------------------------------------
@@ -38,32 +41,109 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def authenticate(feed: DataFrame, sessions: DataFrame, admins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted with session and admin, rejected) by active session token."""
-    active = (
+    active = active_sessions(sessions, admins)
+    accepted = feed.join(active, "session_token")
+    rejected = feed.join(active.select("session_token"), "session_token", "left_anti")
+    return accepted, rejected
+
+
+def active_sessions(sessions: DataFrame, admins: DataFrame) -> DataFrame:
+    return (
         sessions.filter("is_active")
         .select("session_token", F.col("id").alias("session_id"), "admin_id")
         .join(admins.select(F.col("id").alias("admin_id"), "username", "display_name"), "admin_id")
     )
-    accepted = feed.join(active, "session_token")
-    rejected = feed.join(active.select("session_token"), "session_token", "left_anti")
-    return accepted, rejected
 
 
-def log_rows(accepted: DataFrame) -> DataFrame:
-    """Authenticated requests in activity-log layout."""
-    return accepted.select(
-        "id",
-        "admin_id",
-        "session_id",
-        "activity_type",
-        "activity_category",
-        F.col("description").alias("activity_description"),
-        "target_resource",
-        F.lit(200).alias("response_status"),
-        F.coalesce("execution_time_ms", F.lit(0)).alias("execution_time_ms"),
-        F.col("event_time").alias("created_at"),
+# feeds that need an active session; logins, logouts and security events come without one
+WITH_SESSION = ("activity", "page_visit")
+MALFORMED, INCOMPLETE, NO_SESSION = "malformed", "incomplete", "no active session"
+
+
+def with_reason(feed: DataFrame, kind: str, sessions: DataFrame, admins: DataFrame) -> DataFrame:
+    """Every request with ``reason``: why it is refused, or NULL, and its session and admin if it needs them.
+
+    One pass over the feed: the parts that are accepted and refused always add up to it.
+    """
+    malformed = F.col("malformed").isNotNull() if "malformed" in feed.columns else F.lit(False)
+    reason = F.when(malformed, MALFORMED).when(~is_complete(REQUIRED_FIELDS[kind]), INCOMPLETE)
+    if kind not in WITH_SESSION:
+        return feed.withColumn("reason", reason)
+    active = active_sessions(sessions, admins).select("session_token", "session_id", "admin_id")
+    found = feed.drop("session_id", "admin_id").join(active, "session_token", "left")
+    return found.withColumn("reason", reason.when(F.col("session_id").isNull(), NO_SESSION))
+
+
+def accepted_rows(judged: DataFrame, kind: str) -> DataFrame:
+    """What accepted requests of a feed add to its table."""
+    rows = {"activity": log_rows, "page_visit": page_visit_rows, "security_event": security_event_rows}[kind]
+    return rows(judged.filter("reason IS NULL"))
+
+
+def quarantined_rows(judged: DataFrame, kind: str) -> DataFrame:
+    """Refused requests as they came, with the reason."""
+    body = F.to_json(F.struct(*[F.col(c) for c in judged.columns if c not in ("reason", "session_id")]))
+    return judged.filter("reason IS NOT NULL").select(
+        "id", F.lit(kind).alias("feed"), "reason", body.alias("body"), "event_time"
     )
 
 
+def _fitted(rows: DataFrame, table: str, values: dict[str, Column]) -> DataFrame:
+    """Rows in the declared layout of a table: given values, else the column so named, else the default or NULL."""
+    defaults = DEFAULTS.get(table, {})
+
+    def value(field: T.StructField) -> Column:
+        given = values.get(field.name)
+        if given is None:
+            given = F.col(field.name) if field.name in rows.columns else F.lit(None)
+        given = given.cast(field.dataType)
+        if field.name in defaults:
+            given = F.coalesce(given, F.lit(defaults[field.name]).cast(field.dataType))
+        return given.alias(field.name)
+
+    return rows.select(*[value(field) for field in schema_of(table)])
+
+
+def _sent(rows: DataFrame, name: str, otherwise: str | None = None) -> Column:
+    """A column a client may leave out."""
+    column = F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    return column if otherwise is None else F.coalesce(column, F.lit(otherwise))
+
+
+def _client(rows: DataFrame) -> dict[str, Column]:
+    return {
+        "ip_address": _sent(rows, "ip_address", "unknown"),
+        "user_agent": _sent(rows, "user_agent", "unknown"),
+        "created_at": F.col("event_time"),
+    }
+
+
+def log_rows(accepted: DataFrame) -> DataFrame:
+    """Authenticated requests in activity-log layout; the status is the event's own."""
+    values = {"activity_description": F.col("description"), "request_url": _sent(accepted, "request_url", "")}
+    texts = {name: F.nullif(_sent(accepted, name), F.lit("")) for name in ("old_values", "new_values", "additional_data")}
+    return _fitted(accepted, "admin_activity_log", {**values, **texts, **_client(accepted)})
+
+
+def page_visit_rows(accepted: DataFrame) -> DataFrame:
+    """Authenticated visits; what the client does not say of itself is read from its agent and screen."""
+    agent = _sent(accepted, "user_agent")
+    width = client.screen_width(_sent(accepted, "screen_resolution"))
+    facts = {
+        "browser_name": F.coalesce(_sent(accepted, "browser_name"), F.when(agent.isNotNull(), client.browser_name(agent))),
+        "browser_version": F.coalesce(_sent(accepted, "browser_version"), client.browser_version(agent)),
+        "os_name": F.coalesce(_sent(accepted, "os_name"), F.when(agent.isNotNull(), client.os_name(agent))),
+        "device_type": F.coalesce(_sent(accepted, "device_type"), F.when(width.isNotNull(), client.device_type(width))),
+    }
+    return _fitted(accepted, "admin_page_visits", {**facts, **_client(accepted)})
+
+
+def security_event_rows(accepted: DataFrame) -> DataFrame:
+    """Security events; they need no session and may name no admin."""
+    extra = {"additional_data": F.nullif(_sent(accepted, "additional_data"), F.lit(""))}
+    return _fitted(accepted, "admin_security_events", {**extra, **_client(accepted)})
+
+
 # ---- login and logout -----------------------------------------------------
 def login_sessions(logins: DataFrame) -> DataFrame:
     """The session a login opens, with a token derived from the login itself."""

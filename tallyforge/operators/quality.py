@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyforge.sources.schemas import ENUMS, FOREIGN_KEYS, LENGTHS, UNIQUE_KEYS, schema_of
+
 # Registration rules.
 MIN_NAME_LENGTH = 2
 MIN_USERNAME_LENGTH = 3
@@ -89,6 +91,48 @@ def null_and_length(name: str, df: DataFrame, rules: dict[str, tuple[bool, int |
     return df.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
 
 
+def declared_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """Duplicates of every declared key, and of ``id``, that the tables at hand have."""
+    checks = []
+    for name, frame in tables.items():
+        for keys in [["id"], *UNIQUE_KEYS.get(name, [])]:
+            if set(keys) <= set(frame.columns):
+                checks.append(duplicate_keys({name: (frame, keys)}))
+    return _stack(checks)
+
+
+def declared_links(tables: dict[str, DataFrame]) -> DataFrame:
+    """Orphans of every declared reference between the tables at hand."""
+    links = [
+        (child, tables[child], column, parent, tables[parent], parent_column)
+        for child, column, parent, parent_column, _ in FOREIGN_KEYS
+        if child in tables and parent in tables and column in tables[child].columns and parent_column in tables[parent].columns
+    ]
+    return orphans(links)
+
+
+def declared_domains(tables: dict[str, DataFrame]) -> DataFrame:
+    """Values outside every declared enum."""
+    return enum_violations(
+        [(t, tables[t], column, domain) for (t, column), domain in ENUMS.items() if t in tables and column in tables[t].columns]
+    )
+
+
+def declared_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """NULLs in required columns and texts beyond their declared length, one pass a table."""
+    checks = []
+    for name, frame in tables.items():
+        lengths = LENGTHS.get(name, {})
+        rules = {
+            field.name: (not field.nullable, lengths.get(field.name))
+            for field in schema_of(name)
+            if field.name in frame.columns and (not field.nullable or field.name in lengths)
+        }
+        if rules:
+            checks.append(null_and_length(name, frame, rules))
+    return _stack(checks)
+
+
 def _broken(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(True))
 

@@ -87,6 +87,38 @@ DDL: dict[str, str] = {
     f"admin_notes STRING, {_STAMPS}",
 }
 
+# The longest text of each limited column.
+LENGTHS: dict[str, dict[str, int]] = {
+    "admins": {"username": 64, "password_hash": 255, "display_name": 120, "email": 190},
+    "admin_audit": {"action": 120, "ip_address": 45},
+    "profiles": {"user_id": 64, "email": 190, "display_name": 120},
+    "transactions": {"id": 36, "user_id": 64, "type": 50, "waste_category": 50},
+    "waste_categories": {"category_name": 50},
+    "ai_detection_mapping": {"coco_class": 100, "waste_category": 50},
+    "rewards": {"id": 20, "title": 120},
+    "leaderboard_cache": {"user_id": 64, "display_name": 120},
+    "admin_sessions": {"session_token": 255, "ip_address": 45},
+    "admin_activity_log": {"activity_type": 100, "activity_category": 50, "target_resource": 100, "target_id": 100,
+                           "ip_address": 45, "request_method": 10},
+    "admin_page_visits": {"page_name": 100, "ip_address": 45, "screen_resolution": 20, "browser_name": 50,
+                          "browser_version": 20, "os_name": 50},
+    "admin_data_changes": {"table_name": 100, "record_id": 100, "field_name": 100, "ip_address": 45},
+    "admin_security_events": {"event_type": 50, "ip_address": 45},
+    "admin_performance_metrics": {"most_used_feature": 100},
+    "system_usage_stats": {"most_used_feature": 100},
+    "feature_usage_tracking": {"feature_name": 100, "feature_category": 50},
+    "chatbot_users": {"user_id": 64, "email": 190, "display_name": 120, "first_name": 60, "last_name": 60, "phone": 20,
+                      "avatar_url": 255, "timezone": 50, "language": 10},
+    "user_preferences": {"user_id": 64, "preference_key": 100},
+    "chat_sessions": {"session_id": 36, "user_id": 64, "session_name": 120},
+    "chat_messages": {"session_id": 36, "user_id": 64, "intent_category": 100},
+    "ai_knowledge_base": {"category": 100},
+    "user_activity_log": {"user_id": 64, "activity_type": 50, "ip_address": 45, "session_id": 36},
+    "chat_analytics": {"most_common_intent": 100},
+    "intent_tracking": {"intent_name": 100, "intent_category": 50},
+    "user_feedback": {"user_id": 64, "session_id": 36},
+}
+
 # Unique keys (primary keys on ``id`` are implied).
 UNIQUE_KEYS: dict[str, list[list[str]]] = {
     "admins": [["username"]],

@@ -8,12 +8,12 @@ seconds and every 5 minutes; jobs use the matching processing-time trigger, or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyforge.operators.lookups import authenticate, log_rows, normalise_requests, split_required
-from tallyforge.sources.schemas import REQUIRED_FIELDS
-from tallyforge.sources.sinks import write_version
+from tallyforge.operators.lookups import accepted_rows, quarantined_rows, with_reason
+from tallyforge.sources.sinks import committed_versions, write_version
 
 DASHBOARD_TRIGGER = "30 seconds"
 REPORT_TRIGGER = "5 minutes"
@@ -30,28 +30,37 @@ def run(writer, trigger: str | None = None) -> StreamingQuery:
     return writer.trigger(availableNow=True).start()
 
 
-def accept_requests(requests: DataFrame, sessions: DataFrame, admins: DataFrame) -> DataFrame:
-    """Required fields, then the active session; works on batches and streams."""
-    complete, _ = split_required(normalise_requests(requests), REQUIRED_FIELDS["activity"])
-    accepted, _ = authenticate(complete, sessions, admins)
-    return log_rows(accepted)
+def ingest(
+    requests: DataFrame,
+    kind: str,
+    sessions: DataFrame,
+    admins: DataFrame,
+    root: str,
+    checkpoint: str,
+    trigger: str | None = None,
+) -> StreamingQuery:
+    """A feed of requests to ``root/accepted`` and ``root/quarantine``, one version per micro-batch.
 
+    Each request is judged once and goes to one side; a batch that is replayed after a
+    failure rewrites its own versions, so nothing is added twice.
+    """
 
-def append_activity(
-    requests: DataFrame, sessions: DataFrame, admins: DataFrame, path: str, checkpoint: str, trigger: str | None = None
-) -> StreamingQuery:
-    """Accepted requests to an append-only log, one folder per day."""
-    rows = accept_requests(requests, sessions, admins).withColumn("date", F.to_date("created_at"))
-    writer = (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("date")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
+    def save(batch: DataFrame, batch_id: int) -> None:
+        judged = with_reason(batch, kind, sessions, admins).persist(StorageLevel.DISK_ONLY)
+        write_version(accepted_rows(judged, kind), f"{root}/accepted", batch_id)
+        write_version(quarantined_rows(judged, kind), f"{root}/quarantine", batch_id)
+        judged.unpersist()
+
+    writer = requests.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return run(writer, trigger)
 
 
+def ingested(spark: SparkSession, root: str, side: str = "accepted") -> DataFrame:
+    """All committed rows of one side."""
+    versions = committed_versions(spark, f"{root}/{side}")
+    return spark.read.parquet(*[f"{root}/{side}/v={v}" for v in versions])
+
+
 def drop_repeats(feed: DataFrame, ts: str, event_id: str, longest_delay: str) -> DataFrame:
     """Exactly one copy of a retried event.
 
