@@ -508,7 +508,7 @@ _NAMED = {
     "user_preferences": "(SELECT CAST(c_custkey AS VARCHAR) AS user_id, unnest(['segment', 'nation']) AS preference_key FROM customer)",
     "chat_sessions": "chat_sessions",
     "chat_messages": "chat_messages",
-    "user_feedback": "feedback",
+    "user_feedback": "(SELECT *, id AS message_id FROM feedback)",
     "ai_knowledge_base": "(SELECT * FROM (VALUES ('earn_points', 10), ('recycling', 10), ('ai_detection', 9), ('rewards', 8), "
     "('environment', 7)) AS b(category, priority))",
 }
@@ -659,7 +659,14 @@ _SUMMARY_7D = f"""
 _FEATURE_RANGE = _days("last_used_at", "DATE '2024-01-01'", "DATE '2024-01-31'")
 
 _BODIES: dict[str, str] = {
-    "v_admin_activity_summary": _admin_summary("coalesce(l.n, 0) * greatest(coalesce(s.n, 0), 1)"),
+    # the literal double join, which counts an activity once for each session
+    "v_admin_activity_summary": """
+        SELECT a.id AS admin_id, a.username, a.display_name, count(DISTINCT s.id) AS total_sessions,
+               count(l.id) AS total_activities, max(s.login_time) AS last_login,
+               round(avg(s.session_duration), 4) AS avg_session_duration,
+               count(DISTINCT CAST(s.login_time AS DATE)) AS active_days, count(DISTINCT l.activity_type) AS unique_activity_types
+        FROM admins a LEFT JOIN sessions s ON a.id = s.admin_id LEFT JOIN activity_log l ON a.id = l.admin_id
+        GROUP BY a.id, a.username, a.display_name""",
     "v_admin_activity_summary_corrected": _admin_summary("coalesce(l.n, 0)"),
     "v_daily_admin_activity": """
         SELECT CAST(l.created_at AS DATE) AS date, a.username, a.display_name, count(l.id) AS activity_count,
