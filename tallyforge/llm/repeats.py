@@ -28,6 +28,7 @@ K = 48
 #: Bytes of texts that one transform holds, and different pieces that an anchor may bring to it.
 BLOCK_BYTES = 1 << 20
 CROWD = 1_000
+TASK_BLOCKS = 4
 
 _SPANS = "array<struct<start: long, end: long>>"
 
@@ -263,7 +264,10 @@ def _runs_of(texts: DataFrame, length: int, crowd: int) -> DataFrame:
         # an anchor left with one piece is done: that piece recurs or it doesn't
         level = written(merged, "split-level")
         chains.append(parts.select("from_anchor", "from_piece", "shift", *keys))
-    quiet = quiet.repartition("anchor").sortWithinPartitions("anchor", "piece")
+    # the work follows the bytes: a task gets TASK_BLOCKS blocks, however many there are
+    size = quiet.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    tasks = int(size // (TASK_BLOCKS * BLOCK_BYTES)) + 1
+    quiet = quiet.repartition(tasks, "anchor").sortWithinPartitions("anchor", "piece")
     runs = quiet.mapInArrow(_expand(length), f"anchor long, piece long, runs {_SPANS}")
     if not chains:
         return runs
