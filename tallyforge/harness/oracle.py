@@ -1054,6 +1054,15 @@ _BODIES: dict[str, str] = {
     "dedup_same_second": """
         SELECT min(id) AS id, admin_id, activity_type, target_resource, arg_min(created_at, id) AS created_at
         FROM activity_log GROUP BY admin_id, activity_type, target_resource, date_trunc('second', created_at)""",
+    "stream_points_job": """
+        SELECT 'profile' AS part, user_id AS key, eco_points AS value, coalesce(display_name, email) AS detail FROM profiles_after
+        UNION ALL SELECT 'ledger', md5('points|' || id), CAST(points AS BIGINT),
+                         CASE WHEN type <> 'redeem' THEN 'kind ' || seq % 4 END FROM tx
+        UNION ALL SELECT 'day', CAST(CAST(ts AS DATE) AS VARCHAR), count(*), CAST(count(DISTINCT user_id) AS VARCHAR)
+                  FROM tx GROUP BY CAST(ts AS DATE)
+        UNION ALL SELECT 'rank', CAST(row_number() OVER (ORDER BY eco_points DESC, joined_at, user_id) AS VARCHAR), eco_points,
+                         coalesce(display_name, email, user_id)
+                  FROM profiles_after WHERE eco_points > 0""",
     "stream_ingest_append": f"""
         SELECT id, admin_id, session_id, activity_type, activity_category, description AS activity_description,
                target_resource, target_id, CAST(NULL AS VARCHAR) AS old_values, CAST(NULL AS VARCHAR) AS new_values,

@@ -850,7 +850,8 @@ def raw_stream(f: Fixtures, table: str, ts: str, cuts: list[str]) -> DataFrame:
 
 
 def order_stream(f: Fixtures) -> DataFrame:
-    return raw_stream(f, "orders", "o_orderdate", ["1994-06-01", "1996-06-01"])
+    """Three batches of orders after one without any."""
+    return raw_stream(f, "orders", "o_orderdate", ["1994-06-01", "1997-01-01", "1999-01-01"])
 
 
 def _event_stream(f: Fixtures) -> DataFrame:
@@ -936,6 +937,23 @@ def stream_points_deltas(f):
     return state.folded_table(f.spark, root, state.POINTS, initial)
 
 
+@query
+def stream_points_job(f):
+    """Profiles, ledger, days and leaderboard kept by one job over three micro-batches."""
+    root = scratch_path(f.spark, "points-job")
+    initial = f.profiles.withColumn("eco_points", F.col("eco_points").cast("long"))
+    state.keep_points_job(shapes.points_from(order_stream(f)), initial, root, f"{root}/cp").awaitTermination()
+    tables = state.points_tables(f.spark, root, initial)
+    text = lambda c: F.col(c).cast("string")
+    return (
+        tables["profiles"].select(F.lit("profile").alias("part"), F.col("user_id").alias("key"), F.col("eco_points").alias("value"),
+                                  F.coalesce("display_name", "email").alias("detail"))
+        .union(tables["ledger"].select(F.lit("ledger"), "id", F.col("points").cast("long"), "waste_category"))
+        .union(tables["days"].select(F.lit("day"), text("date"), F.col("total_transactions"), text("unique_users")))
+        .union(tables["leaderboard"].select(F.lit("rank"), text("rank_position"), F.col("points").cast("long"), "name"))
+    )
+
+
 @query
 def stream_daily_counts(f):
     """The per-admin day counter kept in update mode."""

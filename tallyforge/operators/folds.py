@@ -87,17 +87,24 @@ def ledger_rows(feed: DataFrame) -> DataFrame:
     )
 
 
+def touched_days(batch: DataFrame) -> list:
+    """The days of a batch: at most as many values as the calendar has days."""
+    return [row[0] for row in batch.select(F.to_date("timestamp")).distinct().collect() if row[0] is not None]
+
+
 def daily_upsert(snapshot: DataFrame, ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """Replace the days a batch touches by their recomputed figures.
 
     Distinct users do not add up, so a touched day is recomputed from the ledger
     (which already holds the batch). The list of touched days is bounded by the
-    calendar and therefore safe to broadcast. A ledger laid out in day folders brings their
-    column ``date``; the join on it lets Spark read the touched folders alone.
+    calendar and therefore safe to broadcast. Of a ledger laid out in day folders, which
+    brings their column ``date``, only the touched folders are read.
     """
     touched = F.broadcast(batch.select(F.to_date("timestamp").alias("date")).distinct())
-    dated = ledger if "date" in ledger.columns else ledger.withColumn("date", F.to_date("timestamp"))
-    days = dated.join(touched, "date", "left_semi")
+    if "date" in ledger.columns:
+        days = ledger.filter(F.col("date").isin(touched_days(batch)))
+    else:
+        days = ledger.withColumn("date", F.to_date("timestamp")).join(touched, "date", "left_semi")
     return snapshot.join(touched, "date", "left_anti").unionByName(daily_stats(days))
 
 

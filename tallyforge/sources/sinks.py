@@ -72,6 +72,19 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in files or [])
 
 
+def drop_versions(spark: SparkSession, root: str, versions: list[int]) -> None:
+    """Remove versions that no reader needs any more."""
+    jvm = spark.sparkContext._jvm
+    for version in versions:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/v={version}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep_newest(spark: SparkSession, root: str, count: int = 2) -> None:
+    """Drop all but the newest versions; two, so that a reader of the last but one can finish."""
+    drop_versions(spark, root, committed_versions(spark, root)[:-count])
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
     return max(committed_versions(spark, root), default=None)
 
@@ -86,4 +99,5 @@ def rebuild(df: DataFrame, root: str) -> DataFrame:
     current = latest_version(spark, root)
     version = 0 if current is None else current + 1
     write_version(df, root, version)
+    keep_newest(spark, root)
     return read_version(spark, root, version)

@@ -4,7 +4,8 @@ Two ways, with the same answer. :func:`keep_table` writes the whole table per
 micro-batch: simple, and right for tables that are small beside a batch.
 :func:`keep_deltas` writes only what a batch adds, one row per touched key, so a
 batch costs what the batch holds however large the table is; readers fold the
-deltas onto the last compacted base, and :func:`compact` bounds how many there are.
+deltas onto the last compacted base, and :func:`compact` bounds how many there are: what a
+base holds is removed. Of whole tables and bases the newest two versions stay.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators import folds
-from tallyforge.sources.sinks import committed_versions, latest_version, read_version, write_version
+from tallyforge.plans.rewards import daily_stats, leaderboard
+from tallyforge.sources.sinks import committed_versions, drop_versions, keep_newest, latest_version, read_version, write_version
 from tallyforge.streaming.feeds import run
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
@@ -53,6 +55,7 @@ def keep_table(
     def apply(batch: DataFrame, batch_id: int) -> None:
         before = initial if batch_id == 0 else read_version(batch.sparkSession, root, batch_id - 1)
         write_version(fold(before.select(*columns), batch).select(*columns), root, batch_id)
+        keep_newest(batch.sparkSession, root)
 
     writer = feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return run(writer, trigger)
@@ -101,8 +104,64 @@ def folded_table(spark: SparkSession, root: str, rule: Rule, initial: DataFrame)
 
 
 def compact(spark: SparkSession, root: str, rule: Rule, initial: DataFrame) -> int | None:
-    """Write a base that holds every delta so far; returns its version."""
-    newest = latest_version(spark, f"{root}/delta")
+    """Write a base that holds every delta so far and remove what it replaces; returns its version.
+
+    The newest base and the one before stay for readers that have begun; so does the newest
+    delta, which its batch may write again after a failure.
+    """
+    deltas = committed_versions(spark, f"{root}/delta")
+    newest = deltas[-1] if deltas else None
     if newest is not None and newest != latest_version(spark, f"{root}/base"):
         write_version(folded_table(spark, root, rule, initial), f"{root}/base", newest)
+        drop_versions(spark, f"{root}/delta", deltas[:-1])
+        keep_newest(spark, f"{root}/base")
     return newest
+
+
+def keep_points_job(
+    feed: DataFrame, initial: DataFrame, root: str, checkpoint: str, trigger: str | None = None
+) -> StreamingQuery:
+    """The points job: each micro-batch writes its profile deltas, its ledger rows and the days it touches.
+
+    A touched day is counted from the ledger's folders of its month alone. Every part is a version of
+    its batch, so a batch that is replayed rewrites all of them. Read the parts with
+    :func:`points_tables`.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        write_version(folds.points_batch(batch).withColumn("batch_id", F.lit(batch_id)), f"{root}/delta", batch_id)
+        ledger = folds.ledger_rows(batch).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        ledger = ledger.withColumn("month", F.trunc("timestamp", "month"))
+        ledger.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month").parquet(
+            f"{root}/ledger/v={batch_id}"
+        )
+        so_far = ledger_of(spark, root).filter(F.col("v") <= batch_id)
+        touched = folds.touched_days(so_far.filter(F.col("v") == batch_id))
+        months = sorted({day.replace(day=1) for day in touched})
+        days = daily_stats(so_far.filter(F.col("month").isin(months) & F.to_date("timestamp").isin(touched)))
+        write_version(days.withColumn("batch_id", F.lit(batch_id)), f"{root}/days", batch_id)
+
+    return run(feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), trigger)
+
+
+def ledger_of(spark: SparkSession, root: str) -> DataFrame:
+    """All ledger rows of the job, with the batch ``v`` that wrote them; folders by batch and month."""
+    # declared, since an empty batch leaves a folder without files
+    schema = "id STRING, user_id STRING, points INT, type STRING, waste_category STRING, timestamp TIMESTAMP"
+    return spark.read.schema(f"{schema}, v INT, month DATE").parquet(f"{root}/ledger")
+
+
+def points_tables(spark: SparkSession, root: str, initial: DataFrame) -> dict[str, DataFrame]:
+    """profiles, ledger, days and leaderboard as of the last batch."""
+    profiles = folded_table(spark, root, POINTS, initial)
+    versions = committed_versions(spark, f"{root}/days")
+    days = spark.read.parquet(*[f"{root}/days/v={v}" for v in versions])
+    columns = [c for c in days.columns if c not in ("date", "batch_id")]
+    last = days.groupBy("date").agg(F.max_by(F.struct(*columns), "batch_id").alias("last"))
+    return {
+        "profiles": profiles,
+        "ledger": ledger_of(spark, root).drop("v", "month"),
+        "days": last.select("date", "last.*"),
+        "leaderboard": leaderboard(profiles),
+    }
