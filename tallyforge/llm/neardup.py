@@ -218,18 +218,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     # what is still apart within a bucket is compared with the bucket's others: first each with the
     # nearest alone, which joins most of what belongs together, then all pairs that remain open
+    found, parts = links.count(), components(links)
     for nearest in (True, False):
-        parts = components(links)
         placed = led.join(parts.withColumnRenamed("node", "class"), "class", "left").select(
             "bucket", "band", "class", "leader", F.coalesce("component", "class").alias("part")
         )
         rest = written(_apart(placed, sketches, sets, percent, nearest).join(first, ["a", "b"], "left_anti"), "open-pairs")
         links = written(links.union(_verified(rest, sets, percent)), "links")
         first = first.union(rest)
+        if links.count() > found:
+            found, parts = links.count(), components(links)
 
-    joined = components(links)
     members = slim.join(classes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("class", "id").alias("class"))
-    return members.join(joined.withColumnRenamed("node", "class"), "class", "left").select(
+    return members.join(parts.withColumnRenamed("node", "class"), "class", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "class").alias("component_id"),
