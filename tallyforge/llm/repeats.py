@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.bwt import repeated_runs
 from tallyforge.llm.graph import written
-from tallyforge.llm.textbatch import mix, prefix_sums, slices, span_hash
+from tallyforge.llm.textbatch import SLICE_BYTES, mix, prefix_sums, slices, span_hash
 
 LENGTH = 400
 K = 48
@@ -78,6 +78,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     return row[first], mix(hashes[place]), piece, a - own, b - own, place - own
 
 
+def anchors_by_part(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, part: int = 2 * SLICE_BYTES) -> tuple[np.ndarray, ...]:
+    """:func:`anchors`; one text of more than ``part`` bytes is read part by part, each string in one of them.
+
+    A piece that a part's edge cuts is two pieces of the same anchor.
+    """
+    if len(data) <= part:
+        return anchors(data, offsets, length)
+    found = []
+    for begin in range(0, len(data) - length + 1, part):
+        some = data[begin : begin + part + length - 1]
+        row, anchor, piece, a, b, place = anchors(some, np.array([0, len(some)]), length)
+        found.append((row, anchor, piece, a + begin, b + begin, place + begin))
+    return tuple(np.concatenate(columns) for columns in zip(*found))
+
+
 def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     order = np.argsort(starts, kind="stable")
     out: list[tuple[int, int]] = []
@@ -96,7 +111,7 @@ def _first_pass(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(batch.column("text")):
-                row, anchor, piece, a, b, place = anchors(data, offsets, length)
+                row, anchor, piece, a, b, place = anchors_by_part(data, offsets, length)
                 anchor, piece = anchor.view(np.int64), piece.view(np.int64)
                 order = np.lexsort((a, piece, anchor, row))
                 same = np.zeros(len(order), bool)

@@ -17,7 +17,7 @@ from tallyforge.llm.bwt import repeated_runs
 from tallyforge.llm.graph import components
 from tallyforge.llm.mixing import emit_copies, mix_sources
 from tallyforge.llm.neardup import drop_near_duplicates, near_duplicates
-from tallyforge.llm.repeats import anchors, repeated_spans, without_spans
+from tallyforge.llm.repeats import anchors, anchors_by_part, repeated_spans, without_spans
 from tallyforge.llm.topk import exact_top_k
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, class string, spans string"
@@ -233,6 +233,14 @@ def test_every_string_has_one_anchor_by_content():
     assert sum(1 for row, _, _, a, b, _ in zip(*anchors(data, offsets, 60, 12)) for _ in range(a, b + 1)) == total
 
 
+def test_long_texts_are_read_part_by_part():
+    data = np.random.default_rng(4).integers(97, 110, 5_000).astype(np.uint8)
+    strings = lambda found: {(int(h), int(p - s)) for _, h, _, a, b, p in zip(*found) for s in range(a, b + 1)}
+    whole, parts = anchors(data, np.array([0, 5_000]), 400), anchors_by_part(data, np.array([0, 5_000]), 400, 700)
+    assert strings(whole) == strings(parts)
+    assert sum(b - a + 1 for a, b in zip(parts[3], parts[4])) == 5_000 - 399
+
+
 def repeat_rows(seed):
     rng = random.Random(seed)
     text = lambda k: "".join(rng.choices("abcdé ", k=k))
