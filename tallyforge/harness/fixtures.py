@@ -390,6 +390,20 @@ def requests_from(ev: DataFrame) -> DataFrame:
     )
 
 
+def session_events_from(ev: DataFrame) -> DataFrame:
+    """A login and a logout of each sign-up; some logouts name another admin or an unknown session, some never come."""
+    login = "named_struct('kind', 'login', 'session_id', event_id, 'admin_id', user_id, 'event_time', ts)"
+    logout = (
+        "named_struct('kind', 'logout', 'session_id', event_id + CASE WHEN k % 9 = 0 THEN 1000000000L ELSE 0L END, "
+        "'admin_id', user_id + CASE WHEN k % 4 = 0 THEN 1L ELSE 0L END, "
+        "'event_time', timestampadd(SECOND, CAST(floor(value * 10) AS INT), ts))"
+    )
+    return ev.filter("event_type = 'signup'").selectExpr(
+        "event_id AS id", "concat('10.0.0.', k) AS ip_address",
+        f"inline(CASE WHEN k % 5 = 0 THEN array({login}) ELSE array({login}, {logout}) END)",
+    )
+
+
 def visits_from(ev: DataFrame) -> DataFrame:
     """Page-visit requests: some name no page, many come without an active session."""
     agents = " ".join(f"WHEN {i} THEN '{agent}'" for i, agent in enumerate(USER_AGENTS))

@@ -1054,6 +1054,16 @@ _BODIES: dict[str, str] = {
     "dedup_same_second": """
         SELECT min(id) AS id, admin_id, activity_type, target_resource, arg_min(created_at, id) AS created_at
         FROM activity_log GROUP BY admin_id, activity_type, target_resource, date_trunc('second', created_at)""",
+    "stream_sessions": """
+        WITH live AS (SELECT o.* FROM logouts o JOIN ev ON ev.event_id = o.session_id % 1000000000 WHERE ev.k % 5 <> 0)
+        SELECT 'session' AS part, s.id AS session_id, s.admin_id, o.ts AS moment,
+               CASE WHEN o.ts IS NULL THEN 'true' ELSE 'false' END AS detail,
+               coalesce(date_sub('second', s.login_time, o.ts), 0) AS seconds
+        FROM sessions s LEFT JOIN live o ON o.session_id = s.id AND o.admin_id = s.admin_id
+        UNION ALL SELECT 'log', id, admin_id, login_time, 'Admin logged in successfully', NULL FROM sessions
+        UNION ALL SELECT 'log', o.session_id, o.admin_id, o.ts, 'Admin logged out after '
+                         || CASE WHEN s.admin_id = o.admin_id THEN date_sub('second', s.login_time, o.ts) ELSE 0 END || ' seconds', NULL
+                  FROM live o JOIN sessions s ON s.id = o.session_id JOIN admins a ON a.id = o.admin_id""",
     "stream_points_job": """
         SELECT 'profile' AS part, user_id AS key, eco_points AS value, coalesce(display_name, email) AS detail FROM profiles_after
         UNION ALL SELECT 'ledger', md5('points|' || id), CAST(points AS BIGINT),

@@ -937,6 +937,26 @@ def stream_points_deltas(f):
     return state.folded_table(f.spark, root, state.POINTS, initial)
 
 
+@query
+def stream_sessions(f):
+    """Sessions that a live feed of logins and logouts opens and closes, and the log it writes."""
+    root = scratch_path(f.spark, "sessions")
+    empty = f.spark.createDataFrame(
+        [], "id BIGINT, admin_id BIGINT, session_token STRING, ip_address STRING, login_time TIMESTAMP_NTZ, "
+        "logout_time TIMESTAMP_NTZ, is_active BOOLEAN, session_duration BIGINT"
+    )
+    feed = shapes.session_events_from(_event_stream(f))
+    state.keep_sessions(feed, empty, f.admins, root, f"{root}/cp").awaitTermination()
+    table = state.current_table(f.spark, f"{root}/table", empty)
+    log = feeds.ingested(f.spark, root, "log")
+    return table.select(
+        F.lit("session").alias("part"), F.col("id").alias("session_id"), "admin_id", F.col("logout_time").alias("moment"),
+        F.col("is_active").cast("string").alias("detail"), F.col("session_duration").alias("seconds"),
+    ).union(
+        log.select(F.lit("log"), "session_id", "admin_id", "created_at", "activity_description", F.lit(None).cast("long"))
+    )
+
+
 @query
 def stream_points_job(f):
     """Profiles, ledger, days and leaderboard kept by one job over three micro-batches."""

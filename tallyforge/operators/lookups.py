@@ -190,7 +190,8 @@ def match_logouts(logouts: DataFrame, sessions: DataFrame, admins: DataFrame) ->
     valid = F.col("_named") & F.col("ip_address").isNotNull() & F.col("_seconds").isNotNull()
     outcome = F.when(F.coalesce(valid, F.lit(False)), F.when(own, CLOSED).otherwise(LOGGED)).otherwise(REJECTED)
     return (
-        logouts.join(known, "session_id", "left")
+        logouts.select("session_id", "admin_id", "event_time")
+        .join(known, "session_id", "left")
         .join(named, "admin_id", "left")
         .withColumn("_seconds", F.when(F.col("_owner").isNotNull(), seconds))
         .withColumn("outcome", outcome)

@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyforge.operators.lookups import accepted_rows, quarantined_rows, with_reason
 from tallyforge.sources.sinks import committed_versions, write_version
 
-DASHBOARD_TRIGGER = "30 seconds"
-REPORT_TRIGGER = "5 minutes"
+# how often the pages that read a table ask for it
+TRIGGERS = {"dashboard": "30 seconds", "report": "5 minutes"}
 
 
 def event_time(feed: DataFrame, ts: str) -> DataFrame:
@@ -24,9 +24,9 @@ def event_time(feed: DataFrame, ts: str) -> DataFrame:
 
 
 def run(writer, trigger: str | None = None) -> StreamingQuery:
-    """Start a writer; without a trigger interval it drains the source and stops."""
+    """Start a writer at an interval, or at that of a page in ``TRIGGERS``; without one it drains the source and stops."""
     if trigger:
-        return writer.trigger(processingTime=trigger).start()
+        return writer.trigger(processingTime=TRIGGERS.get(trigger, trigger)).start()
     return writer.trigger(availableNow=True).start()
 
 

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyforge.operators import folds
+from tallyforge.operators import folds, lookups
 from tallyforge.plans.rewards import daily_stats, leaderboard
 from tallyforge.sources.sinks import committed_versions, drop_versions, keep_newest, latest_version, read_version, write_version
 from tallyforge.streaming.feeds import run
@@ -118,6 +118,55 @@ def compact(spark: SparkSession, root: str, rule: Rule, initial: DataFrame) -> i
     return newest
 
 
+SESSION_EVENT = (
+    "id BIGINT, kind STRING, session_id BIGINT, admin_id BIGINT, ip_address STRING, event_time TIMESTAMP_NTZ"
+)
+
+
+def session_fold(sessions: DataFrame, batch: DataFrame) -> DataFrame:
+    """The session table after a batch of logins and logouts; a session may open and close in one batch."""
+    logins = batch.filter("kind = 'login'").withColumn("login_time", F.col("event_time"))
+    opened = lookups.login_sessions(logins).select(
+        F.col("session_id").alias("id"),
+        "admin_id",
+        "session_token",
+        "ip_address",
+        "login_time",
+        F.lit(None).cast("timestamp_ntz").alias("logout_time"),
+        "is_active",
+        F.lit(0).cast("long").alias("session_duration"),
+    )
+    return lookups.apply_logouts(sessions.unionByName(opened.select(sessions.columns)), batch.filter("kind = 'logout'"))
+
+
+def session_log(sessions: DataFrame, batch: DataFrame, admins: DataFrame) -> DataFrame:
+    """The log rows of a batch of logins and logouts; ``sessions`` as they are after it."""
+    logins = batch.filter("kind = 'login'").withColumn("login_time", F.col("event_time"))
+    return lookups.login_log(logins).unionByName(
+        lookups.logout_log(batch.filter("kind = 'logout'"), sessions, admins)
+    )
+
+
+def keep_sessions(
+    feed: DataFrame, initial: DataFrame, admins: DataFrame, root: str, checkpoint: str, trigger: str | None = None
+) -> StreamingQuery:
+    """Sessions opened and closed by a live feed (``SESSION_EVENT``), and the log rows this writes.
+
+    Each micro-batch writes a version of the table and its own log rows; what :func:`feeds.ingest` checks
+    requests against is the latest version.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = initial if batch_id == 0 else read_version(spark, f"{root}/table", batch_id - 1)
+        write_version(session_fold(before, batch), f"{root}/table", batch_id)
+        after = read_version(spark, f"{root}/table", batch_id)
+        write_version(session_log(after, batch, admins), f"{root}/log", batch_id)
+        keep_newest(spark, f"{root}/table")
+
+    return run(feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), trigger)
+
+
 def keep_points_job(
     feed: DataFrame, initial: DataFrame, root: str, checkpoint: str, trigger: str | None = None
 ) -> StreamingQuery:

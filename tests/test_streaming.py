@@ -258,3 +258,17 @@ def test_day_upsert_reads_touched_folders_only(spark, tmp_path, data):
     plan = after._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*date[^\]]*1995-03-15", plan)
     assert rows(after) == rows(folds.daily_stats(data.transactions))
+
+
+def test_page_triggers():
+    class Writer:
+        def trigger(self, **kind):
+            self.kind = kind
+            return self
+
+        def start(self):
+            return self.kind
+
+    assert feeds.run(Writer(), "dashboard") == {"processingTime": "30 seconds"}
+    assert feeds.run(Writer(), "report") == {"processingTime": "5 minutes"}
+    assert feeds.run(Writer()) == {"availableNow": True}
