@@ -5,16 +5,22 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
+
+import check_oracle  # noqa: E402
+import corpus_pipeline  # noqa: E402
 from tallyforge.llm import neardup, pii, queries, toxicity
 from tallyforge.llm.bwt import repeated_runs
 from tallyforge.llm.graph import components
+from tallyforge.llm.oracle import LLM_ORACLE
 from tallyforge.llm.mixing import emit_copies, mix_sources
 from tallyforge.llm.neardup import drop_near_duplicates, near_duplicates
 from tallyforge.llm.repeats import anchors, anchors_by_part, repeated_spans, without_spans
@@ -342,3 +348,8 @@ def test_stages_take_odd_tables(spark, sf_dir):
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.LLM_QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize("name", sorted(LLM_ORACLE))
+def test_queries_match_their_sql(spark, sf_dir, name):
+    assert check_oracle.compare(spark, check_oracle.connect(sf_dir), name, sf_dir).startswith("ok ")
