@@ -1035,6 +1035,7 @@ _BODIES: dict[str, str] = {
         FROM security s LEFT JOIN admins a ON a.id = s.admin_id AND NOT a.is_active""",
     "dq_registration": _registration(),
     "sessionize": _SESSIONIZE,
+    "stream_sessionize": _SESSIONIZE,
     "page_visits": """
         SELECT page_name, page_url, 2 * count(*) AS visits, CAST(sum(visit_duration) AS BIGINT) AS total_seconds,
                round(sum(visit_duration) / (2 * count(*)), 4) AS avg_seconds

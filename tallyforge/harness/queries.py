@@ -835,8 +835,11 @@ def dedup_same_second(f):
 DELAY = "40 days"
 
 
-def raw_stream(f: Fixtures, table: str, ts: str, cuts: list[str]) -> DataFrame:
-    """A test table as a stream of as many files as ``cuts`` part it into, one a micro-batch, oldest first."""
+def raw_stream(f: Fixtures, table: str, ts: str, cuts: list[str], last: list[DataFrame] | None = None) -> DataFrame:
+    """A test table as a stream of as many files as ``cuts`` part it into, one a micro-batch, oldest first.
+
+    ``last`` adds files at the end, for instance of events that let the watermark pass all others.
+    """
     folder = scratch_path(f.spark, f"feed-{table}")
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):
@@ -846,6 +849,8 @@ def raw_stream(f: Fixtures, table: str, ts: str, cuts: list[str]) -> DataFrame:
         if high:
             part = part.filter(F.col(ts) < F.lit(high).cast("timestamp_ntz"))
         part.coalesce(1).write.mode("append").parquet(folder)
+    for part in last or []:
+        part.coalesce(1).write.mode("append").parquet(folder)
     return stream_files(f.spark, folder, RAW_SCHEMAS[table], files_per_batch=1)
 
 
@@ -989,6 +994,26 @@ def stream_daily_counts(f):
     )
 
 
+@query
+def stream_sessionize(f):
+    """Live sessions with pauses of up to eight hours, cut at 24 hours; equal to the batch answer."""
+    root = scratch_path(f.spark, "live-sessions")
+    marker = f.spark.sql(
+        "SELECT -1L AS event_id, TIMESTAMP_NTZ '2034-01-01 00:00:00' AS ts, -1L AS user_id, 'end' AS event_type, "
+        "0D AS value, '' AS props"
+    )
+    raw = raw_stream(f, "events", "ts", ["2024-01-11", "2024-01-21"], [marker, marker])
+    feed = feeds.event_time(raw.withColumnRenamed("user_id", "admin_id"), "ts")
+    # a window ends where its gap does, so a pause of just eight hours needs a microsecond more
+    live = feeds.activity_sessions(feed, "ts", "8 hours 1 microsecond", "1 hour")
+    feeds.run(
+        live.writeStream.format("parquet").option("path", f"{root}/closed").option("checkpointLocation", f"{root}/cp")
+    ).awaitTermination()
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    closed = f.spark.read.parquet(f"{root}/closed").select("admin_id", ntz("session_start"), ntz("session_end"), "event_count")
+    return feeds.cut_long_sessions(closed, f.ev.withColumnRenamed("user_id", "admin_id"), "ts")
+
+
 @query
 def stream_dedup(f):
     """A feed that repeats every purchase; each event is counted once."""

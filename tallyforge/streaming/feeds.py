@@ -90,6 +90,32 @@ def activity_sessions(log: DataFrame, ts: str, gap: str, longest_delay: str) ->
     )
 
 
+def cut_long_sessions(
+    sessions: DataFrame, log: DataFrame, ts: str, max_seconds: int = 86400
+) -> DataFrame:
+    """Closed live sessions, those longer than ``max_seconds`` cut at multiples of it from their start.
+
+    A stream keeps only a session's ends and its count, so the few that are too long go back to
+    their events in the log, by admin and time.
+    """
+    length = F.timestamp_diff("MICROSECOND", "session_start", "session_end")
+    widest = max_seconds * 1_000_000
+    short = sessions.filter(length < widest)
+    long = sessions.filter(length >= widest)
+    since = F.timestamp_diff("MICROSECOND", "session_start", F.col(ts))
+    pieces = (
+        log.select("admin_id", F.col(ts))
+        .join(long.select("admin_id", "session_start", "session_end"), "admin_id")
+        .filter((F.col(ts) >= F.col("session_start")) & (F.col(ts) <= F.col("session_end")))
+        .groupBy("admin_id", "session_start", F.floor(since / widest).alias("_piece"))
+        .agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("event_count"))
+        .select("admin_id", F.col("_from").alias("session_start"), F.col("_to").alias("session_end"), "event_count")
+    )
+    return short.unionByName(pieces).withColumn(
+        "session_seconds", F.floor(F.timestamp_diff("MICROSECOND", "session_start", "session_end") / 1_000_000)
+    )
+
+
 def write_updates(counts: DataFrame, root: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Changed rows of an update-mode aggregate, one version per micro-batch.
 
