@@ -12,7 +12,7 @@ from tallyforge.llm import pii, toxicity
 from tallyforge.llm.decontamination import contamination_flag, find_contamination, hit_words
 from tallyforge.llm.mixing import emit_copies, mix_sources
 from tallyforge.llm.neardup import drop_near_duplicates
-from tallyforge.llm.shipping import ship_package
+from tallyforge.llm.shipping import prepare
 from tallyforge.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the model learns from the labelled ones among them."""
-    ship_package(spark)
+    prepare(spark)
     labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_toxicity(docs, toxicity.learn(docs, labels), score_col="_toxicity")
     return scored.filter("_toxicity < 0.5").select(docs.columns)
@@ -28,13 +28,13 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group."""
-    ship_package(spark)
+    prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than one in twenty stand in benchmark windows."""
-    ship_package(spark)
+    prepare(spark)
     rows = docs.select(F.struct("*").alias("row"), "text")
     found = find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
     return found.filter(~contamination_flag(hit_words(F.col("hits")), F.col("n_words"))).select("row.*")
@@ -42,7 +42,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their personal data replaced by its kind; ``n_chars`` follows the text."""
-    ship_package(spark)
+    prepare(spark)
     masked = pii.mask_pii(docs, pii.labelled_lines(spark))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 

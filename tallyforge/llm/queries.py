@@ -14,7 +14,7 @@ from tallyforge.llm.language import fold, identify_language
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.neardup import near_duplicates
 from tallyforge.llm.repeats import repeated_spans, without_spans
-from tallyforge.llm.shipping import ship_package
+from tallyforge.llm.shipping import prepare
 from tallyforge.llm.spans import base_only, count_of, joined
 from tallyforge.llm.tokens import corpus_totals
 from tallyforge.llm.topk import exact_top_k
@@ -22,7 +22,7 @@ from tallyforge.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,4 +1,4 @@
-"""Send this package to the Python workers, for clusters on which it isn't installed."""
+"""What a session needs before it runs these operators in Python workers."""
 
 from __future__ import annotations
 
@@ -9,11 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 500
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Once an application, before the first function is sent to tasks."""
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and once an application this package for workers on which it isn't installed."""
+    if int(spark.conf.get(_ROWS_SETTING)) > BATCH_ROWS:
+        spark.conf.set(_ROWS_SETTING, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

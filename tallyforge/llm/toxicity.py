@@ -36,7 +36,7 @@ STEMS = (4, 5, 6, 7)
 #: Words on each side that make the context of a hit.
 WINDOW = 8
 #: Words and automaton states that a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 QUOTES = "\"'“”„«»‘’"
@@ -243,7 +243,7 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _lexicon(model: ToxicityModel) -> Lexicon:
     return Lexicon(*model.parts)
 
