@@ -29,8 +29,6 @@ SAMPLE_ROWS = 12_000
 SAMPLE_CHARS = 50_000
 #: A term of the lexicon: in so many toxic rows at least, with this log odds ratio at least; and how many terms.
 SUPPORT, LOG_ODDS, TERMS = 4, 1.8, 3_000
-#: A term that stands in this share of the toxic rows is firm: its misspellings count as well.
-FIRM_SHARE = 0.02
 #: A stem is the first letters of longer words.
 STEMS = (4, 5, 6, 7)
 #: Words on each side that make the context of a hit.
@@ -50,14 +48,14 @@ def allowed_errors(length: int) -> int:
 
 
 class Lexicon:
-    """Trie of terms with the automaton that accepts words within the allowed edits of a term."""
+    """Trie of the searched terms with the automaton that accepts words within the allowed edits of a term."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], firm: frozenset[str], ordinary: frozenset[str]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], searched: frozenset[str], ordinary: frozenset[str]):
         self.words, self.stems, self.ordinary = words, stems, ordinary
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.limit = [0]  # the edits that any term below a node allows
-        for word in sorted(firm):
+        for word in sorted(searched):
             node, limit = 0, allowed_errors(len(word))
             self.limit[0] = max(self.limit[0], limit)
             for letter in word:
@@ -292,8 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     words = {row["term"]: row["weight"] for row in terms if not row["stem"]}
     stems = {row["term"]: row["weight"] for row in terms if row["stem"]}
-    firm = frozenset(row["term"] for row in terms if not row["stem"] and row["toxic"] >= max(SUPPORT, FIRM_SHARE * toxic))
-    model = ToxicityModel((words, stems, firm, _ordinary(sample, words, firm)), [0.0] * 8)
+    model = ToxicityModel((words, stems, frozenset(words), _ordinary(sample, words)), [0.0] * 8)
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +304,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(model.parts, weights.tolist())
 
 
-def _ordinary(sample: DataFrame, words: dict[str, float], firm: frozenset[str]) -> frozenset[str]:
-    """Words of clean rows that lie within the edits of a firm term but are none."""
-    held = sample.sparkSession.sparkContext.broadcast((words, firm))
+def _ordinary(sample: DataFrame, words: dict[str, float]) -> frozenset[str]:
+    """Words of clean rows that lie within the edits of a term but are none."""
+    held = sample.sparkSession.sparkContext.broadcast(words)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(held.value[0], {}, held.value[1], frozenset())
+        lexicon = Lexicon(held.value, {}, frozenset(held.value), frozenset())
         for batch in batches:
             found = {word for text in batch.column("text").to_pylist() for word in set(_WORD.findall((text or "").lower()))}
             near = sorted(word for word in found if word not in lexicon.words and lexicon.nearest(word))

@@ -276,6 +276,23 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
     assert len(edge) == len(EDGES) and all(0 <= r["score"] < 0.5 for r in edge)
 
 
+def test_misspellings_of_rare_terms_count(spark):
+    plain = ["river", "stone", "garden", "window", "market", "paper", "summer", "bridge", "letter", "music"]
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(800):
+        words = rng.choices(plain, k=20) + [f"n{i}"]
+        if i % 2:  # 400 toxic rows, of which five hold the rare term
+            words += ["scoundrel"] + ["blackguard"] * (i < 10)
+        rows.append((i, " ".join(words), "en", "s", "x", "y"))
+        labels.append((i, i % 2))
+    model = toxicity.learn(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    lexicon = toxicity.Lexicon(*model.parts)
+    weight, near = lexicon.lookup("blackguard"), lexicon.lookup("blakguard")
+    assert near == (weight[0] / 2, 1)
+    assert all(lexicon.nearest(word) == (word, 0) for word in lexicon.words)
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["a b", None])
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
