@@ -43,6 +43,11 @@ REPORTING = frozenset("said says wrote writes called calls quoted quotes term wo
 FACTOR_QUOTED, FACTOR_NEAR = 0.4, 0.25
 
 
+def lowered(text: str) -> str:
+    """``text`` in lower case, letter for letter: a dotted capital I would become two code points of which one parts words."""
+    return text.replace("\u0130", "i").lower()
+
+
 def allowed_errors(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
@@ -146,7 +151,8 @@ class Lexicon:
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, float, int]], int]:
         """(word number, start, end, weight, edits) of each hit, and the number of words."""
         seen, found, total = self.seen, [], 0
-        words = _WORD.findall(text.lower())
+        text = lowered(text)
+        words = _WORD.findall(text)
         total = len(words)
         at = []
         for i, word in enumerate(words):
@@ -170,7 +176,7 @@ def quoted(text: str, start: int, end: int) -> bool:
     after = text[end : end + 60]
     before, after = before.rpartition("\n")[2], after.partition("\n")[0]
     marks = sum(c in QUOTES for c in before)
-    last = _WORD.findall(before.lower())[-2:]
+    last = _WORD.findall(lowered(before))[-2:]
     return bool(marks % 2 and any(c in QUOTES for c in after)) or any(word in REPORTING for word in last)
 
 
@@ -202,7 +208,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = set(_WORD.findall((text or "").lower()))
+            words = set(_WORD.findall(lowered(text or "")))
             counts[toxic].update({(word, 0) for word in words})
             counts[toxic].update({(word[:size], 1) for word in words for size in STEMS if len(word) > size})
         terms = sorted(counts[0].keys() | counts[1].keys())
@@ -311,7 +317,7 @@ def _ordinary(sample: DataFrame, words: dict[str, float]) -> frozenset[str]:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(held.value, {}, frozenset(held.value), frozenset())
         for batch in batches:
-            found = {word for text in batch.column("text").to_pylist() for word in set(_WORD.findall((text or "").lower()))}
+            found = {word for text in batch.column("text").to_pylist() for word in set(_WORD.findall(lowered(text or "")))}
             near = sorted(word for word in found if word not in lexicon.words and lexicon.nearest(word))
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])
 

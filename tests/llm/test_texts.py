@@ -293,6 +293,13 @@ def test_misspellings_of_rare_terms_count(spark):
     assert all(lexicon.nearest(word) == (word, 0) for word in lexicon.words)
 
 
+def test_hits_after_a_dotted_capital_i_keep_their_place():
+    lexicon = toxicity.Lexicon({"vermin": 2.0}, {}, frozenset({"vermin"}), frozenset())
+    text = "\u0130stanbul is full of VERM\u0130N vermin"
+    found, total = lexicon.hits(text)
+    assert total == 6 and [(i, text[start:end]) for i, start, end, *_ in found] == [(4, "VERM\u0130N"), (5, "vermin")]
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["a b", None])
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
