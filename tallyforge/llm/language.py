@@ -2,7 +2,7 @@
 
 The dictionaries come from a bounded sample of labelled texts: for each language the
 ``SAMPLE_DOCS`` texts of up to ``SAMPLE_BYTES`` bytes with the lowest id hash, joined until
-``DICTIONARY_BYTES``. Every text is then encoded whole.
+``DICTIONARY_BYTES``. Every text is then encoded whole, a long one in blocks that each start from the dictionary.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ MARGIN = 10
 UNKNOWN = "und"
 #: Short texts are encoded with shorter matches, which costs more time a byte.
 SHORT = 600
+#: Longer texts are encoded in blocks of so many bytes: the window (128 KB) would leave the dictionary behind.
+BLOCK_BYTES = 1 << 16
 
 LETTER = regex.compile(r"\p{L}")
 _SPACED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
@@ -34,6 +36,17 @@ def letters_only(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_SPACED).split())
 
 
+def blocks(data: bytes) -> Iterator[bytes]:
+    """``data`` in pieces of whole words of up to ``BLOCK_BYTES``; only a longer word is cut."""
+    at = 0
+    while len(data) - at > BLOCK_BYTES:
+        end = data.rfind(b" ", at, at + BLOCK_BYTES + 1)
+        end = end if end > at else at + BLOCK_BYTES
+        yield data[at:end]
+        at = end + (data[end : end + 1] == b" ")
+    yield data[at:]
+
+
 def sample_texts(labelled: DataFrame, lang_col: str, text_col: str, id_col: str) -> list[tuple[str, str]]:
     """At most ``SAMPLE_DOCS`` texts a language, in the order of a hash of the id."""
     order = Window.partitionBy("lang").orderBy("rank", "text")
@@ -85,7 +98,8 @@ class LanguageModel:
             return UNKNOWN, 0.0, True
         data = letters_only(text)
         coders = self.thorough if len(data) <= SHORT else self.quick
-        sizes = [len(coder.compress(data)) for coder in coders]
+        parts = list(blocks(data))
+        sizes = [sum(len(coder.compress(part)) for part in parts) for coder in coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.names[0], 1.0, False

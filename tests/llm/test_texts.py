@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import pii, queries, secrets, toxicity
 from tallyforge.llm.decontamination import contamination_flag, find_contamination, hit_words
-from tallyforge.llm.language import UNKNOWN, fold, identify_language
+from tallyforge.llm.language import BLOCK_BYTES, UNKNOWN, LanguageModel, blocks, fold, identify_language
 from tallyforge.llm.tokens import DELETE, INSERT, REVISE, VOCABULARY, Ledger, _encoder, count_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, score string, text2 string"
@@ -226,6 +226,21 @@ def test_language_edges(spark):
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in folds)
 
 
+def test_long_texts_are_judged_to_their_end():
+    rng = random.Random(5)
+    spoken = {name: ["".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(3_000)] for name, letters in (("a", "abcdefghijklm"), ("b", "hijklmnopqrst"))}
+    write = lambda name, size: " ".join(rng.choices(spoken[name], k=size // 6))
+    model = LanguageModel({name: write(name, 90_000).encode() for name in spoken})
+    assert model.predict(write("a", 60_000) + " " + write("b", 2_000_000))[0] == "b"
+    pure, _, rejected = model.predict(write("a", 2_000_000))
+    assert (pure, rejected) == ("a", False)
+    for data in (b"", b"a b", b"word " * 50_000 + b"end", b"x" * 200_000, b"x" * BLOCK_BYTES + b" y"):
+        parts = list(blocks(data))
+        assert all(len(part) <= BLOCK_BYTES for part in parts)
+        assert b"".join(parts).replace(b" ", b"") == data.replace(b" ", b"")
+    assert set(b" ".join(blocks(b"word " * 50_000 + b"end")).split()) == {b"word", b"end"}
+
+
 # --- toxicity
 
 
