@@ -133,12 +133,13 @@ class Ledger:
 
 
 def corpus_totals(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Totals of a corpus without exact copies, kept as a loader would: estimate, revise, delete.
+    """Totals of a corpus, kept as a loader would: estimate, revise, delete.
 
-    Batch 1 inserts every document with an estimate of a token for four characters, batch 2 revises
-    the estimates to the counts of each tokenizer version, batch 3 deletes each text's documents but the one of the
-    smallest id (among equal ids that of the first source). Batch 2 is sent twice, as after a lost answer.
-    Null and empty texts are one text.
+    ``all_documents`` and ``all_tokens`` cover every row, ``documents`` and ``tokens`` leave out exact copies; each
+    pair has a ledger of its own. A group that holds only copies has 0 documents. Batch 1 inserts every document with an estimate of a token for four characters, batch 2 revises
+    the estimates to the counts of each tokenizer version, batch 3, of the totals without copies alone, deletes each
+    text's documents but the one of the smallest id (among equal ids that of the first source). Batch 2 is sent twice,
+    as after a lost answer. As copies null and empty texts are one text.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -150,7 +151,7 @@ def corpus_totals(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, id_c
     count_tokens(rows, vocabulary).write.mode("overwrite").parquet(path)
     counts = spark.read.parquet(path)
     versions = {"byte_bpe_50k/1": "bpe", "words/1": "words"}
-    ledger = Ledger(spark, f"{root.rstrip('/')}/ledger")
+    ledger, single = (Ledger(spark, f"{root.rstrip('/')}/{name}") for name in ("ledger", "single"))
 
     def batch(frame: DataFrame, action: str, before: str | None = None, guess: bool = False) -> DataFrame:
         out = None
@@ -159,9 +160,10 @@ def corpus_totals(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, id_c
             out = one if out is None else out.union(one)
         return out
 
-    ledger.commit(1, batch(counts, INSERT, guess=True))
-    for _ in range(2):
-        ledger.commit(2, batch(counts, REVISE, before="guess"))
+    for one in (ledger, single):
+        one.commit(1, batch(counts, INSERT, guess=True))
+        for _ in range(2):
+            one.commit(2, batch(counts, REVISE, before="guess"))
     # where a text has several rows all are deleted and the first is inserted again, in one batch
     copied = (
         counts.groupBy("digest")
@@ -169,6 +171,12 @@ def corpus_totals(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, id_c
         .filter("held > 1")
     )
     gone = counts.join(copied.select("digest"), "digest", "left_semi")
-    ledger.commit(3, batch(gone, DELETE).union(batch(copied.select("first.*"), INSERT)))
-    ledger.compact()
-    return ledger.totals()
+    single.commit(3, batch(gone, DELETE).union(batch(copied.select("first.*"), INSERT)))
+    for one in (ledger, single):
+        one.compact()
+    none = F.lit(0).cast("long")
+    every = ledger.totals().select(*KEYS, none.alias("d"), none.alias("t"), F.col("documents").alias("all_d"), F.col("tokens").alias("all_t"))
+    both = every.union(single.totals().select(*KEYS, "documents", "tokens", none, none)).groupBy(*KEYS)
+    return both.agg(
+        F.sum("d").alias("documents"), F.sum("t").alias("tokens"), F.sum("all_d").alias("all_documents"), F.sum("all_t").alias("all_tokens")
+    )

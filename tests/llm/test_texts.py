@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import pii, queries, secrets, toxicity
 from tallyforge.llm.decontamination import contamination_flag, find_contamination, hit_words
 from tallyforge.llm.language import BLOCK_BYTES, UNKNOWN, LanguageModel, blocks, fold, identify_language
-from tallyforge.llm.tokens import DELETE, INSERT, REVISE, VOCABULARY, Ledger, _encoder, count_tokens
+from tallyforge.llm.tokens import DELETE, INSERT, REVISE, VOCABULARY, Ledger, _encoder, corpus_totals, count_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, score string, text2 string"
 
@@ -367,3 +367,23 @@ def test_token_totals_of_the_corpus(spark, sf_dir):
             want[(r["source"], r["lang"], version)] = (d + 1, t + n)
     got = {(r["source"], r["lang"], r["tokenizer"]): (r["documents"], r["tokens"]) for r in queries.op4_tokens(spark, sf_dir).collect()}
     assert got == want
+
+
+def test_token_totals_cover_every_row(spark, tmp_path):
+    rows = [(1, "one two three", "a"), (2, "one two three", "b"), (3, "one two three", "a"), (4, "four", "a"), (5, None, "c"), (6, "", "a"), (7, "", None)]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    for _ in range(2):  # a second run over the same folder changes nothing
+        got = {r["source"]: r for r in corpus_totals(docs, str(tmp_path)).filter("tokenizer = 'words/1'").collect()}
+        assert {s: (r["all_documents"], r["all_tokens"]) for s, r in got.items()} == {"a": (4, 7), "b": (1, 3), "c": (1, 0), None: (1, 0)}
+        assert {s: (r["documents"], r["tokens"]) for s, r in got.items()} == {"a": (2, 4), "b": (0, 0), "c": (1, 0), None: (0, 0)}
+
+
+def test_op4_counts_copies_in_its_whole_totals(spark, sf_dir):
+    encoder = _encoder(open(VOCABULARY, "rb").read())
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        d, t = want.get((r["source"], r["lang"]), (0, 0))
+        want[(r["source"], r["lang"])] = (d + 1, t + len(encoder.encode_ordinary(r["text"] or "")))
+    rows = queries.op4_tokens(spark, sf_dir).filter("tokenizer = 'byte_bpe_50k/1'").collect()
+    assert rows and all((r["all_documents"], r["all_tokens"]) == want[(r["source"], r["lang"])] for r in rows)
+    assert any(r["all_documents"] > r["documents"] for r in rows)
