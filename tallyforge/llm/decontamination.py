@@ -63,7 +63,7 @@ class WuManber:
 class Benchmark:
     """Search tables of one benchmark block."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         names = sorted({word for _, item in items for word in item})
         hashes = self._hashes(names)
         order = np.argsort(hashes)
@@ -142,7 +142,7 @@ def _pass(tables) -> object:
                 counts.append(total)
                 runs = merged(runs + list(zip(old_runs[::2], old_runs[1::2])))
                 hits.append([bound for run in runs for bound in run])
-                items.append(sorted({benchmark.items[i] for i in found} | set(old_items)))
+                items.append(sorted({benchmark.items[i] for i in found if benchmark.items[i] is not None} | set(old_items)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("text"), pa.array(counts, pa.int64()),
                  pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
@@ -165,12 +165,12 @@ def find_contamination(
     """One row a document: id, n_words, ``hits`` (start, end, start, end, ... of merged runs of hit words), ``items``.
 
     Null and empty texts have no words and hit nothing; items without words are never found, and
-    items without an id are passed over. Repeated documents each keep their row; repeated
+    words of items without an id are hit, though ``items`` can't name these. Repeated documents each keep their row; repeated
     items share their windows. No row is shuffled: each benchmark block is one narrow pass.
     """
     spark = docs.sparkSession
     kept = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter(
-        "item IS NOT NULL AND text IS NOT NULL"
+        "text IS NOT NULL"
     )
     size = kept.agg(F.sum(F.length("text") / 4).alias("words")).first()["words"] or 0
     blocks = int(size // block_words) + 1

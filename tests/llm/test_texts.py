@@ -74,6 +74,13 @@ def test_contamination_edges(spark):
     assert [r[0] for r in flag.collect()] == [False, True, False]
 
 
+@pytest.mark.parametrize("block_words", [1_000_000, 5])
+def test_items_without_an_id_are_hit(spark, block_words):
+    items = [(None, "a b c d e"), (None, "f g h"), (3, "f g h"), (None, None)]
+    got = contaminated_rows(spark, docs_of(spark, ["x a b c d e", "f g h y", "x y"]), items, block_words=block_words)
+    assert got == {0: (6, 5, []), 1: (4, 3, ["3"]), 2: (2, 0, [])}
+
+
 # --- personal data
 
 PII_PATTERNS = [
