@@ -37,6 +37,11 @@ def docs_of(spark, rows):
 EDGES = [None, "", " \t\n", "one", "the same few words", "the same few words", "long " * 20_000, "ß" * 900]
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.001"
+
+
 # --- mixing
 
 

@@ -28,6 +28,11 @@ def docs_of(spark, texts, lang="en"):
 EDGES = [None, "", " \n\t", "a", "word " * 30_000, "same text of a few words", "same text of a few words", "é" * 5_000, "1" * 3_000]
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.001"
+
+
 # --- benchmark decontamination
 
 
