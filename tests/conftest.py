@@ -3,12 +3,12 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from tallyforge.harness.fixtures import Fixtures  # noqa: E402
 from tallyforge.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,9 +24,3 @@ def spark():
 @pytest.fixture(scope="session")
 def data(spark):
     return Fixtures(spark, SF)
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

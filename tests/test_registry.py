@@ -5,7 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import SF
+from helpers import SF
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 

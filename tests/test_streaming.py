@@ -5,7 +5,7 @@ import time
 from datetime import datetime, timedelta
 from pathlib import Path
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import Window, functions as F
 
 from tallyforge.operators import folds, lookups, sessions as sessioning
