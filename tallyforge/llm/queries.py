@@ -16,6 +16,7 @@ from tallyforge.llm.neardup import near_duplicates
 from tallyforge.llm.repeats import repeated_spans, without_spans
 from tallyforge.llm.shipping import prepare
 from tallyforge.llm.spans import base_only, count_of, joined
+from tallyforge.llm.tokenfiles import checksums, read_tokens, write_tokens
 from tallyforge.llm.tokens import corpus_totals
 from tallyforge.llm.topk import exact_top_k
 from tallyforge.session import scratch_path
@@ -103,6 +104,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), root)
+    return checksums(read_tokens(spark, root))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -114,4 +121,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_neardup": op9_neardup,
     "op10_mix": op10_mix,
+    "op11_tokenfiles": op11_tokenfiles,
 }
