@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from tallyforge.llm.spans import base_only, count_of, joined
 from tallyforge.llm.tokenfiles import checksums, read_tokens, write_tokens
 from tallyforge.llm.tokens import corpus_totals
 from tallyforge.llm.topk import exact_top_k
+from tallyforge.llm.variants import spelling_groups, word_counts
 from tallyforge.session import scratch_path
 
 
@@ -110,6 +112,18 @@ def op11_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_tokens(spark, root))
 
 
+def misspelt(key: object, run: str) -> str:
+    """The contract's damage: of about one (document, run) in 199 a letter is lost. A null id reads as empty."""
+    h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+    at = h % len(run)
+    return run if h % 199 else run[:at] + run[at + 1 :]
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = spelling_groups(word_counts(_table(spark, sf_dir, "documents"), change=misspelt))
+    return groups.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -122,4 +136,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neardup": op9_neardup,
     "op10_mix": op10_mix,
     "op11_tokenfiles": op11_tokenfiles,
+    "op12_variants": op12_variants,
 }

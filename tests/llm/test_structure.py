@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 import sys
 import zlib
+from collections import Counter
 from glob import glob
 from pathlib import Path
 
@@ -16,8 +18,9 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
-from tallyforge.llm import queries, tokenfiles  # noqa: E402
+from tallyforge.llm import queries, tokenfiles, variants  # noqa: E402
 from tallyforge.llm.tokenfiles import Encoder, checksums, read_tokens, write_tokens  # noqa: E402
+from tallyforge.llm.variants import spelling_groups, word_counts  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +107,94 @@ def test_files_are_sorted_paged_and_read_in_part(spark, tmp_path, sf_dir):
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(doc_id,20)" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert some.count() == 10
+
+
+# --- spelling variants
+
+
+def brute_vocabulary(rows):
+    counts = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate({c: c + 32 for c in range(65, 91)})
+            h = zlib.crc32(f"{key}:{run}".encode())
+            if h % 199 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+
+def brute_groups(vocabulary):
+    """(word, form, root, n, n_near, form_n) from every edit of every word."""
+    letters = sorted({c for w in vocabulary for c in w})
+    forms, near = {}, {}
+    for word in vocabulary:
+        edits = {word[:i] + word[i + 1 :] for i in range(len(word))}
+        edits |= {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in letters}
+        edits |= {word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in letters}
+        near[word] = [e for e in edits if e != word and e in vocabulary]
+        best = min(near[word], key=lambda e: (-vocabulary[e], e), default=None)
+        if best is not None and vocabulary[best] >= 5 * vocabulary[word]:
+            forms[word] = best
+    out = []
+    for word, n in vocabulary.items():
+        root = word
+        while root in forms:
+            root = forms[root]
+        form = forms.get(word)
+        out.append((word, form, root, n, len(near[word]), vocabulary.get(form)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_op12_against_brute_force(spark, folder):
+    path = f"/root/testdata/{folder}"
+    rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in queries.op12_variants(spark, path).collect()), key=repr)
+    assert got == brute_groups(brute_vocabulary(rows))
+    assert any(r[1] for r in got)
+
+
+COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
+
+
+@pytest.mark.parametrize("part_bytes", [variants.PART_BYTES, 64])
+def test_groups_of_odd_vocabularies(spark, part_bytes):
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abé") for _ in range(rng.choice([6, 6, 7, 8]))): rng.choice([5, 5, 30, 200, 2_000]) for _ in range(500)}
+    words |= {"aaaaaa": 5, "aaaaaaa": 25, "aaaaaaaa": 125, "b" * 63: 9, "b" * 64: 99, "b" * 65: 999, "b" * 64 + "c": 5}
+    words |= {"ÿ" * 200: 5, "ÿ" * 199 + "À": 25, "ab" * 40_000: 7, "ab" * 39_999 + "a": 700, "short": 900, "rare word": 4}
+    frame = spark.createDataFrame([(w, n) for w, n in words.items() if w != "rare word"], "word string, n long").repartition(5)
+    got = spelling_groups(frame, part_bytes=part_bytes).select(*COLUMNS).collect()
+    kept = {w: n for w, n in words.items() if len(w) >= 6 and n >= 5}
+    assert len(got) == len(kept)
+    small = {w: n for w, n in kept.items() if len(w) < 1_000}
+    assert sorted((tuple(r) for r in got if len(r[0]) < 1_000), key=repr) == brute_groups(small)
+    long = {len(r["word"]): r for r in got if len(r["word"]) >= 1_000}
+    assert long[80_000]["root"] == "ab" * 39_999 + "a" and long[79_999]["n_near"] == 1
+
+
+def test_words_of_odd_documents(spark):
+    texts = [None, "", "  ", "ABCDEF abcdef Àbcdef×y", "x" * 60_000, "abcdef1abcdef", "short é"] + ["word word wordword"] * 2
+    docs = spark.createDataFrame([(i, t, 3, "w") for i, t in enumerate(texts)], "doc_id long, text string, n int, word string")
+    want = Counter({"abcdef": 4, "Àbcdef×y": 1, "x" * 60_000: 1, "wordword": 2})
+    assert {r["word"]: r["n"] for r in word_counts(docs).collect()} == want
+    assert word_counts(docs.limit(0)).collect() == []
+    assert spelling_groups(word_counts(docs.limit(0))).collect() == []
+    assert word_counts(spark.createDataFrame([(None, "abcdef")], "doc_id long, text string"), change=queries.misspelt).count() == 1
+    with pytest.raises(ValueError):
+        spelling_groups(word_counts(docs), ratio=1)
+
+
+def test_filters_never_miss_and_let_few_pass():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdefghijklmn") for _ in range(rng.randrange(6, 90))) for _ in range(20_000)})
+    shards = variants.Shards(Counter(min(len(w), variants.LONG) for w in words), 1)
+    held = np.zeros(int(shards.offsets[-1]), np.uint64)
+    letters = variants.Letters(words[::2])
+    for _, block, bits in shards.places(letters.words(), letters.lengths):
+        np.bitwise_or.at(held, block, bits)
+    assert shards.maybe(held, letters.words(), letters.lengths).all()
+    others = variants.Letters(words[1::2])
+    assert shards.maybe(held, others.words(), others.lengths).mean() < 0.01
