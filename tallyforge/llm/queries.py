@@ -14,6 +14,7 @@ from tallyforge.llm.decontamination import contamination_flag, find_contaminatio
 from tallyforge.llm.language import fold, identify_language
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.neardup import near_duplicates
+from tallyforge.llm.repair import repair_summary
 from tallyforge.llm.repeats import repeated_spans, without_spans
 from tallyforge.llm.shipping import prepare
 from tallyforge.llm.spans import base_only, count_of, joined
@@ -124,6 +125,24 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage to conversations, by crc32 of ``conv_id:turn``; nulls read as one space."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")))
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", blank)
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(F.coalesce("role", blank))
+    copies = F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = rows.filter(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copies"))
+    return kept.select("conv_id", "turn", "role", "text", F.explode("copies")).drop("col")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair_summary(damaged(rows), rows)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -137,4 +156,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix": op10_mix,
     "op11_tokenfiles": op11_tokenfiles,
     "op12_variants": op12_variants,
+    "op13_repair": op13_repair,
 }

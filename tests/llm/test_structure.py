@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import random
 import re
 import sys
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from glob import glob
 from pathlib import Path
 
@@ -18,7 +20,8 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
-from tallyforge.llm import queries, tokenfiles, variants  # noqa: E402
+from tallyforge.llm import queries, repair, tokenfiles, variants  # noqa: E402
+from tallyforge.llm.repair import repair_plans, repair_summary, repaired_turns  # noqa: E402
 from tallyforge.llm.tokenfiles import Encoder, checksums, read_tokens, write_tokens  # noqa: E402
 from tallyforge.llm.variants import spelling_groups, word_counts  # noqa: E402
 
@@ -198,3 +201,123 @@ def test_filters_never_miss_and_let_few_pass():
     assert shards.maybe(held, letters.words(), letters.lengths).all()
     others = variants.Letters(words[1::2])
     assert shards.maybe(held, others.words(), others.lengths).mean() < 0.01
+
+
+# --- conversation repair
+
+
+def brute_damage(rows):
+    """Rows after damage, by conversation."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        out[conv] += []
+        if kind != 0:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            out[conv] += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    for turns in out.values():
+        turns.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).digest()))
+    return out
+
+
+def brute_faults(turns):
+    seen, out = set(), []
+    for _, role, text in turns:
+        bare = text.rstrip(" \t\n\x0b\x0c\r")
+        out.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def brute_repair(turns):
+    """(cost, audit, repaired lines): Dijkstra over (row, initials so far as a place of the pattern)."""
+    faults = brute_faults(turns)
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    heap, done = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, audit, i, place, lines = heapq.heappop(heap)
+        if (i, place) in done:
+            continue
+        done.add((i, place))
+        if i == len(turns) and place in ("", "a"):
+            return cost, audit, lines
+        for role in ("user", "assistant"):
+            if (place, role[0]) in step:
+                heapq.heappush(heap, (cost + 2, audit + "I", i, step[place, role[0]], lines + (f"{role}:",)))
+        if i < len(turns):
+            _, own, text = turns[i]
+            heapq.heappush(heap, (cost + 3, audit + "D", i + 1, place, lines))
+            if faults[i] not in ("blank", "duplicate"):
+                extra = faults[i] == "truncated"
+                if (place, own[:1]) in step:
+                    heapq.heappush(heap, (cost + extra, audit + "K", i + 1, step[place, own[:1]], lines + (f"{own}:{text}",)))
+                for role in ("user", "assistant"):
+                    if (place, role[0]) in step:
+                        heapq.heappush(heap, (cost + 2 + extra, audit + "R", i + 1, step[place, role[0]], lines + (f"{role}:{text}",)))
+    raise AssertionError
+
+
+def brute_row(conv, turns):
+    given = [t for t, _, _ in turns if t is not None]
+    gaps = max(given) - min(given) + 1 - len(set(given)) if given else 0
+    faults = brute_faults(turns)
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+    cost, audit, lines = brute_repair(turns)
+    sha = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    return (conv, gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha)
+
+
+REPAIR = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_op13_against_brute_force(spark, folder):
+    path = f"/root/testdata/{folder}"
+    rows = [tuple(r) for r in spark.read.parquet(f"{path}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want = sorted(brute_row(conv, turns) for conv, turns in brute_damage(rows).items())
+    assert sorted(tuple(r) for r in queries.op13_repair(spark, path).select(*REPAIR).collect()) == want
+
+
+def test_repair_of_odd_conversations(spark):
+    rng = random.Random(13)
+    rows = []
+    for conv in [None, *range(120)]:
+        for _ in range(rng.choice([1, 2, 3, 5, 9, 40])):
+            role = rng.choice(["user", "user", "assistant", "assistant", "system", "tool", None, ""])
+            text = rng.choice(["One.", "Two!", "cut", "", None, " \n", "Three? \n", "Ünïcode.", "last ", f"{rng.random()}."])
+            rows.append((conv, rng.choice([None, 0, 1, 2, 3, 4, 5, 9]), role, text, "x", 7))
+    rows += [(500, t, "user", "Same text.", "y", 1) for t in range(300)] + [(501, 3, "user", "Same row.", "y", 1)] * 300
+    rows += [(502, None, "assistant", "x" * 50_000, "y", 1), (503, 0, "user", "." * 30_000, "y", 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, audit string, part int").repartition(4)
+    want = [brute_row(conv, turns) for conv, turns in brute_damage([r[:4] for r in rows]).items()]
+    got = repair_summary(queries.damaged(frame), frame).select(*REPAIR).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+    turns = repaired_turns(frame, repair_plans(frame)).collect()
+    assert {r["edit"] for r in turns} == {"K", "R", "I"} and all(r["role"][:1] in "sua" for r in turns)
+    empty = frame.limit(0)
+    assert repair_plans(empty).collect() == [] and repair_summary(empty, frame).count() == 125
+
+
+def test_long_conversation_is_parsed_in_pieces(spark):
+    rng = random.Random(3)
+    rows = [(7, t, rng.choice(["user", "assistant", "system"]), rng.choice(["Full stop.", "cut", f"{t}.", f"{t}!"])) for t in range(3_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        assert repair._pieces(repair._faults(frame)).count() > 8
+        got = [tuple(r) for r in repair_summary(frame, frame).select(*REPAIR).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    turns = [(t, r, x) for _, t, r, x in rows]
+    cost, audit = repair.whole(_parse(turns))
+    sound = brute_row(7, turns[:200])
+    assert got[0][6:8] == (cost, audit) and repair.whole(_parse(turns[:200])) == sound[6:8]
+
+
+def _parse(turns):
+    parse = repair.Parse()
+    for (_, role, _), fault in zip(turns, brute_faults(turns)):
+        parse.add(role[:1], fault or "sound")
+    return parse.take()
