@@ -27,21 +27,25 @@ END_ID = 2
 FILE_BYTES = 64 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-#: Pieces of text that a worker remembers, and the longest of them.
-MEMO_PIECES = 200_000
-MEMO_CHARS = 64
+#: Pieces of text that a worker remembers (about 200 MB), and the longest of them.
+MEMO_PIECES = 1_000_000
+MEMO_CHARS = 32
 OWN = ("part", "at", "n_tokens", "ids")
 
 # Fixed value: Unicode's White_Space, which parts text in byte-level vocabularies.
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: No token crosses these: a run without white space and one space before it, or white space
-_PIECE = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# Letters of the most common scripts of such texts; pieces of others are longer, not wrong.
+_LETTERS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u02AF"
+#: No token crosses these: a word or marks, each with one space before, that a known character ends; a run without white space; white space
+_PIECE = re.compile(
+    rf" ?[{_LETTERS}]+(?=[ \n.,;:?!)]|\Z)| ?[.,;:?!()]+(?=[ \nA-Za-z0-9]|\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 
 
 class Encoder(dict):
-    """Ids of a text by the tokenizers library, as little-endian unsigned 32-bit integers.
+    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
-    A byte-level vocabulary never joins bytes of two pieces of ``_PIECE``, so the library encodes each piece once and
+    A byte-level vocabulary never joins bytes of two pieces of ``_PIECE``, so the library encodes a piece once and
     a bounded memo repeats its answer; a text that holds the string of an added token goes to the library whole.
     """
 
@@ -55,7 +59,7 @@ class Encoder(dict):
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._encode(piece)

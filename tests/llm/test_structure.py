@@ -58,7 +58,7 @@ def test_op11_against_the_library(spark, sf_dir, library):
 def test_pieces_encode_as_whole_texts(library):
     rng = random.Random(4)
     encoder = Encoder(public_tokenizers.path(tokenfiles.VOCABULARY))
-    parts = ["a", "word", "it's", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "​", " ", "é", "中文", "12", "?!", "<|endoftext|>", "<|end", "😀"]
+    parts = ["a", "word", "it's", ", ", ".", "!)", "—", "д", "Ünï", "x,y", ".\n", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "​", " ", "é", "中文", "12", "?!", "<|endoftext|>", "<|end", "😀"]
     for _ in range(3_000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
