@@ -1,7 +1,7 @@
 """Token totals kept by signed deltas, committed once a batch.
 
-A ledger is a folder of deltas, one for each batch id, and of bases that fold all deltas up to one
-id. An insert adds a document and its tokens, a delete takes both away, a revision adds the
+A ledger is a folder of deltas, one for each batch id, and of bases that fold deltas and keep the ids of
+those folded, so batches may come in any order and leave gaps. An insert adds a document and its tokens, a delete takes both away, a revision adds the
 difference of two counts; totals by source, language and tokenizer version are sums. A batch that is
 committed again changes nothing, and one that broke off leaves no trace in the totals.
 """
@@ -36,12 +36,12 @@ def _encoder(vocabulary: bytes) -> tiktoken.Encoding:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``bpe`` and ``words``: tokens of the vocabulary and runs without white space.
 
-    Null and empty texts count 0. The vocabulary file is read once and sent to the tasks
+    Null and empty texts count 0; columns of those names are replaced. The vocabulary file is read once and sent to the tasks
     (it is a fixed file of about a megabyte); every whole text is encoded, special tokens as ordinary text.
     """
     with open(vocabulary, "rb") as file:
         held = docs.sparkSession.sparkContext.broadcast(file.read())
-    counted = docs.withColumn("words", word_count(F.col(text_col)))
+    counted = docs.drop("bpe").withColumn("words", word_count(F.col(text_col)))
     place = counted.columns.index(text_col)
     kept = [field for field in counted.schema.fields if field.name != text_col]
 
@@ -88,6 +88,19 @@ class Ledger:
         ids = sorted(int(name) for name in found if name.isdigit())
         return [i for i in ids if files.exists(self._path(f"{self.root}/{kind}/{i}/_SUCCESS")[0])]
 
+    def _base(self) -> tuple[int | None, list[tuple[int, int]]]:
+        """The newest base and the ranges of batch ids it holds: few, since neighbouring ids are one range."""
+        bases = self._finished("base")
+        if not bases:
+            return None, []
+        ranges = self.spark.read.schema("first long, last long").parquet(f"{self.root}/folded/{bases[-1]}")
+        return bases[-1], sorted((r["first"], r["last"]) for r in ranges.collect())
+
+    def _open(self) -> tuple[int | None, list[tuple[int, int]], list[int]]:
+        """The newest base, what it holds, and the finished deltas that it doesn't."""
+        base, folded = self._base()
+        return base, folded, [i for i in self._finished("deltas") if not _within(i, folded)]
+
     def commit(self, batch: int, rows: DataFrame) -> bool:
         """Write the deltas of a batch; False if this id is already in the totals.
 
@@ -95,8 +108,8 @@ class Ledger:
         are summed before they are shuffled, so a hot source is one row a task. A batch
         that broke off has no ``_SUCCESS`` and is written anew.
         """
-        bases = self._finished("base")
-        if batch in self._finished("deltas") or bases and batch <= bases[-1]:
+        _, folded, deltas = self._open()
+        if batch in deltas or _within(batch, folded):
             return False
         action = F.col("action")
         sign = F.when(action == INSERT, 1).when(action == DELETE, -1).when(action == REVISE, 0)
@@ -107,10 +120,9 @@ class Ledger:
         return True
 
     def _parts(self) -> DataFrame | None:
-        bases = self._finished("base")
-        upto = bases[-1] if bases else None
-        paths = [f"{self.root}/base/{upto}"] if bases else []
-        paths += [f"{self.root}/deltas/{i}" for i in self._finished("deltas") if upto is None or i > upto]
+        base, _, deltas = self._open()
+        paths = [f"{self.root}/base/{base}"] if base is not None else []
+        paths += [f"{self.root}/deltas/{i}" for i in deltas]
         schema = "source string, lang string, tokenizer string, documents long, tokens long"
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -120,16 +132,37 @@ class Ledger:
         return sums.filter("documents <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all deltas into a base; older folders go once it is written."""
-        deltas = self._finished("deltas")
-        bases = self._finished("base")
-        if not deltas or bases and bases[-1] >= deltas[-1]:
+        """Fold all deltas into a base; older folders go once it is written.
+
+        The ids it holds are written first: a base without its ``_SUCCESS`` is not read, nor are they.
+        """
+        base, folded, deltas = self._open()
+        if not deltas:
             return
-        self.totals().write.mode("overwrite").parquet(f"{self.root}/base/{deltas[-1]}")
-        for kind, ids in (("deltas", deltas), ("base", bases)):
-            for i in ids:
-                path, files = self._path(f"{self.root}/{kind}/{i}")
-                files.delete(path, True)
+        number = 0 if base is None else base + 1
+        ranges = _ranges(folded + [(i, i) for i in deltas])
+        self.spark.createDataFrame(ranges, "first long, last long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/folded/{number}")
+        self.totals().write.mode("overwrite").parquet(f"{self.root}/base/{number}")
+        older = range(number) if base is None else [base]
+        gone = [f"deltas/{i}" for i in self._finished("deltas") if _within(i, ranges)]
+        for name in [*gone, *(f"{kind}/{i}" for i in older for kind in ("base", "folded"))]:
+            path, files = self._path(f"{self.root}/{name}")
+            files.delete(path, True)
+
+
+def _within(batch: int, ranges: list[tuple[int, int]]) -> bool:
+    return any(first <= batch <= last for first, last in ranges)
+
+
+def _ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of ids, neighbours joined."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(ranges):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
 
 
 def corpus_totals(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -359,12 +359,34 @@ def test_ledger_is_idempotent_and_compacts(spark, tmp_path):
     assert state() == want
     ledger.compact()
     assert state() == want and not ledger.commit(2, second)
-    assert sorted(p.name for p in (tmp_path / "base").iterdir()) == ["2"]
+    assert sorted(p.name for p in (tmp_path / "base").iterdir()) == ["0"]
     (tmp_path / "deltas" / "3").mkdir(parents=True)  # a batch that broke off
     assert state() == want
     assert ledger.commit(3, third) and ("b", "en", "v2") not in state()
     ledger.compact()
-    assert len(state()) == 2 and sorted(p.name for p in (tmp_path / "base").iterdir()) == ["3"]
+    assert len(state()) == 2 and sorted(p.name for p in (tmp_path / "base").iterdir()) == ["1"]
+
+
+def test_ledger_counts_late_batches_after_a_gap(spark, tmp_path):
+    schema = "action string, source string, lang string, tokenizer string, tokens long, before long"
+    ledger = Ledger(spark, str(tmp_path))
+    batches = {i: spark.createDataFrame([(INSERT, "a", "en", "v1", 10**i, None)], schema) for i in range(1, 8)}
+    total = lambda: sum(r["tokens"] for r in ledger.totals().collect())
+    assert ledger.commit(1, batches[1]) and ledger.commit(3, batches[3])
+    ledger.compact()
+    assert ledger.commit(2, batches[2]) and total() == 1_110
+    assert not ledger.commit(2, batches[2]) and not ledger.commit(3, batches[3])
+    assert ledger.commit(7, batches[7]) and ledger.commit(5, batches[5])
+    ledger.compact()
+    ledger.compact()
+    assert [ledger.commit(i, batches[i]) for i in (1, 2, 3, 4, 5, 7)] == [False, False, False, True, False, False]
+    assert total() == sum(10**i for i in (1, 2, 3, 4, 5, 7))
+
+
+def test_token_totals_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, bpe int, words string")
+    assert corpus_totals(docs, str(tmp_path)).collect() == []
+    assert count_tokens(docs).columns.count("bpe") == 1
 
 
 def test_token_totals_of_the_corpus(spark, sf_dir):
@@ -378,7 +400,9 @@ def test_token_totals_of_the_corpus(spark, sf_dir):
             d, t = want.get((r["source"], r["lang"], version), (0, 0))
             want[(r["source"], r["lang"], version)] = (d + 1, t + n)
     got = {(r["source"], r["lang"], r["tokenizer"]): (r["documents"], r["tokens"]) for r in queries.op4_tokens(spark, sf_dir).collect()}
-    assert got == want
+    assert {group: totals for group, totals in got.items() if totals != (0, 0)} == want
+    groups = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang").distinct().count()
+    assert len(got) == 2 * groups  # groups that hold only copies, too
 
 
 def test_token_totals_cover_every_row(spark, tmp_path):
