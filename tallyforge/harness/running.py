@@ -16,6 +16,7 @@ from tallyforge.operators import registers
 from tallyforge.session import scratch_path
 from tallyforge.sources.readers import stream_files
 from tallyforge.streaming import feeds, ordered
+from tallyforge.streaming import sessions as live
 
 #: Order in which batches are folded; unlike that of their events.
 SHUFFLED = (2, 0, 3, 1)
@@ -24,7 +25,7 @@ SHUFFLED = (2, 0, 3, 1)
 def dealt(frame: DataFrame, event_id: str, batches: int = 4) -> list[DataFrame]:
     """Whole frame in batches by a hash of the id, as if every client sent when it came online."""
     lot = F.pmod(F.xxhash64(event_id), F.lit(batches))
-    return [frame.filter(lot == i) for i in SHUFFLED[:batches]]
+    return [frame.filter(lot == i) for i in SHUFFLED if i < batches]
 
 
 def in_slices(
@@ -127,10 +128,81 @@ _LATE = """
                  row_number() OVER (PARTITION BY event_id, coalesce(late, FALSE) ORDER BY slot) AS nth FROM judged)
     GROUP BY 1, 2, 3"""
 
+# ---- live sessions and joins of streams ---------------------------------------------
+def _with_end(f: Fixtures, parts: list[DataFrame]) -> list[DataFrame]:
+    """One more slice with a far event, so that the watermark passes all others."""
+    end = f.spark.sql(
+        "SELECT -1L AS event_id, TIMESTAMP_NTZ '2034-01-01 00:00:00' AS ts, -1L AS user_id, 'signup' AS event_type, 0D AS value, '1' AS props"
+    )
+    return [*parts, end]
+
+
+def _drained(f: Fixtures, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows that a stateful job has given out after all slices."""
+    root = scratch_path(f.spark, "drained")
+
+    def start(raw: DataFrame) -> StreamingQuery:
+        sink = job(raw).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
+        return feeds.run(sink)
+
+    in_slices(f, RAW_SCHEMAS["events"], _with_end(f, parts), start)
+    return f.spark.read.parquet(f"{root}/out")
+
+
+def _ntz(column: str):
+    return F.col(column).cast("timestamp_ntz").alias(column)
+
+
+@query
+def stream_cut_sessions(f):
+    """Live sessions with pauses of up to eight hours, cut at 24 hours by the stream's own state."""
+    cuts = [F.col("ts") < "2024-01-11", (F.col("ts") >= "2024-01-11") & (F.col("ts") < "2024-01-21"), F.col("ts") >= "2024-01-21"]
+    closed = _drained(
+        f,
+        [f.raw("events").filter(part) for part in cuts],
+        lambda raw: live.cut_sessions(feeds.event_time(raw.withColumnRenamed("user_id", "admin_id"), "ts"), "admin_id", "ts", 8 * 3600, "1 hour"),
+    )
+    return closed.select("admin_id", _ntz("session_start"), _ntz("session_end"), "session_seconds", "event_count")
+
+
+@query
+def stream_session_ends(f):
+    """Logins joined with logouts of the same live feed, which comes in shuffled slices."""
+
+    def job(raw: DataFrame) -> DataFrame:
+        feed = feeds.event_time(shapes.session_events_from(shapes.with_k(raw)), "event_time")
+        return live.session_ends(feed.filter("kind = 'login'"), feed.filter("kind = 'logout'"), "40 days")
+
+    ends = _drained(f, dealt(f.raw("events"), "event_id", 3), job).filter("session_id >= 0")
+    return ends.select("session_id", "admin_id", _ntz("login_time"), _ntz("logout_time"), "session_duration")
+
+
+@query
+def stream_unanswered(f):
+    """Failed requests that no retry of the same feed answers."""
+
+    def job(raw: DataFrame) -> DataFrame:
+        ev = shapes.with_k(raw)
+        failed = feeds.event_time(shapes.retry_queue(ev.filter("event_type = 'error' OR event_id < 0")), "timestamp")
+        answered = feeds.event_time(shapes.retry_queue(ev.filter("event_type = 'error' AND value < 50 OR event_id < 0")), "timestamp")
+        return live.unanswered(failed, answered, "timestamp", ["method", "endpoint"], "40 days")
+
+    left = _drained(f, dealt(f.raw("events"), "event_id", 3), job)
+    return left.select(_ntz("timestamp"), "method", "endpoint", "data").filter(F.col("timestamp") < "2034-01-01")
+
+
 ORACLE.update({name: with_base(body) for name, body in {
     "points_any_order": _BODIES["points_upsert"],
     "stream_points_any_order": _BODIES["points_upsert"],
     "features_any_order": _BODIES["feature_upsert"],
     "users_any_order": _BODIES["user_upsert"],
     "stream_late_events": _LATE,
+    "stream_cut_sessions": _BODIES["sessionize"],
+    "stream_session_ends": """
+        WITH live AS (SELECT o.* FROM logouts o JOIN ev ON ev.event_id = o.session_id % 1000000000 WHERE ev.k % 5 <> 0)
+        SELECT s.id AS session_id, s.admin_id, s.login_time, o.ts AS logout_time,
+               coalesce(date_sub('second', s.login_time, o.ts), 0) AS session_duration
+        FROM sessions s LEFT JOIN live o ON o.session_id = s.id AND o.admin_id = s.admin_id
+             AND o.ts BETWEEN s.login_time AND s.login_time + INTERVAL 1 DAY""",
+    "stream_unanswered": _BODIES["retry_remaining"],
 }.items()})
