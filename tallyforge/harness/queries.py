@@ -847,7 +847,8 @@ def raw_stream(f: Fixtures, table: str, ts: str, cuts: list[str], last: list[Dat
         if low:
             part = part.filter(F.col(ts) >= F.lit(low).cast("timestamp_ntz"))
         if high:
-            part = part.filter(F.col(ts) < F.lit(high).cast("timestamp_ntz"))
+            before = F.col(ts) < F.lit(high).cast("timestamp_ntz")
+            part = part.filter(before if low else before | F.col(ts).isNull())  # rows without a time come first
         part.coalesce(1).write.mode("append").parquet(folder)
     for part in last or []:
         part.coalesce(1).write.mode("append").parquet(folder)

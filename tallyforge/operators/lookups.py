@@ -316,6 +316,9 @@ def affordable_rewards(profiles: DataFrame, rewards: DataFrame) -> DataFrame:
 
 
 # ---- intents --------------------------------------------------------------
+FEW_WORDS = 1_000
+
+
 def _words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -336,13 +339,16 @@ def match_intents(messages: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Best intent per message: most keywords found, then the higher priority.
 
     A message's distinct words meet the first word of each keyword phrase in an equality join;
-    only on those pairs is the whole phrase looked up in the message.
+    only on those pairs is the whole phrase looked up in the message. Up to ``FEW_WORDS`` first words also
+    sift a message's words beforehand, so that its text is copied for hits alone; with more of them the join sifts.
     """
     keywords = intent_keywords(knowledge).withColumn("word", F.substring_index("phrase", " ", 1))
+    few = keywords.select("word").distinct().limit(FEW_WORDS + 1).agg(F.collect_set("word")).scalar()
+    sifted = F.when(F.size(few) <= FEW_WORDS, F.array_intersect("_words", few)).otherwise(F.array_distinct("_words"))
     words = messages.select("id", _words(F.col("message_content")).alias("_words")).select(
         "id",
         F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_text"),
-        F.explode(F.array_distinct("_words")).alias("word"),
+        F.explode(sifted).alias("word"),
     )
     found = F.contains("_text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     hits = (

@@ -16,46 +16,79 @@ EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """All rows of frames with the same columns in the same order."""
+    return reduce(DataFrame.union, frames)
 
 
-def duplicate_keys(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Per table and key: how many keys repeat, and the rows beyond the first."""
+def _key_text(columns: list[str]) -> str:
+    """SQL of one text for the values of a key; NULL counts as a value, and no two keys share a text."""
+    texts = [f"CAST(`{c}` AS STRING)" for c in columns]
+    return texts[0] if len(texts) == 1 else "concat(" + ", ".join(f"coalesce(concat(length({t}), ':', {t}), '-')" for t in texts) + ")"
 
-    def check(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-        return (
-            df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .agg(
-                F.count_if(F.col("n") > 1).alias("duplicate_keys"),
-                F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("extra_rows"),
-            )
-            .select(F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
-                    "duplicate_keys", "extra_rows")
-        )
 
-    return _stack([check(name, df, keys) for name, (df, keys) in tables.items()])
+def _tagged(frame: DataFrame, parts: list[tuple[dict[str, int], str]]) -> DataFrame:
+    """Each row once for each part: its numbers, and ``key``. SQL text, since many expressions from Python take their time."""
+    listed = [
+        "named_struct(" + ", ".join(f"'{name}', {number}" for name, number in numbers.items()) + f", 'key', {text})" for numbers, text in parts
+    ]
+    return frame.selectExpr(f"inline(array({', '.join(listed)}))")
 
 
-def orphans(links: list[tuple[str, DataFrame, str, str, DataFrame, str]]) -> DataFrame:
-    """Child keys without a parent; children are counted per key before the join."""
+def duplicate_keys(tables: dict[str, tuple[DataFrame, list[str] | list[list[str]]]]) -> DataFrame:
+    """Per table and key (one, or a list of several): how many keys repeat, and the rows beyond the first.
 
-    def check(child_name, child, column, parent_name, parent, parent_column) -> DataFrame:
-        counted = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        lost = counted.join(parent.select(F.col(parent_column).alias("key")), "key", "left_anti")
-        return lost.agg(
-            F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows")
-        ).select(
-            F.lit(child_name).alias("child"),
-            F.lit(column).alias("child_column"),
-            F.lit(parent_name).alias("parent"),
-            "orphan_keys",
-            "orphan_rows",
-        )
+    A table is read once with all its keys, and all keys of all tables are counted in one shuffle, equal ones added up before it.
+    """
+    several = {name: (df, keys if isinstance(keys[0], list) else [keys]) for name, (df, keys) in tables.items()}
+    rules = [(name, key) for name, (_, keys) in several.items() for key in keys]
+    stacks = []
+    for name, (df, keys) in several.items():
+        stacks.append(_tagged(df, [({"rule": rules.index((name, key))}, _key_text(key)) for key in keys]))
+    counted = _stack(stacks).groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sums = counted.groupBy("rule").agg(F.count(F.lit(1)).alias("duplicate_keys"), F.sum(F.col("n") - 1).alias("extra_rows"))
+    return _every_rule(sums, [{"table_name": name, "key_columns": ",".join(key)} for name, key in rules], ["duplicate_keys", "extra_rows"])
+
+
+def _every_rule(found: DataFrame, rules: list[dict[str, str]], counts: list[str]) -> DataFrame:
+    """A row for each rule, zeros where ``found`` (``rule`` and ``counts``) has none."""
+    each = ", ".join(f"max(CASE WHEN rule = {n} THEN struct({', '.join(counts)}) END) AS r{n}" for n in range(len(rules)))
+    named = [
+        "named_struct("
+        + ", ".join([f"'{name}', '{text}'" for name, text in rule.items()] + [f"'{c}', coalesce(r{n}.{c}, 0L)" for c in counts])
+        + ")"
+        for n, rule in enumerate(rules)
+    ]
+    struct = found.selectExpr(f"struct({each}) AS seen").select("seen.*")
+    return struct.selectExpr(f"inline(array({', '.join(named)}))")
 
-    return _stack([check(*link) for link in links])
+
+def orphans(links: list[tuple[str, DataFrame, str, str, DataFrame, str]]) -> DataFrame:
+    """Child keys without a parent.
+
+    Each child is read once with all its references, each parent once with all keys that are referred to; keys are counted
+    before they are shuffled and meet in one anti join for all links. Keys are compared as text. A link without orphans has zeros.
+    """
+    parents: dict[tuple[str, str], DataFrame] = {}
+    children: dict[str, tuple[DataFrame, list[tuple[int, str, int]]]] = {}
+    for number, (child_name, child, column, parent_name, parent, parent_column) in enumerate(links):
+        parents.setdefault((parent_name, parent_column), parent)
+        target = list(parents).index((parent_name, parent_column))
+        children.setdefault(child_name, (child, []))[1].append((number, column, target))
+
+    def stacked(frame: DataFrame, parts: list[tuple[dict[str, int], str]]) -> DataFrame:
+        return _tagged(frame, [(numbers, _key_text([column])) for numbers, column in parts]).filter("key IS NOT NULL")
+
+    links_of = {name: (frame, [({"link": n, "parent": t}, c) for n, c, t in parts]) for name, (frame, parts) in children.items()}
+    asked = _stack([stacked(*of) for of in links_of.values()]).groupBy("link", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    by_table: dict[str, list[tuple[dict[str, int], str]]] = {}
+    for target, (name, column) in enumerate(parents):
+        by_table.setdefault(name, []).append(({"parent": target}, column))
+    frames = {name: frame for (name, _), frame in parents.items()}
+    held = _stack([stacked(frames[name], parts) for name, parts in by_table.items()])
+    lost = asked.join(held, ["parent", "key"], "left_anti").groupBy(F.col("link").alias("rule"))
+    sums = lost.agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
+    rules = [{"child": child, "child_column": column, "parent": parent} for child, _, column, parent, _, _ in links]
+    return _every_rule(sums, rules, ["orphan_keys", "orphan_rows"])
 
 
 def enum_violations(tables: list[tuple[str, DataFrame, str, list[str]]]) -> DataFrame:
@@ -93,12 +126,11 @@ def null_and_length(name: str, df: DataFrame, rules: dict[str, tuple[bool, int |
 
 def declared_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Duplicates of every declared key, and of ``id``, that the tables at hand have."""
-    checks = []
-    for name, frame in tables.items():
-        for keys in [["id"], *UNIQUE_KEYS.get(name, [])]:
-            if set(keys) <= set(frame.columns):
-                checks.append(duplicate_keys({name: (frame, keys)}))
-    return _stack(checks)
+    held = {
+        name: (frame, [keys for keys in [["id"], *UNIQUE_KEYS.get(name, [])] if set(keys) <= set(frame.columns)])
+        for name, frame in tables.items()
+    }
+    return duplicate_keys({name: (frame, keys) for name, (frame, keys) in held.items() if keys})
 
 
 def declared_links(tables: dict[str, DataFrame]) -> DataFrame:

@@ -17,11 +17,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyforge.functions.labels import http_error, http_success
 from tallyforge.operators.folds import USER_FIELDS, merge_points, merge_users
 
-REDUCE = {"sum": F.sum, "max": F.max, "min": F.min}
+#: How a register takes in events, and how it takes in other states.
+REDUCE = {
+    "sum": (F.sum, F.sum),
+    "max": (F.max, F.max),
+    "min": (F.min, F.min),
+    "bits": (F.bitmap_construct_agg, F.bitmap_or_agg),
+    "sketch": (F.hll_sketch_agg, F.hll_union_agg),
+}
 
 
 class Registers(NamedTuple):
-    """``keys`` and ``fields`` are functions since columns need a session; a field is (sum, max or min, expression)."""
+    """``keys`` and ``fields`` are functions since columns need a session; a field is (name in REDUCE, expression)."""
 
     keys: Callable[[], dict[str, Column]]
     fields: Callable[[], dict[str, tuple[str, Column]]]
@@ -44,13 +51,13 @@ def earliest(ts: str, event_id: str, **kept: Column) -> tuple[str, Column]:
 def state_of(feed: DataFrame, rule: Registers) -> DataFrame:
     """The state of one batch; a hot key's events are combined before the shuffle."""
     keys = [column.alias(name) for name, column in rule.keys().items()]
-    fields = [REDUCE[kind](column).alias(name) for name, (kind, column) in rule.fields().items()]
+    fields = [REDUCE[kind][0](column).alias(name) for name, (kind, column) in rule.fields().items()]
     return feed.filter(rule.where()).groupBy(*keys).agg(*fields)
 
 
 def combine(states: DataFrame, rule: Registers) -> DataFrame:
     """Several states, stacked, as one."""
-    fields = [REDUCE[kind](name).alias(name) for name, (kind, _) in rule.fields().items()]
+    fields = [REDUCE[kind][1](name).alias(name) for name, (kind, _) in rule.fields().items()]
     return states.groupBy(*rule.keys()).agg(*fields)
 
 
@@ -124,3 +131,37 @@ USERS = Registers(
 def users_view(users: DataFrame, state: DataFrame) -> DataFrame:
     values = [F.col(f"{field}.value").alias(field) for field in USER_FIELDS]
     return merge_users(users, state.select("user_id", *values, "_events", "_last"))
+
+
+# ---- distinct users ---------------------------------------------------------
+#: A sketch of 2**12 registers: three standard errors are under this share of the count.
+SKETCH_BOUND = 0.05
+
+DAY_USERS = Registers(
+    keys=lambda: {"date": F.to_date("timestamp"), "bucket": F.bitmap_bucket_number(F.col("user_id").cast("long"))},
+    fields=lambda: {"users": ("bits", F.bitmap_bit_position(F.col("user_id").cast("long")))},
+    where=lambda: F.col("user_id").try_cast("long").isNotNull(),
+)
+DAY_SKETCHES = Registers(keys=lambda: {"date": F.to_date("timestamp")}, fields=lambda: {"users": ("sketch", F.col("user_id"))})
+
+
+def _spread(days: DataFrame, span: int) -> DataFrame:
+    """Each day's rows for every day whose last ``span`` days hold it; only days that have rows ask."""
+    later = F.explode(F.sequence("date", F.date_add("date", span - 1))).alias("_until")
+    asked = days.select(F.col("date").alias("_until")).distinct()
+    return days.select(later, *[c for c in days.columns if c != "date"]).join(asked, "_until", "left_semi")
+
+
+def rolling_users(days: DataFrame, span: int) -> DataFrame:
+    """(date, users): different users of the ``span`` days up to each day, from the bitmaps of ``DAY_USERS``. Exact.
+
+    A row is the bitmap of 32,768 neighbouring ids on a day, so a day costs the ids in use, not its events.
+    """
+    held = _spread(days, span).groupBy("_until", "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+    return held.groupBy(F.col("_until").alias("date")).agg(F.sum(F.bitmap_count("users")).alias("users"))
+
+
+def rolling_estimates(days: DataFrame, span: int) -> DataFrame:
+    """(date, users) from the sketches of ``DAY_SKETCHES``: within ``SKETCH_BOUND`` of the count, whatever an id is."""
+    held = _spread(days, span).groupBy(F.col("_until").alias("date")).agg(F.hll_union_agg("users").alias("users"))
+    return held.select("date", F.hll_sketch_estimate("users").alias("users"))

@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyforge.operators.intervals import events_in_intervals
 from tallyforge.operators.lookups import accepted_rows, quarantined_rows, with_reason
 from tallyforge.sources.sinks import committed_versions, write_version
 
@@ -96,17 +97,17 @@ def cut_long_sessions(
     """Closed live sessions, those longer than ``max_seconds`` cut at multiples of it from their start.
 
     A stream keeps only a session's ends and its count, so the few that are too long go back to
-    their events in the log, by admin and time.
+    their events in the log, by admin and stretches of time: a busy admin's events meet only the sessions
+    around them. :func:`tallyforge.streaming.sessions.cut_sessions` needs no second look.
     """
     length = F.timestamp_diff("MICROSECOND", "session_start", "session_end")
     widest = max_seconds * 1_000_000
     short = sessions.filter(length < widest)
     long = sessions.filter(length >= widest)
     since = F.timestamp_diff("MICROSECOND", "session_start", F.col(ts))
+    spans = long.select("admin_id", "session_start", "session_end")
     pieces = (
-        log.select("admin_id", F.col(ts))
-        .join(long.select("admin_id", "session_start", "session_end"), "admin_id")
-        .filter((F.col(ts) >= F.col("session_start")) & (F.col(ts) <= F.col("session_end")))
+        events_in_intervals(spans, log.select("admin_id", F.col(ts)), ["admin_id"], "session_start", "session_end", ts, max_seconds)
         .groupBy("admin_id", "session_start", F.floor(since / widest).alias("_piece"))
         .agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("event_count"))
         .select("admin_id", F.col("_from").alias("session_start"), F.col("_to").alias("session_end"), "event_count")
