@@ -26,7 +26,7 @@ def fields_of(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, field, value): one row for each field of an object, its value as text. Rows without an object have none."""
     return rows.sparkSession.sql(
         f"SELECT r.`{key}`, f.key AS field, try_variant_get(f.value, '$', 'string') AS value "
-        f"FROM {{rows}} r, LATERAL variant_explode(r.`{column}`) f",
+        f"FROM {{rows}} r, LATERAL variant_explode(r.`{column}`) f WHERE f.key IS NOT NULL",
         rows=rows.select(key, column),
     )
 

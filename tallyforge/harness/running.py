@@ -363,10 +363,12 @@ def payload_changes(f):
     rows = payloads.parsed(log, ["old_values", "new_values"])
     sound = rows.filter("NOT malformed")
     moved = payloads.typed(F.col("new_values"), "$.eco_points", "bigint") - payloads.typed(F.col("old_values"), "$.eco_points", "bigint")
-    total = sound.agg(F.sum(moved).alias("moved")).withColumn("field", F.lit("eco_points"))
-    counts = payloads.changed_fields(sound, "user_id", "old_values", "new_values").groupBy("field").agg(F.count(F.lit(1)).alias("changes"))
+    none = F.lit(None).cast("long")
+    changes = payloads.changed_fields(sound, "user_id", "old_values", "new_values").groupBy("field").agg(F.count(F.lit(1)).alias("changes"))
     bad = rows.filter("malformed").agg(F.lit("(malformed)").alias("field"), F.count("new_values_text").alias("changes"))
-    return counts.join(total, "field", "left").unionByName(bad, allowMissingColumns=True)
+    total = sound.agg(F.lit("eco_points").alias("field"), F.lit(0).cast("long").alias("changes"), F.sum(moved).alias("moved"))
+    parts = changes.withColumn("moved", none).unionByName(bad.withColumn("moved", none)).unionByName(total)
+    return parts.groupBy("field").agg(F.sum("changes").alias("changes"), F.max("moved").alias("moved")).filter("changes > 0")
 
 
 ORACLE.update({name: with_base(body) for name, body in {
@@ -402,5 +404,5 @@ ORACLE.update({name: with_base(body) for name, body in {
             UNION ALL SELECT 'email', count(*) FILTER (WHERE e0 IS DISTINCT FROM e1 AND NOT broken), NULL FROM both_rows
             UNION ALL SELECT 'eco_points', count(*) FILTER (WHERE p0 IS DISTINCT FROM p1 AND NOT broken),
                              CAST(sum(p1 - p0) FILTER (WHERE NOT broken) AS BIGINT) FROM both_rows) WHERE changes > 0
-        UNION ALL SELECT '(malformed)', count(*) FILTER (WHERE broken), NULL FROM both_rows""",
+        UNION ALL SELECT '(malformed)', count(*) FILTER (WHERE broken), NULL FROM both_rows HAVING count(*) FILTER (WHERE broken) > 0""",
 }.items()})

@@ -69,8 +69,9 @@ def read_board(spark: SparkSession, root: str, version: int | None = None) -> Da
     """user_id, display_name, eco_points and rank_position as of a version that is kept."""
     version = latest_version(spark, f"{root}/counts") if version is None else version
     counts = read_version(spark, f"{root}/counts", version)
+    sums = counts.groupBy("bucket").agg(F.sum("members").alias("members"))
     higher = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("bucket", F.coalesce(F.sum("members").over(higher), F.lit(0)).alias("_before"))
+    before = sums.select("bucket", F.coalesce(F.sum("members").over(higher), F.lit(0)).alias("_before"))
     # one row a bucket: bounded by the range of points
     ranked = _members(spark, root, counts).join(F.broadcast(before), "bucket")
     return ranked.select("user_id", "display_name", "eco_points", (F.col("_before") + F.col("place")).alias("rank_position"))

@@ -316,7 +316,26 @@ def affordable_rewards(profiles: DataFrame, rewards: DataFrame) -> DataFrame:
 
 
 # ---- intents --------------------------------------------------------------
-FEW_WORDS = 1_000
+#: Words of 63 bits that mark which hashes occur; 32,256 bits whatever the number of keywords.
+SIFT_SLOTS = 512
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SIFT_SLOTS)).cast("int")
+
+
+def _mark(word: Column) -> Column:
+    """One of 63 bits by another part of the hash."""
+    place = F.pmod(F.shiftrightunsigned(F.xxhash64(word), 20), F.lit(63)).cast("int")
+    return F.element_at(F.array(*[F.lit(1 << n).cast("long") for n in range(63)]), place + 1)
+
+
+def _sift(words: DataFrame) -> Column:
+    """Marks of all words as one array of fixed size, for use in any expression."""
+    marks = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.bit_or(_mark(F.col("word"))).alias("bits"))
+    held = marks.agg(F.map_from_entries(F.collect_list(F.struct("slot", "bits"))).alias("held"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(SIFT_SLOTS - 1)), lambda n: F.coalesce(F.element_at("held", n), F.lit(0).cast("long")))
+    return held.select(every.alias("marks")).scalar()
 
 
 def _words(text: Column) -> Column:
@@ -339,13 +358,13 @@ def match_intents(messages: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Best intent per message: most keywords found, then the higher priority.
 
     A message's distinct words meet the first word of each keyword phrase in an equality join;
-    only on those pairs is the whole phrase looked up in the message. Up to ``FEW_WORDS`` first words also
-    sift a message's words beforehand, so that its text is copied for hits alone; with more of them the join sifts.
+    only on those pairs is the whole phrase looked up in the message. Words whose mark no first word has go
+    beforehand, so that a text is copied for hits and the few words that share a mark with one.
     """
     keywords = intent_keywords(knowledge).withColumn("word", F.substring_index("phrase", " ", 1))
-    few = keywords.select("word").distinct().limit(FEW_WORDS + 1).agg(F.collect_set("word")).scalar()
-    sifted = F.when(F.size(few) <= FEW_WORDS, F.array_intersect("_words", few)).otherwise(F.array_distinct("_words"))
-    words = messages.select("id", _words(F.col("message_content")).alias("_words")).select(
+    sifted = F.filter(F.array_distinct("_words"), lambda w: F.get("_marks", _slot(w)).bitwiseAND(_mark(w)) != 0)
+    marked = messages.select("id", _words(F.col("message_content")).alias("_words"), _sift(keywords).alias("_marks"))
+    words = marked.select(
         "id",
         F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_text"),
         F.explode(sifted).alias("word"),
