@@ -11,10 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyforge.harness import fixtures as shapes
 from tallyforge.harness.fixtures import RAW_SCHEMAS, Fixtures
 from tallyforge.functions import payloads
-from tallyforge.harness.oracle import _BODIES, _NAMED, BASE, ORACLE, with_base
+from tallyforge.harness.oracle import _ACCEPTED, _BODIES, _NAMED, BASE, ORACLE, with_base
 from tallyforge.harness.queries import named_tables, query
-from tallyforge.operators import board, cascade, folds, intervals, registers
+from tallyforge.operators import board, cascade, folds, intervals, lookups, registers
+from tallyforge.plans import catalog
 from tallyforge.session import scratch_path
+from tallyforge.sources import readers
 from tallyforge.sources.readers import stream_files
 from tallyforge.streaming import feeds, ordered, state
 from tallyforge.streaming import sessions as live
@@ -129,6 +131,46 @@ _LATE = """
                  row_number() OVER (PARTITION BY event_id, coalesce(late, FALSE) ORDER BY slot) AS nth FROM judged)
     GROUP BY 1, 2, 3"""
 
+# ---- JSON requests --------------------------------------------------------------------
+@query
+def stream_json_requests(f):
+    """Activity requests as lines of JSON, some broken, through the gates; the log is moved into day folders as it grows."""
+    root = scratch_path(f.spark, "json-ingest")
+    requests = shapes.requests_from(f.ev)
+    body = F.to_json(F.struct(*requests.columns))
+    text = requests.select("id", "event_time", F.when(F.col("id") % 10 == 3, F.concat(F.lit("{"), body)).otherwise(body).alias("value"))
+    fields = [x for x in requests.schema if x.name != "event_time"]
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in fields) + ", event_time TIMESTAMP_NTZ"
+    folder = scratch_path(f.spark, "json-lines")
+    for part in dealt(text, "id", 3):
+        part.select("value").write.mode("append").text(folder)
+        feed = readers.parse_requests(stream_files(f.spark, folder, "value STRING", "text"), schema)
+        judged = lookups.normalise_requests(feed)
+        feeds.ingest(judged, "activity", f.sessions, f.admins, root, f"{root}/cp").awaitTermination()
+        for side in ("accepted", "quarantine"):
+            feeds.compact_ingested(f.spark, root, side)
+    refused = feeds.ingested(f.spark, root, "quarantine").groupBy("reason").agg(F.count(F.lit(1)).alias("requests"))
+    accepted = feeds.ingested(f.spark, root).groupBy(F.to_date("created_at").cast("string").alias("reason")).agg(F.count(F.lit(1)).alias("requests"))
+    week = feeds.ingested(f.spark, root, days=("2024-01-08", "2024-01-14")).agg(F.count(F.lit(1)).alias("requests"))
+    return refused.unionByName(accepted).unionByName(week.select(F.lit("one week").alias("reason"), "requests"))
+
+
+@query
+def knowledge_by_use(f):
+    """Keyword rules by priority, with the messages that each category answers."""
+    used = lookups.match_intents(f.chat_messages, f.knowledge_base).groupBy("category").agg(F.count(F.lit(1)).alias("messages"))
+    listed = catalog.knowledge_by_priority(f.knowledge_base)
+    return listed.join(used, "category", "left").select("category", "priority", F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
+_JSON_REQUESTS = f"""
+    WITH judged AS (
+        SELECT CASE WHEN id % 10 = 3 THEN 'malformed' WHEN activity_type IS NULL OR description IS NULL THEN 'incomplete'
+                    WHEN id NOT IN (SELECT id FROM ({_ACCEPTED})) THEN 'no active session' END AS reason, ts FROM requests)
+    SELECT coalesce(reason, CAST(CAST(ts AS DATE) AS VARCHAR)) AS reason, count(*) AS requests FROM judged GROUP BY 1
+    UNION ALL SELECT 'one week', count(*) FROM judged WHERE reason IS NULL AND CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'"""
+
+
 # ---- live sessions and joins of streams ---------------------------------------------
 def _with_end(f: Fixtures, parts: list[DataFrame]) -> list[DataFrame]:
     """One more slice with a far event, so that the watermark passes all others."""
@@ -377,6 +419,10 @@ ORACLE.update({name: with_base(body) for name, body in {
     "features_any_order": _BODIES["feature_upsert"],
     "users_any_order": _BODIES["user_upsert"],
     "stream_late_events": _LATE,
+    "stream_json_requests": _JSON_REQUESTS,
+    "knowledge_by_use": f"""
+        SELECT b.category, b.priority, count(m.id) AS messages
+        FROM {_NAMED['ai_knowledge_base']} b LEFT JOIN ({_BODIES['intent_match']}) m ON m.category = b.category GROUP BY 1, 2""",
     "stream_cut_sessions": _BODIES["sessionize"],
     "stream_session_ends": """
         WITH live AS (SELECT o.* FROM logouts o JOIN ev ON ev.event_id = o.session_id % 1000000000 WHERE ev.k % 5 <> 0)

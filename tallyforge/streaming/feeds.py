@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators.intervals import events_in_intervals
 from tallyforge.operators.lookups import accepted_rows, quarantined_rows, with_reason
-from tallyforge.sources.sinks import committed_versions, write_version
+from tallyforge.sources.sinks import committed_versions, drop_versions, write_version
 
 # how often the pages that read a table ask for it
 TRIGGERS = {"dashboard": "30 seconds", "report": "5 minutes"}
@@ -43,7 +43,7 @@ def ingest(
     """A feed of requests to ``root/accepted`` and ``root/quarantine``, one version per micro-batch.
 
     Each request is judged once and goes to one side; a batch that is replayed after a
-    failure rewrites its own versions, so nothing is added twice.
+    failure rewrites its own versions, so nothing is added twice. :func:`compact_ingested` moves versions into day folders.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -56,10 +56,46 @@ def ingest(
     return run(writer, trigger)
 
 
-def ingested(spark: SparkSession, root: str, side: str = "accepted") -> DataFrame:
-    """All committed rows of one side."""
-    versions = committed_versions(spark, f"{root}/{side}")
-    return spark.read.parquet(*[f"{root}/{side}/v={v}" for v in versions])
+def ingested(spark: SparkSession, root: str, side: str = "accepted", days: tuple[str, str] | None = None) -> DataFrame:
+    """All committed rows of one side, or those of the days from the first to the last given: other day folders are not read."""
+    segments, versions = _held(spark, f"{root}/{side}")
+    out = spark.read.parquet(*[f"{root}/{side}/v={v}" for v in versions])  # the newest version is never moved
+    within = F.lit(True) if days is None else F.col("date").between(*[F.lit(day).cast("date") for day in days])
+    out = out.withColumn("date", F.to_date(_time_of(out)))
+    for segment in segments:
+        out = out.unionByName(spark.read.parquet(f"{root}/{side}/segments/v={segment}"))
+    return out.filter(within).drop("date")
+
+
+def _held(spark: SparkSession, folder: str) -> tuple[list[int], list[int]]:
+    """Segments, and the versions that none of them covers."""
+    segments = committed_versions(spark, f"{folder}/segments")
+    return segments, [v for v in committed_versions(spark, folder) if not segments or v > segments[-1]]
+
+
+def _time_of(rows: DataFrame) -> str:
+    return "created_at" if "created_at" in rows.columns else "event_time"
+
+
+def compact_ingested(spark: SparkSession, root: str, side: str = "accepted") -> int:
+    """Move all versions but the newest, which its batch may write again, into a segment of day folders; returns how many.
+
+    A segment is written once and never read to make another, so a row is moved once; the rebalance makes few files of a day
+    and splits a busy one. Versions that a segment covers are not read any more, also if removing them broke off.
+    """
+    folder = f"{root}/{side}"
+    segments, versions = _held(spark, folder)
+    drop_versions(spark, folder, [v for v in committed_versions(spark, folder) if v not in versions])
+    moved = versions[:-1]
+    if not moved:
+        return 0
+    rows = spark.read.parquet(*[f"{folder}/v={v}" for v in moved])
+    if rows.isEmpty():
+        return 0
+    dated = rows.withColumn("date", F.to_date(_time_of(rows)))
+    dated.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date").parquet(f"{folder}/segments/v={moved[-1]}")
+    drop_versions(spark, folder, moved)
+    return len(moved)
 
 
 def drop_repeats(feed: DataFrame, ts: str, event_id: str, longest_delay: str) -> DataFrame:
