@@ -63,9 +63,7 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._encode(piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
+        if len(piece) <= MEMO_CHARS and len(self) < MEMO_PIECES:  # those met first, which the most frequent are among
             self[piece] = ids
         return ids
 
