@@ -351,7 +351,7 @@ def test_stages_take_odd_tables(spark, sf_dir):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.LLM_QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.LLM_QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
 
 
