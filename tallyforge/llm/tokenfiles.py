@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,14 @@ _LETTERS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u02AF"
 _PIECE = re.compile(
     rf" ?[{_LETTERS}]+(?=[ \n.,;:?!)]|\Z)| ?[.,;:?!()]+(?=[ \nA-Za-z0-9]|\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+
+
+def _byte_signs() -> dict[int, int]:
+    """Byte to the sign that stands for it in byte-level vocabularies: visible ones are their own, the others follow 255."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (byte for byte in range(256) if byte not in visible)
+    return {byte: byte for byte in visible} | {byte: 256 + i for i, byte in enumerate(others)}
 
 
 class Encoder(dict):
@@ -47,6 +56,7 @@ class Encoder(dict):
 
     A byte-level vocabulary never joins bytes of two pieces of ``_PIECE``, so the library encodes a piece once and
     a bounded memo repeats its answer; a text that holds the string of an added token goes to the library whole.
+    A word is one piece for the library too, so its bytes go to the library's model without the steps before it.
     """
 
     def __init__(self, path: str):
@@ -55,14 +65,19 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.signs = self.library.model, _byte_signs()
         added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
+    def _encode_word(self, word: str) -> bytes:
+        signs = word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [token.id for token in self.model.tokenize(signs)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(piece)
+        ids = self._encode_word(piece) if _WORD.fullmatch(piece) else self._encode(piece)
         if len(piece) <= MEMO_CHARS and len(self) < MEMO_PIECES:  # those met first, which the most frequent are among
             self[piece] = ids
         return ids

@@ -64,6 +64,15 @@ def test_pieces_encode_as_whole_texts(library):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_every_letter_go_to_the_model_alone(library):
+    encoder = Encoder(public_tokenizers.path(tokenfiles.VOCABULARY))
+    letters = [c for c in map(chr, range(0x41, 0x2B0)) if tokenfiles._WORD.fullmatch(c)]
+    assert len(letters) > 500
+    for one, other in zip(letters, letters[::-1]):
+        for word in (one, f" {one}", f" {one}{other}{one}"):
+            assert encoder._encode_word(word) == encoder._encode(word), word
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_of_odd_rows(spark, tmp_path, library, encoding):
     texts = [None, "", " \n", "two words", "x" * 50_000, "long text " * 20_000, "<|endoftext|> again", "same", "same"]
