@@ -45,6 +45,22 @@ my address is <email>tom@localhost</email> there
 ask <email>kim(at)post.example.org</email> first
 send it to <email>a.b@mail7.example.com</email> today
 contact <email>x99@example.org</email> or call <phone>555-0142</phone>
+the note of <email>karl.17@mail2.example.com</email> was lost
+so wrote <email>m.lund@post.example.org</email>
+<email>eva_92@box8.example.net</email> answered later
+then <email>ole-b@example.com</email>, who had left, came back
+list of <email>rita.5@mail11.example.com</email> and <email>c.d@example.org</email>
+the old <email>sam+news@firm.example.org</email> still works
+their <email>q.77@example.co.uk</email> was copied
+known as <email>nina_x(at)club(dot)example(dot)org</email> in town
+names like <email>lars[at]example[dot]net</email> are old
+she is <email>otto.4[at]mail3.example.org</email> now
+who is <email>pia@intranet</email> really
+wrote <email>ada.8[at]haus(dot)example(dot)net</email> again
+then <email>leo(at)mail9(dot)example(dot)com</email> came
+both <email>ivo3(at)club[dot]net</email> and <email>uma[at]book[dot]org</email> read
+is <email>bo_21[at]work.net</email> there
+old <email>jan.6(at)town.net</email> too
 call <phone>(212) 555-0199</phone> now
 phone <phone>212-555-0147</phone> after nine
 tel <phone>020 7946 0958</phone> or write
@@ -68,6 +84,9 @@ host <ip>192.168.1.77</ip> replied
 from <ip>172.16.254.1</ip> to <ip>172.16.254.9</ip>
 ping <ip>fe80::1ff:fe23:4567:890a</ip> failed
 log in from <ip>203.0.113.25</ip> at noon
+so <ip>10.44.7.203</ip> was seen
+both <ip>81.2.69.144</ip> and <ip>198.51.100.4</ip> are known
+then <ip>5.188.10.9</ip> came back
 version 3.2.1 of the program was released
 in 1998 the town had 12,500 people
 section 4.1.2 says so on page 77
@@ -90,6 +109,8 @@ about 7 of 10 said yes, 3 of 10 no
 token = "57f17a56c90cac3e893f4491169557bdc83d8148" was found
 key 9c8b45435718dcc700c184a7 is no secret
 meet @ noon by the gate
+three pieces @ 5 each
+the handle @maria_b was taken
 an ordinary line of words without anything
 Another One With Capital Letters Only
 PLAIN WORDS IN LARGE LETTERS HERE
@@ -104,6 +125,10 @@ _MARK = re.compile(r"<(/?)(\w+)>")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A word with none of these is plain.
 _OPEN = re.compile(r"[0-9@(\[]")
+#: A name, a sign or word for "at" and the first part of a host.
+_ADDRESS = re.compile(r"[A-Za-z0-9](?:@|[(\[]at[)\]])[A-Za-z0-9]")
+#: Signs around a word that belong to no span.
+SIGNS = "\"'.,;:!?|*#%&$<>="
 #: Plain words that tell the open words beside them what they are.
 CUES = frozenset(
     "call phone tel mobile number ring dial fax card visa amex pay mail email contact write server host ip address "
@@ -134,17 +159,18 @@ def features(word: str) -> tuple[str, ...]:
     if not _OPEN.search(word):
         bare = word.strip(".,;:!?\"'")
         return (f"cue={bare.lower()}",) if bare.lower() in CUES else ("plain",)
-    shape = re.sub(r"[^\W\d_]+", "a", word)
+    shape = re.sub(r"[^\W\d_]+", "a", word.strip(SIGNS) or word)
     digits = re.findall(r"[0-9]+", word)
     runs = re.sub(r"[0-9]+", lambda m: f"<{min(len(m.group()), 5)}>", shape)
     total = sum(map(len, digits))
     return (
         "open",
-        f"shape={re.sub(r'[0-9]+', 'd', shape)[:24]}",
-        f"runs={runs[:32]}",
+        f"shape={re.sub(r'[0-9]+', 'd', shape)}",
+        f"runs={runs}",
         f"digits={min(total, 20)}",
         f"groups={min(len(digits), 6)}",
         f"at={'@' in word}",
+        f"address={_ADDRESS.search(word) is not None}",
         f"first={re.sub('[a-z]', 'a', re.sub('[0-9]', 'd', word[0].lower()))}",
         f"last={re.sub('[a-z]', 'a', re.sub('[0-9]', 'd', word[-1].lower()))}",
         f"letters={any(map(str.isalpha, word))}",
@@ -360,8 +386,8 @@ def field_spans(texts: list[str], field: WordField) -> list[list[tuple[int, int,
                 spans.append([kind, start, end])
         for kind, start, end in spans:
             value = texts[i][start:end]
-            end -= len(value) - len(value.rstrip("\"'.,;:!?|*#%&$<>="))
-            start += len(value) - len(value.lstrip("\"'.,;:!?|*#%&$<>="))
+            end -= len(value) - len(value.rstrip(SIGNS))
+            start += len(value) - len(value.lstrip(SIGNS))
             digits = sum(c in "0123456789" for c in texts[i][start:end])
             low, high = ADDED_DIGITS.get(KINDS[kind], (0, 1 << 30))
             if KINDS[kind] == "card" and not luhn("".join(c for c in texts[i][start:end] if c in "0123456789")):

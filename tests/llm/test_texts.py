@@ -131,6 +131,37 @@ def test_field_learns_its_table_and_more(spark, field):
     assert found("in 1987 about 400 of 3,000 people left") == []
 
 
+def test_field_alone_finds_what_the_patterns_find(spark, field):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL").select("text").collect()
+    texts = [r["text"] for r in rows]
+    all_of, found = [0] * len(pii.KINDS), [0] * len(pii.KINDS)
+    for text, spans in zip(texts, pii.field_spans(texts, field)):
+        for kind, start, end in pii.base_spans(text):
+            all_of[kind] += 1
+            found[kind] += any(k == kind and a < end and start < b for k, a, b in spans)
+    assert min(all_of) > 5 and all(10 * f >= 9 * n for f, n in zip(found, all_of)), (all_of, found)
+
+
+def test_field_finds_planted_addresses_that_no_pattern_matches(spark, field):
+    rng = random.Random(5)
+    names = ["anna.berg", "hein.19", "j_doe", "k77", "maria", "o.b.lee", "tim-x"]
+    hosts = ["mail5(dot)example(dot)com", "example(dot)org", "firm[dot]net", "post.example.org", "mail.net"]
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text").collect()
+    planted, places = [], {}
+    for key, text in rows:
+        value = rng.choice(names) + rng.choice(["(at)", "[at]"]) + rng.choice(hosts)
+        at = rng.choice([m.start() for m in re.finditer(" ", text)] or [len(text)])
+        planted.append((key, f"{text[:at]} {value} {text[at:]}"))
+        places[key] = (at + 1, at + 1 + len(value))
+    docs = spark.createDataFrame(planted, "doc_id long, text string")
+    hits = false = 0
+    for key, spans in pii.find_pii(docs, pii.labelled_lines(spark)).collect():
+        added = [(s["kind"], s["start"], s["end"]) for s in spans if not s["base"]]
+        right = ("email", *places[key]) in added
+        hits, false = hits + right, false + len(added) - right
+    assert hits >= 0.9 * len(planted) and false <= 0.05 * len(planted), (hits, false, len(planted))
+
+
 def test_viterbi_over_runs_equals_the_whole_chain(field):
     import itertools
 
