@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.graph import written
+
 #: Cells in each dimension: one byte a component.
 CELLS = 32
-#: Queries a pass holds on every executor, and rows whose cells a task scans at once.
+#: Queries a pass holds on every executor, rows whose cells a task scans at once, and queries whose
+#: bounds with these rows it holds (two tables of 16 MB).
 QUERY_BLOCK = 4096
 ROW_BLOCK = 8192
+QUERY_TILE = 256
 SCALE = 256.0
 
 
@@ -39,15 +43,18 @@ class CellFile:
     def __init__(self, rows: np.ndarray):
         low, high = rows.min(axis=0), rows.max(axis=0)
         step = np.maximum((high - low + CELLS) // CELLS, 1)
-        cells = ((rows - low) // step).astype(np.uint8)
-        self.cells, self.low, self.step = cells, low, step
+        self.cells = ((rows - low) // step).astype(np.uint8)
+        self.low, self.wide = low.astype(np.float64), step.astype(np.float64)
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bound of each query's score with each row, from the cells alone."""
-        floor = self.low + self.cells.astype(np.float64) * self.step
-        ceiling = floor + (self.step - 1)
-        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        return up @ floor.T + down @ ceiling.T, up @ ceiling.T + down @ floor.T
+        exact = queries.astype(np.float64)
+        middle = (exact * self.wide) @ self.cells.astype(np.float64).T + (exact @ self.low)[:, None]
+        # a component lies from its cell's floor up to one less than the next
+        below = (np.minimum(exact, 0) @ (self.wide - 1))[:, None]
+        above = (np.maximum(exact, 0) @ (self.wide - 1))[:, None]
+        slack = 1e-12 * (np.abs(exact) @ (np.abs(self.low) + CELLS * self.wide))[:, None]  # of rounding, beyond 53 bits
+        return middle + (below - slack), middle + (above + slack)
 
 
 def _best(found: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
@@ -57,6 +64,13 @@ def _best(found: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
 def search_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
     """For each query the best k (score, id) of these rows, the query's own id left out."""
     file = CellFile(rows)
+    out = []
+    for at in range(0, len(queries), QUERY_TILE):
+        out += _search_tile(file, ids, rows, query_ids[at : at + QUERY_TILE], queries[at : at + QUERY_TILE], k)
+    return out
+
+
+def _search_tile(file: CellFile, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
     lower, upper = file.bounds(queries)
     own = query_ids[:, None] == ids[None, :]
     lower[own], upper[own] = -np.inf, -np.inf
@@ -128,7 +142,8 @@ def exact_top_k(
     A query meets all rows but those of its own id, of its own width only; with fewer rows it gets
     all. Vectors without a finite value in every component take no part on either side, rows
     repeated under one id count each. Scores are exact while they fit 64 bits. Queries are held
-    ``query_block`` at a time, so many queries mean many passes, not larger tasks.
+    ``query_block`` at a time, so many queries mean many passes, not larger tasks; what a pass finds is
+    written to the shared folder and its queries leave the executors before the next.
     """
     spark = vectors.sparkSession
     rows = integer_vectors(vectors, id_col, vector_col)
@@ -144,7 +159,8 @@ def exact_top_k(
             for width in set(widths.tolist())
         }
         held = spark.sparkContext.broadcast((ids, by_width))
-        one = rows.mapInArrow(_scan(held, k), "query_id long, vec_id long, score long")
+        one = written(rows.mapInArrow(_scan(held, k), "query_id long, vec_id long, score long"), "best")
+        held.unpersist()
         found = one if found is None else found.union(one)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
