@@ -15,7 +15,7 @@ from tallyforge.harness.oracle import _ACCEPTED, _BODIES, _NAMED, BASE, ORACLE,
 from tallyforge.harness.queries import named_tables, query
 from tallyforge.operators import board, cascade, folds, intervals, lookups, registers
 from tallyforge.plans import catalog
-from tallyforge.session import scratch_path
+from tallyforge.session import rocksdb_state, scratch_path
 from tallyforge.sources import readers
 from tallyforge.sources.readers import stream_files
 from tallyforge.streaming import feeds, ordered, state
@@ -200,11 +200,12 @@ def _ntz(column: str):
 def stream_cut_sessions(f):
     """Live sessions with pauses of up to eight hours, cut at 24 hours by the stream's own state."""
     cuts = [F.col("ts") < "2024-01-11", (F.col("ts") >= "2024-01-11") & (F.col("ts") < "2024-01-21"), F.col("ts") >= "2024-01-21"]
-    closed = _drained(
-        f,
-        [f.raw("events").filter(part) for part in cuts],
-        lambda raw: live.cut_sessions(feeds.event_time(raw.withColumnRenamed("user_id", "admin_id"), "ts"), "admin_id", "ts", 8 * 3600, "1 hour"),
-    )
+    with rocksdb_state(f.spark):
+        closed = _drained(
+            f,
+            [f.raw("events").filter(part) for part in cuts],
+            lambda raw: live.cut_sessions(feeds.event_time(raw.withColumnRenamed("user_id", "admin_id"), "ts"), "admin_id", "ts", 8 * 3600, "1 hour"),
+        )
     return closed.select("admin_id", _ntz("session_start"), _ntz("session_end"), "session_seconds", "event_count")
 
 

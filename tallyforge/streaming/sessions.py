@@ -86,6 +86,7 @@ def cut_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, longest
 
     The same rows as :func:`tallyforge.operators.sessions.sessionize` of all events. ``key`` is a long and ``ts`` a
     ``TIMESTAMP``; rows without either belong to no session. Events later than ``longest_delay`` are dropped by Spark.
+    In a session whose state store isn't RocksDB, start it within :func:`tallyforge.session.rocksdb_state`.
     """
     timed = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, longest_delay)
     keyed = timed.select(F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("at"), ts)

@@ -1,10 +1,12 @@
 """Order-safe folds, late rows, live sessions, boards, deletes, intervals and payloads on rows that the given tables lack."""
 
 import random
+import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
-from helpers import rows
+from helpers import SF, rows
 from pyspark.sql import functions as F
 
 from tallyforge.functions import payloads
@@ -14,6 +16,10 @@ from tallyforge.sources.readers import stream_files
 from tallyforge.streaming import feeds, ordered
 from tallyforge.streaming import sessions as live
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
+
+import check_oracle  # noqa: E402
+
 START = datetime(2024, 1, 1)
 
 
@@ -128,6 +134,14 @@ def test_cut_sessions_equal_the_batch(spark):
     assert rows(got) == rows(want.select(got.columns))
 
 
+def test_cut_sessions_run_in_a_session_with_another_state_store(spark):
+    """As in a session that was not built here; its own store comes back."""
+    plain, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    plain.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    assert check_oracle.compare(plain, check_oracle.connect(SF), "stream_cut_sessions", SF).startswith("ok ")
+    assert plain.conf.get(key).endswith("HDFSBackedStateStoreProvider")
+
+
 def test_logouts_join_their_logins_only(spark):
     schema = "kind string, session_id long, admin_id long, event_time timestamp_ntz"
     slices = [
